@@ -12,7 +12,7 @@ import duckdb
 
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
-    "date": "DATE", "timestamp": "TIMESTAMP",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
 }
 
 

@@ -72,3 +72,72 @@ def with_expr(df: DataFrame, name: str, sql: str) -> DataFrame:
 
 def documents_with(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     return with_expr(table(spark, sf_dir, "documents"), name, sql)
+
+
+# Source header lines as they come in: exact, spaced, by other words, misspelt, foreign, unusable.
+HEADER_LINE = """case doc_id % 6
+  when 0 then 'InvoiceID,CustomerID,CustomerName,InvoiceDate,DueDate,TotalAmount,PaymentStatus'
+  when 1 then 'Invoice ID,Customer Name,customer_id,Invoice Date,Due Date,Total Amount,Payment Status,Notes'
+  when 2 then 'Inv No,Client ID,Client,Date,Due,Total,Status'
+  when 3 then 'InvoiceID,CustomrID,CustomerNam,Invoice Date,Invoice-Date,DueDates'
+  when 4 then concat(lang, ',', source, ',n chars')
+  else '1st,select col,InvoiceID,Total-Amount,Pay Status' end"""
+
+TARGET = ("InvoiceID", "CustomerID", "CustomerName", "InvoiceDate", "DueDate", "TotalAmount", "PaymentStatus")
+SYNONYMS = {
+    "Inv No": "InvoiceID", "Invoice Number": "InvoiceID", "Client ID": "CustomerID", "Client": "CustomerName",
+    "Date": "InvoiceDate", "Due": "DueDate", "Total": "TotalAmount", "Status": "PaymentStatus",
+}
+
+
+def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_with(spark, sf_dir, "header_line", HEADER_LINE)
+    return docs.select("doc_id", "header_line", F.split("header_line", ",").alias("headers"))
+
+
+def _norm(word: str) -> str:
+    return "".join(ch for ch in word.lower() if ch.isalnum())
+
+
+# The header match said with joins and windows: (doc_id, idx, target, header, position, score).
+MATCH_CTE = f"""targets(idx, target, tnorm) as (values {", ".join(f"({i}, '{t}', '{_norm(t)}')" for i, t in enumerate(TARGET))}),
+words(word, meaning) as (values {", ".join(f"('{_norm(w)}', '{t}')" for w, t in SYNONYMS.items())}),
+lines as (select doc_id, string_split({HEADER_LINE}, ',') as hs from documents),
+heads as (select doc_id, unnest(hs) as header, unnest(range(len(hs))) as position from lines),
+scored as (select doc_id, header, position, idx, target, case when norm = tnorm then 0 when word is not null then 1
+    when norm <> '' and levenshtein(norm, tnorm) <= 2 then 1 + levenshtein(norm, tnorm) end as score
+  from (select *, regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as norm from heads) h cross join targets t
+  left join words w on w.word = h.norm and w.meaning = t.target),
+own as (select *, row_number() over (partition by doc_id, position order by score, idx) as r from scored where score is not null),
+matched as (select doc_id, idx, target, header, position, score from
+  (select *, row_number() over (partition by doc_id, idx order by score, position) as q from own where r = 1) where q = 1)"""
+
+
+# Invoices with more columns than the target and other names; some customer names hold a separator.
+STAGED_SQL = """select concat('INV-', o_orderkey) as "Invoice ID",
+  case when o_orderkey % 13 = 0 then concat(c_name, ' | ', c_mktsegment) else c_name end as "Customer Name",
+  concat('CUST', o_custkey) as "Customer ID", o_orderpriority as "Sales Rep",
+  strftime(o_orderdate, '%Y-%m-%d') as "Invoice Date", strftime(o_orderdate + interval 30 day, '%Y-%m-%d') as "Due Date",
+  'Net 30' as "Payment Terms", cast(o_totalprice as decimal(18,2)) as "Total Amount",
+  case o_orderstatus when 'F' then 'Paid' when 'O' then 'Pending' else 'Overdue' end as "Payment Status",
+  c_mktsegment as "Department Code", o_orderkey as "Row Key" from orders left join customer on o_custkey = c_custkey"""
+
+
+def staged_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer. No broadcast hint: customers grow with orders, so Spark decides by size."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    name = F.when(F.col("o_orderkey") % 13 == 0, F.concat("c_name", F.lit(" | "), "c_mktsegment")).otherwise(F.col("c_name"))
+    status = F.when(F.col("o_orderstatus") == "F", "Paid").when(F.col("o_orderstatus") == "O", "Pending").otherwise("Overdue")
+    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").select(
+        F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("Invoice ID"),
+        name.alias("Customer Name"),
+        F.concat(F.lit("CUST"), F.col("o_custkey").cast("string")).alias("Customer ID"),
+        F.col("o_orderpriority").alias("Sales Rep"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Invoice Date"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "yyyy-MM-dd").alias("Due Date"),
+        F.lit("Net 30").alias("Payment Terms"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("Total Amount"),
+        status.alias("Payment Status"),
+        F.col("c_mktsegment").alias("Department Code"),
+        F.col("o_orderkey").alias("Row Key"),
+    )
