@@ -21,6 +21,15 @@ Converter = Callable[[int, Column], Column]
 Validators = Callable[[Column], Sequence[Column]]
 
 
+def _settled(flag: Column) -> Column:
+    """The flag itself, marked so that Catalyst computes it once.
+
+    A filter on the result would otherwise be pushed below the attempts by writing their whole
+    expressions out again, level by level, which grows exponentially. Positions are never negative.
+    """
+    return flag & (F.monotonically_increasing_id() >= 0)
+
+
 def convert_with_retry(
     df: DataFrame, converter: Converter, validators: Validators, max_retries: int = 3, ready: Column | None = None
 ) -> DataFrame:
@@ -32,33 +41,46 @@ def convert_with_retry(
     """
     work = df.withColumns({"_open": F.coalesce(ready, F.lit(False)) if ready is not None else F.lit(True), "_notes": F.lit("")})
     for i in range(max_retries):
-        answer = F.when(F.col("_open"), converter(i, F.col("_notes")))
-        work = work.withColumn("_out", parse_output(answer))
-        votes = [F.when(F.col("_out").isNotNull(), v) for v in validators(F.col("_out"))]
-        work = voting.ask(work, votes, "_v")
+        # Plain columns step by step: each is computed once and only for the rows still open.
+        out = f"_out{i}"
+        work = work.withColumn(out, F.when(F.col("_open"), parse_output(converter(i, F.col("_notes")))))
+        work = voting.ask(work, [F.when(F.col(out).isNotNull(), v) for v in validators(F.col(out))], "_v")
         outcome = (
-            F.when(F.col("_out").isNull(), F.lit("conversion_error"))
+            F.when(~F.col("_open"), F.lit(None).cast("string"))
+            .when(F.col(out).isNull(), F.lit("conversion_error"))
             .when(voting.unreadable("_v"), F.lit("vote_error"))
             .when(voting.passed("_v"), F.lit("success"))
             .otherwise(F.lit("rejected"))
         )
-        attempt = F.struct(
-            F.lit(i).alias("attempt"), F.col("_out").alias("output"), voting.approved("_v").alias("approved"),
-            voting.asked("_v").alias("total"), voting.feedback("_v").alias("feedback"), outcome.alias("outcome"),
-        )
-        work = work.withColumn(f"_a{i}", F.when(F.col("_open"), attempt)).drop("_out", "_v_0", "_v_1", "_v_2")
+        voted = F.col(out).isNotNull()
         work = work.withColumns({
-            "_open": F.col("_open") & (F.col(f"_a{i}.outcome") == "rejected"),
-            "_notes": F.coalesce(F.col(f"_a{i}.feedback"), F.lit("")),
+            f"_outcome{i}": outcome, f"_approved{i}": F.when(voted, voting.approved("_v")).otherwise(F.lit(0)),
+            f"_total{i}": F.when(voted, voting.asked("_v")).otherwise(F.lit(0)), f"_feedback{i}": voting.feedback("_v"),
+        })
+        work = voting.drop_votes(work, "_v").withColumns({
+            "_open": _settled(F.coalesce(F.col(f"_outcome{i}") == "rejected", F.lit(False))), "_notes": F.col(f"_feedback{i}"),
         })
-    made = work.withColumn("attempts", F.array_compact(F.array(*[F.col(f"_a{i}") for i in range(max_retries)])))
-    last = F.element_at("attempts", -1)
-    final = made.withColumn("_last", F.when(F.size("attempts") > 0, last))
-    status = F.when(F.col("_last.outcome") == "rejected", F.lit("failed")).otherwise(F.col("_last.outcome"))
-    retries = F.when(F.col("_last.outcome") == "rejected", F.size("attempts")).otherwise(F.col("_last.attempt"))
-    return final.select(
-        *df.columns, "attempts", status.alias("status"), retries.alias("retries"),
-        F.when(status == "success", F.col("_last.output")).alias("output"), F.col("_last.feedback").alias("notes"),
+
+    def over(pick: Callable[[int], Column]) -> Column:
+        """Value of the last attempt made."""
+        return F.coalesce(*[F.when(F.col(f"_outcome{i}").isNotNull(), pick(i)) for i in reversed(range(max_retries))])
+
+    last = over(lambda i: F.col(f"_outcome{i}"))
+    made = [
+        F.when(
+            F.col(f"_outcome{i}").isNotNull(),
+            F.struct(
+                F.lit(i).alias("attempt"), F.col(f"_out{i}").alias("output"), F.col(f"_approved{i}").alias("approved"),
+                F.col(f"_total{i}").alias("total"), F.col(f"_feedback{i}").alias("feedback"), F.col(f"_outcome{i}").alias("outcome"),
+            ),
+        )
+        for i in range(max_retries)
+    ]
+    return work.select(
+        *df.columns, F.array_compact(F.array(*made)).alias("attempts"),
+        F.when(last == "rejected", F.lit("failed")).otherwise(last).alias("status"),
+        over(lambda i: F.when(F.col(f"_outcome{i}") == "rejected", F.lit(i + 1)).otherwise(F.lit(i))).alias("retries"),
+        F.when(last == "success", over(lambda i: F.col(f"_out{i}"))).alias("output"), over(lambda i: F.col(f"_feedback{i}")).alias("notes"),
     )
 
 
@@ -86,8 +108,9 @@ def generate_with_retry(
             "_passed": F.when(F.col("_done"), F.col("_fine")).otherwise(F.col("_passed")),
             "_used": F.when(F.col("_open"), F.lit(i)).otherwise(F.col("_used")),
             "_notes": F.when(F.col("_open") & ~F.col("_done") & F.lit(i < retry_limit), F.col("_note")).otherwise(F.col("_notes")),
-            "_open": F.col("_open") & ~F.col("_done"),
-        }).drop("_now", "_v_0", "_v_1", "_v_2", "_done", "_fine", "_note")
+            "_open": _settled(F.col("_open") & ~F.col("_done")),
+        }).drop("_now", "_done", "_fine", "_note")
+        work = voting.drop_votes(work, "_v")
     status = F.when(F.col("_block").isNotNull(), F.lit("success")).otherwise(F.lit("failed"))
     return work.select(
         *df.columns, status.alias("status"), F.col("_used").alias("attempts"), F.col("_passed").alias("passed"),
@@ -96,7 +119,7 @@ def generate_with_retry(
 
 
 def attempts_long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, F.inline("attempts"))
+    return df.select(*keys, F.inline_outer("attempts")).filter("outcome is not null")
 
 
 def select_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Votes and their decision.
 
 A vote is a struct ``(isvalid, invalid_msg)``; ``isvalid`` is null when the voter's answer could not
-be read. The three votes of a document are columns of its row, so asking, deciding and explaining
-need no shuffle; the third is evaluated only where the first two differ. Tables of votes with one
+be read. The votes of a document are spread into columns of its row, so asking, deciding and
+explaining need no shuffle; the third is evaluated only where the first two differ. Tables of votes with one
 row per vote are decided with hash aggregates of fixed size per group.
 """
 
@@ -45,43 +45,58 @@ def _three(votes: Sequence[Column]) -> None:
 
 
 def ask(df: DataFrame, votes: Sequence[Column], name: str = "vote") -> DataFrame:
-    """Adds ``{name}_0 .. {name}_2``; the third vote is null where it was not needed."""
+    """Adds ``{name}_ok_i``, ``{name}_msg_i`` and ``{name}_asked``.
+
+    The third vote is evaluated only where the first two were read and differ. The votes are plain
+    columns rather than structs, because Catalyst copies the expressions inside a struct to every
+    place that reads a field, while a plain column used twice is computed once.
+    """
     _three(votes)
-    first, second, third = (f"{name}_{i}" for i in range(VOTERS))
-    two = df.withColumns({first: votes[0], second: votes[1]})
-    differ = F.col(f"{first}.isvalid") != F.col(f"{second}.isvalid")
-    return two.withColumn(third, F.when(differ, votes[2]))
+    two = df.withColumns(_pair(votes[0], name, 0) | _pair(votes[1], name, 1))
+    return _add_third(two, votes[2], name, F.col(f"{name}_ok_0") != F.col(f"{name}_ok_1"))
 
 
 def ask_all(df: DataFrame, votes: Sequence[Column], name: str = "vote") -> DataFrame:
     """All three votes, without early exit."""
     _three(votes)
-    return df.withColumns({f"{name}_{i}": v for i, v in enumerate(votes)})
+    two = df.withColumns(_pair(votes[0], name, 0) | _pair(votes[1], name, 1))
+    return _add_third(two, votes[2], name, F.lit(True))
+
+
+def _pair(vote: Column, name: str, i: int) -> dict[str, Column]:
+    return {f"{name}_ok_{i}": vote["isvalid"], f"{name}_msg_{i}": vote["invalid_msg"]}
+
+
+def _add_third(two: DataFrame, vote: Column, name: str, wanted: Column) -> DataFrame:
+    need = F.coalesce(wanted, F.lit(False))
+    third = {k: F.when(need, v) for k, v in _pair(vote, name, 2).items()}
+    return two.withColumns({**third, f"{name}_asked": F.when(need, F.lit(3)).otherwise(F.lit(2))})
+
+
+def _oks(name: str) -> list[Column]:
+    return [F.col(f"{name}_ok_{i}") for i in range(VOTERS)]
 
 
-def _votes(name: str) -> list[Column]:
-    return [F.col(f"{name}_{i}") for i in range(VOTERS)]
+def _was_asked(name: str, i: int) -> Column:
+    return F.lit(True) if i < 2 else F.col(f"{name}_asked") == 3
 
 
 def asked(name: str = "vote") -> Column:
     """Number of votes cast."""
-    out = F.lit(0)
-    for v in _votes(name):
-        out = out + v.isNotNull().cast("int")
-    return out
+    return F.col(f"{name}_asked")
 
 
 def approved(name: str = "vote") -> Column:
     """Number of votes in favour; an unreadable vote is not one."""
     out = F.lit(0)
-    for v in _votes(name):
-        out = out + F.coalesce(v["isvalid"], F.lit(False)).cast("int")
+    for ok in _oks(name):
+        out = out + F.coalesce(ok, F.lit(False)).cast("int")
     return out
 
 
 def unreadable(name: str = "vote") -> Column:
     """True where the first or the second vote could not be read, which ends the document's run."""
-    return F.col(f"{name}_0.isvalid").isNull() | F.col(f"{name}_1.isvalid").isNull()
+    return F.col(f"{name}_ok_0").isNull() | F.col(f"{name}_ok_1").isNull()
 
 
 def decide(in_favour: Column, total: Column, rule: str = "2_of_3") -> Column:
@@ -100,30 +115,40 @@ def passed(name: str = "vote", rule: str = "2_of_3") -> Column:
 
 def feedback(name: str = "vote") -> Column:
     """Messages of the votes against, in voter order; an unreadable vote is not against."""
-    against = [F.when(~F.coalesce(v["isvalid"], F.lit(True)), F.coalesce(v["invalid_msg"], F.lit(""))) for v in _votes(name)]
-    return F.array_join(F.array_compact(F.array(*against)), "\n\n")
+    against = [
+        F.when(~F.coalesce(ok, F.lit(True)), F.coalesce(F.col(f"{name}_msg_{i}"), F.lit(""))) for i, ok in enumerate(_oks(name))
+    ]
+    return F.concat_ws("\n\n", *against)
 
 
 def retry_note(attempt: Column | int, name: str = "vote") -> Column:
     """Note for the next generation attempt; here an unreadable vote is against."""
     against = [
-        F.when(v.isNotNull() & ~F.coalesce(v["isvalid"], F.lit(False)), F.coalesce(v["invalid_msg"], F.lit("Unknown reason")))
-        for v in _votes(name)
+        F.when(_was_asked(name, i) & ~F.coalesce(ok, F.lit(False)), F.coalesce(F.col(f"{name}_msg_{i}"), F.lit("Unknown reason")))
+        for i, ok in enumerate(_oks(name))
     ]
     number = attempt.cast("string") if isinstance(attempt, Column) else F.lit(str(attempt))
     return F.concat(
         F.lit("Attempt "), number, F.lit(" validation failed ("), approved(name).cast("string"), F.lit("/"), asked(name).cast("string"),
-        F.lit(" approved).  Issues: "), F.array_join(F.array_compact(F.array(*against)), "; "),
+        F.lit(" approved).  Issues: "), F.concat_ws("; ", *against),
     )
 
 
+def drop_votes(df: DataFrame, name: str = "vote") -> DataFrame:
+    return df.drop(*[f"{name}_{part}_{i}" for part in ("ok", "msg") for i in range(VOTERS)], f"{name}_asked")
+
+
 def to_long(df: DataFrame, keys: Sequence[str], name: str = "vote") -> DataFrame:
     """One row per vote cast: ``(keys..., agent_idx, isvalid, invalid_msg)``."""
     cast = [
-        F.when(v.isNotNull(), F.struct(F.lit(i).alias("agent_idx"), v["isvalid"].alias("isvalid"), v["invalid_msg"].alias("invalid_msg")))
-        for i, v in enumerate(_votes(name))
+        F.when(
+            _was_asked(name, i),
+            F.struct(F.lit(i).alias("agent_idx"), F.col(f"{name}_ok_{i}").alias("isvalid"), F.col(f"{name}_msg_{i}").alias("invalid_msg")),
+        )
+        for i in range(VOTERS)
     ]
-    return df.select(*keys, F.inline(F.array_compact(F.array(*cast))))
+    # The outer form keeps Catalyst from filtering on the array first, which would compute every vote twice.
+    return df.select(*keys, F.inline_outer(F.array_compact(F.array(*cast))))
 
 
 def consensus(votes: DataFrame, keys: Sequence[str], rule: str = "2_of_3") -> DataFrame:

@@ -104,9 +104,7 @@ def injection_flags(spark, sf):
     rf"select doc_id, not bad as ok, case when bad then 'Invalid or control characters' end as reason from (select doc_id, regexp_matches({si.PLANTED}, '{ck.CONTROL_CHARACTERS}') as bad from documents)",
 )
 def corruption_flags(spark, sf):
-    # chr of Spark wraps above 255, so the replacement character is written out here.
-    planted = si.PLANTED.replace("chr(65533)", f"'{chr(0xFFFD)}'")
-    return opened(si.documents_with(spark, sf, "t", planted), "doc_id", ck.no_corruption(F.col("t")))
+    return opened(si.documents_with(spark, sf, "t", si.PLANTED), "doc_id", ck.no_corruption(F.col("t")))
 
 
 FIT = {"event_id": "bigint", "user_id": "int", "value": "decimal(18,2)", "event_type": "int", "props": "double", "ts": "timestamp"}
