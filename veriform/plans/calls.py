@@ -1,0 +1,50 @@
+"""Queries that run a responder or a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veriform.operators import respond as rs
+from veriform.plans.registry import query, table
+from veriform.plans.sources import PER_FILE
+from veriform.session import scratch
+from veriform.streaming.incremental import convert_stream, read_converted
+
+
+def answer(request: str, instructions: str) -> str:
+    """A responder without a model: the request in tags; fails on requests without text."""
+    if not request.strip():
+        raise ValueError("empty request")
+    return f"<output>{request}</output><isvalid>{len(request) > 100}</isvalid>"
+
+
+def no_wait(seconds: float) -> None:
+    """A local responder needs no pause between tries."""
+
+
+@query(
+    "respond_batch",
+    """select doc_id, case when doc_id % 13 <> 0 then '<output>' || text || '</output><isvalid>' || case when length(text) > 100 then 'True' else 'False' end || '</isvalid>' end as content,
+  case when doc_id % 13 = 0 then 'empty request' end as error, case when doc_id % 13 = 0 then 2 else 0 end as retry_count, doc_id % 13 = 0 as failed from documents""",
+)
+def respond_batch(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).otherwise(F.lit(" ")).alias("request"), F.lit("Echo.").alias("instructions"))
+    answered = rs.respond(docs, "request", "instructions", answer, tries=2, sleep=no_wait)
+    return answered.select("doc_id", "content", "error", F.col("meta.retry_count").alias("retry_count"), F.col("meta.failed").alias("failed"))
+
+
+@query("stream_convert", "select replace(line, 'e', '_') as line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) group by 1")
+def stream_convert(spark, sf):
+    folder, out, state = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "state")
+    docs = table(spark, sf, "documents")
+
+    def convert(batch):
+        text = F.regexp_replace("value", r"\n\z", "")
+        return batch.select("file_path", F.replace(text, F.lit("e"), F.lit("_")).alias("value"))
+
+    # Two runs over a growing folder: the second sees the new files only.
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).select("text").write.mode("append").option("maxRecordsPerFile", PER_FILE).text(folder)
+        convert_stream(spark, folder, "*.txt", convert, out, state).awaitTermination()
+    lines = read_converted(spark, out).select(F.explode(F.split("value", "\n", -1)).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
