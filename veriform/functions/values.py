@@ -13,15 +13,15 @@ from veriform.functions.text import strip
 # Texts that stand for a missing value.
 NULL_MARKERS = ("", "NULL", "N/A")
 
-# Accepted date layouts, each with the shape that selects it.
+# Accepted date layouts, the shape of each, and where year, month and day start in it.
 DATE_LAYOUTS = (
-    ("YYYY-MM-DD", r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    ("YYYY-MM-DD HH:MM:SS", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$", None),
-    ("MM/DD/YYYY", r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    ("YYYY/MM/DD", r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    ("DD.MM.YYYY", r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"),
-    ("YYYYMMDD", r"^\d{8}$", "yyyyMMdd"),
-    ("Month D, YYYY", r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    ("YYYY-MM-DD", r"^\d{4}-\d{2}-\d{2}$", (1, 6, 9)),
+    ("YYYY-MM-DD HH:MM:SS", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$", (1, 6, 9)),
+    ("MM/DD/YYYY", r"^\d{2}/\d{2}/\d{4}$", (7, 1, 4)),
+    ("YYYY/MM/DD", r"^\d{4}/\d{2}/\d{2}$", (1, 6, 9)),
+    ("DD.MM.YYYY", r"^\d{2}\.\d{2}\.\d{4}$", (7, 4, 1)),
+    ("YYYYMMDD", r"^\d{8}$", (1, 5, 7)),
+    ("Month D, YYYY", r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", None),
 )
 
 TRUE_WORDS = ("yes", "true", "1")
@@ -50,7 +50,8 @@ def split_full_name(c: Column) -> tuple[Column, Column]:
 
 def is_marker(c: Column, markers: Sequence[str] = NULL_MARKERS) -> Column:
     """True when the text is one of the markers for a missing value."""
-    return F.upper(strip(c)).isin([m.upper() for m in markers])
+    short = strip(c)
+    return (F.length(short) <= max(len(m) for m in markers)) & F.upper(short).isin([m.upper() for m in markers])
 
 
 def null_if_marker(c: Column, markers: Sequence[str] = NULL_MARKERS) -> Column:
@@ -66,14 +67,22 @@ def date_layout(c: Column) -> Column:
 
 
 def to_date(c: Column) -> Column:
-    """Date of a text in any known layout. The shape picks one parser, so no value is parsed twice."""
+    """Date of a text in any known layout; null for days that do not exist.
+
+    The shape picks the layout, its digits are put in order, and one cast parses them all; only
+    month names need a formatter.
+    """
     text = strip(c)
-    out = F.lit(None).cast("date")
-    for _, shape, layout in reversed(DATE_LAYOUTS):
-        value = F.substring(text, 1, 10) if layout is None else text
-        parsed = F.try_to_timestamp(value, F.lit(layout or "yyyy-MM-dd")).cast("date")
-        out = F.when(text.rlike(shape), parsed).otherwise(out)
-    return out
+    ordered = F.lit(None).cast("string")
+    spelled = F.lit(None).cast("date")
+    for _, shape, places in reversed(DATE_LAYOUTS):
+        if places is None:
+            spelled = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit("MMMM d, yyyy")).cast("date"))
+            continue
+        year, month, day = places
+        digits = F.concat_ws("-", F.substring(text, year, 4), F.substring(text, month, 2), F.substring(text, day, 2))
+        ordered = F.when(text.rlike(shape), digits).otherwise(ordered)
+    return F.coalesce(ordered.try_cast("date"), spelled)
 
 
 def iso_date(c: Column) -> Column:
@@ -151,7 +160,8 @@ def split_escaped(line: Column, sep: str = "|") -> Column:
         pieces = F.transform(F.split(field, "\x01", -1), lambda p: F.replace(p, F.lit("\\1"), F.lit("\x01")))
         return F.array_join(pieces, "\\")
 
-    return F.transform(fields, restore)
+    # Most lines hold no escape at all; they are split and nothing else.
+    return F.when(F.contains(line, F.lit("\\")), F.transform(fields, restore)).otherwise(F.split(line, rf"\Q{sep}\E", -1))
 
 
 def field_count(line: Column, sep: str = "|") -> Column:

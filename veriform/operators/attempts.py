@@ -44,7 +44,9 @@ def convert_with_retry(
         # Plain columns step by step: each is computed once and only for the rows still open.
         out = f"_out{i}"
         work = work.withColumn(out, F.when(F.col("_open"), parse_output(converter(i, F.col("_notes")))))
-        work = voting.ask(work, [F.when(F.col(out).isNotNull(), v) for v in validators(F.col(out))], "_v")
+        # Not wrapped in a condition: rules over null are cheap, and only what is computed
+        # unconditionally is shared between a vote and its message.
+        work = voting.ask(work, validators(F.col(out)), "_v")
         outcome = (
             F.when(~F.col("_open"), F.lit(None).cast("string"))
             .when(F.col(out).isNull(), F.lit("conversion_error"))
@@ -55,7 +57,7 @@ def convert_with_retry(
         voted = F.col(out).isNotNull()
         work = work.withColumns({
             f"_outcome{i}": outcome, f"_approved{i}": F.when(voted, voting.approved("_v")).otherwise(F.lit(0)),
-            f"_total{i}": F.when(voted, voting.asked("_v")).otherwise(F.lit(0)), f"_feedback{i}": voting.feedback("_v"),
+            f"_total{i}": F.when(voted, voting.asked("_v")).otherwise(F.lit(0)), f"_feedback{i}": F.when(voted, voting.feedback("_v")).otherwise(F.lit("")),
         })
         work = voting.drop_votes(work, "_v").withColumns({
             "_open": _settled(F.coalesce(F.col(f"_outcome{i}") == "rejected", F.lit(False))), "_notes": F.col(f"_feedback{i}"),
@@ -97,8 +99,7 @@ def generate_with_retry(
     for i in range(1, retry_limit + 1):
         block = F.nullif(extract(F.when(F.col("_open"), generator(i, F.col("_notes")))), F.lit(""))
         work = work.withColumn("_now", block)
-        votes = [F.when(F.col("_now").isNotNull(), v) for v in validators(F.col("_now"))]
-        work = voting.ask(work, votes, "_v")
+        work = voting.ask(work, validators(F.col("_now")), "_v")
         fine = F.coalesce(voting.decide(voting.approved("_v"), voting.asked("_v")), F.lit(False))
         done = F.col("_open") & F.col("_now").isNotNull() & (fine | F.lit(i == retry_limit))
         note = F.when(F.col("_now").isNull(), F.lit(f"Attempt {i} failed: Could not extract YAML from result")).otherwise(voting.retry_note(i, "_v"))
@@ -137,7 +138,7 @@ def run_documents(
     Status also covers ``load_error`` (no text) and ``pre-verification_failed``.
     """
     loaded = F.col(value).isNotNull()
-    verified = voting.ask(df, [F.when(loaded, v) for v in verifiers], "pre")
+    verified = voting.ask(df, verifiers, "pre")
     gate = (
         F.when(~loaded, F.lit("load_error")).when(voting.unreadable("pre"), F.lit("vote_error"))
         .when(~voting.passed("pre"), F.lit("pre-verification_failed"))

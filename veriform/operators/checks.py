@@ -15,10 +15,18 @@ from veriform.operators.profile import long_form
 INJECTION_PATTERNS = {
     "sql": r"(?i)\bunion\s+(all\s+)?select\b|;\s*(drop|delete|truncate|alter)\s+(table|from|database)\b|'\s*or\s+'?1'?\s*=\s*'?1",
     "script": r"(?i)<script\b|\bjavascript:|<[^>]*\son(error|load|click)\s*=",
-    "formula": r"""(?m)(^|[,;|\t])["']?(=[A-Za-z(]|@[A-Za-z]|[+-][A-Za-z(])""",
+    "formula": r"""(?md)(?:@(?<=(?:^|[,;|\t])["']?@)[A-Za-z]|[=+-](?<=(?:^|[,;|\t])["']?[=+-])[A-Za-z(])""",
     "prompt": r"(?i)\b(ignore|disregard|forget)\s+(all\s+|the\s+|any\s+)?(previous|prior|above)\s+(instructions|rules|prompts)\b",
 }
 
+# A family's pattern can match only where all words of one of these groups occur.
+INJECTION_WORDS = {
+    "sql": (("union", "select"), (";", "drop"), (";", "delete"), (";", "truncate"), (";", "alter"), ("'", "=", "or")),
+    "script": (("<script",), ("javascript:",), ("<", "onerror"), ("<", "onload"), ("<", "onclick")),
+    "formula": (("=",), ("@",), ("+",), ("-",)),
+    "prompt": (("instructions",), ("rules",), ("prompts",)),
+}
+
 CONTROL_CHARACTERS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]"
 
 
@@ -85,9 +93,23 @@ def not_empty(c: Column) -> Column:
 
 
 def injection_families(c: Column) -> Column:
-    """Array of the families of hostile patterns found."""
-    # Java needs the flag d for lines that end at \n only.
-    return F.array_compact(F.array(*[F.when(c.rlike(p.replace("(?m)", "(?md)")), F.lit(f)) for f, p in INJECTION_PATTERNS.items()]))
+    """Array of the families of hostile patterns found.
+
+    Whole texts are tested, but a pattern runs only where its words occur: a search for a fixed word
+    is many times faster than a pattern.
+    """
+    lower = F.lower(c)
+
+    def found(family: str) -> Column:
+        near = F.lit(False)
+        for words in INJECTION_WORDS[family]:
+            every = F.lit(True)
+            for word in words:
+                every = every & F.contains(lower, F.lit(word))
+            near = near | every
+        return near & c.rlike(INJECTION_PATTERNS[family])
+
+    return F.array_compact(F.array(*[F.when(found(f), F.lit(f)) for f in INJECTION_PATTERNS]))
 
 
 def no_injection(c: Column) -> Column:
@@ -104,13 +126,27 @@ def identifiers_valid(headers: Column) -> Column:
     return check(F.size(bad) == 0, F.concat(F.lit("Invalid names: "), F.array_join(bad, ", ")))
 
 
+def fits(text: Column, kind: str) -> Column:
+    """True when a stripped text can be cast to the type.
+
+    A failing cast costs an exception, so texts that cannot be a number or a moment by their first
+    character are told apart before.
+    """
+    cast = text.try_cast(kind).isNotNull()
+    if kind.startswith(("int", "bigint", "smallint", "tinyint", "decimal", "date", "timestamp")):
+        return text.rlike(r"^[+\-.\d]") & cast
+    if kind in ("double", "float"):
+        return text.rlike(r"(?i)^([+\-.\d]|nan|inf)") & cast
+    return cast
+
+
 def type_fit(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     """Share of present values of each text column that fit its target type: ``(name, target, present, fitting, ok)``; one scan."""
     aggs, records = [], []
     for i, (c, kind) in enumerate(targets.items()):
         text = strip(named(c))
         present = text != ""
-        aggs += [F.count_if(present).alias(f"p{i}"), F.count_if(present & text.try_cast(kind).isNotNull()).alias(f"f{i}")]
+        aggs += [F.count_if(present).alias(f"p{i}"), F.count_if(present & fits(text, kind)).alias(f"f{i}")]
         records.append([
             ("name", F.lit(c)), ("target", F.lit(kind)), ("present", F.col(f"p{i}")), ("fitting", F.col(f"f{i}")),
             ("ok", F.col(f"p{i}") == F.col(f"f{i}")),

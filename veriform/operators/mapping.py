@@ -51,16 +51,22 @@ def match_frame(
         meanings[target].append(_normal(word))
 
     def best_target(norm: Column) -> Column:
-        options = []
+        # Score and target in one number, so that the smaller number is the better target.
+        n = len(targets)
+        known = F.lit(None).cast("int")
+        for score in (1, 0):
+            for i in reversed(range(n)):
+                words = [_normal(targets[i])] if score == 0 else meanings[targets[i]]
+                if words:
+                    known = F.when(norm.isin(*words), F.lit(score * n + i)).otherwise(known)
+        near = []
         for i, target in enumerate(targets):
-            distance = F.levenshtein(norm, F.lit(_normal(target)), max_distance)
-            score = F.when(norm == _normal(target), F.lit(0))
-            if meanings[target]:
-                score = score.when(norm.isin(*meanings[target]), F.lit(1))
-            score = score.when((distance >= 0) & (norm != ""), distance + 1)
-            # Score and target in one number, so that the smaller number is the better target.
-            options.append(score * len(targets) + i)
-        return F.least(*options) if len(options) > 1 else options[0]
+            word = _normal(target)
+            # Names whose lengths differ by more than the distance allowed are not compared.
+            close = F.length(norm).between(len(word) - max_distance, len(word) + max_distance) & (norm != "")
+            distance = F.when(close, F.levenshtein(norm, F.lit(word), max_distance))
+            near.append(F.nullif(distance, F.lit(-1)) * n + (n + i))
+        return F.coalesce(known, F.least(*near) if n > 1 else near[0])
 
     # Columns are added step by step: each step is computed once, not once per target.
     named_rows = df.withColumn("_norms", F.transform(headers, normal_name))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from veriform.functions.values import escape_field, iso_date, split_escaped
@@ -48,11 +46,10 @@ def convert(i: int, notes):
 
 
 def validators(line):
-    parsed = split_escaped(line, SEP)
-    same = reduce(lambda a, b: a & b, [F.coalesce(F.get(parsed, i) == t, F.lit(False)) for i, t in enumerate(texts())])
     layout = rec.layout_check(line, si.TARGET, SEP)
-    dated = ck.check(F.coalesce(F.get(parsed, 3), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$"), "Date not YYYY-MM-DD")
-    return [vt.vote_of(layout), vt.vote_of(ck.check(same, "Values differ")), vt.vote_of(dated)]
+    same = ck.check(split_escaped(line, SEP) == F.array(*texts()), "Values differ")
+    dated = ck.check(F.get(split_escaped(line, SEP), 3).rlike(r"^\d{4}-\d{2}-\d{2}$"), "Date not YYYY-MM-DD")
+    return [vt.vote_of(layout), vt.vote_of(same), vt.vote_of(dated)]
 
 
 def converted(spark, sf):

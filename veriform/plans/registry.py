@@ -25,4 +25,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+# Bytes of a file that are worth a task of their own when a small input is dealt out.
+BYTES_PER_TASK = 256 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input out to idle cores.
+
+    A file of one row group is one task, however many cores wait. The size of the scan decides: an
+    input too small for a second task, or already split into enough parts, as any large one is,
+    stays as it is, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
