@@ -7,20 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriform.session import materialise
+
+# Keys with more rows than one page that are sent to every task; above that they are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
 
 def with_pages(df: DataFrame, keys: Sequence[str], max_rows: int, page: str = "page") -> DataFrame:
     """Adds a page number so that a group of ``keys`` and page holds about ``max_rows`` rows.
 
-    Groups up to ``max_rows`` keep page 0. Larger ones are counted with a map-side combined
-    aggregate, and their rows are dealt out by position, so a key with a third of all rows, or a
-    million copies of one row, ends in many small groups. Use it directly on a scan, where
-    positions are the same when a task is run again.
+    Rows are first counted per key with a map-side combined aggregate. Usually no key is too large:
+    then all rows are on page 0 and nothing is joined. The rows of larger keys are dealt out by
+    position, so a key with a third of all rows, or a million copies of one row, ends in many small
+    groups. Use it directly on a scan, where positions are the same when a task is run again.
     """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / max_rows).cast("bigint").alias("_pages"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
+    large = materialise(
+        sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / max_rows).cast("bigint").alias("_pages"))
     )
+    found = large.count()
+    if found == 0:
+        return df.withColumn(page, F.lit(0).cast("bigint"))
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
     on = [placed[k].eqNullSafe(large[f"_k_{k}"]) for k in keys]
     number = F.when(F.col("_pages").isNotNull(), F.pmod(F.xxhash64("_place"), F.col("_pages"))).otherwise(F.lit(0)).cast("bigint")
-    return placed.join(large, on, "left").withColumn(page, number).select(*df.columns, page)
+    few = F.broadcast(large) if found <= BROADCAST_KEYS else large
+    return placed.join(few, on, "left").withColumn(page, number).select(*df.columns, page)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veriform.functions.text import extract_block
+from veriform.functions.text import extract_block, parse_output
 from veriform.operators import attempts as at
 from veriform.operators import checks as ck
 from veriform.operators import voting as vt
@@ -74,16 +74,24 @@ def conversion_attempts(spark, sf):
 
 @query("first_passing", f"with {ATTEMPTS_CTE} select page_id, attempt, o as output, approved, total from tried where outcome = 'success'")
 def first_passing(spark, sf):
-    # Attempts made without stopping, as a log of independent tries would hold them.
-    pages = table(spark, sf, "pages").select("page_id", "html")
-    every = None
+    return at.select_attempt(independent_attempts(table(spark, sf, "pages")), ["page_id"])
+
+
+def independent_attempts(pages):
+    """A log of all three attempts of every page, made without stopping at the first approved one."""
+    work, kept = pages.select("page_id", "html"), F.lit(True)
+    rows = []
     for i in range(len(SOURCES)):
-        work = at.convert_with_retry(pages, lambda _, notes, i=i: convert(i, notes), judges, 1)
-        rows = at.attempts_long(work, ["page_id"]).withColumn("attempt", F.lit(i))
-        every = rows if every is None else every.unionByName(rows)
-    ended = every.groupBy("page_id").agg(F.min(F.when(F.col("outcome") == "conversion_error", F.col("attempt"))).alias("stop"))
-    log = every.join(ended, "page_id").filter(F.col("stop").isNull() | (F.col("attempt") <= F.col("stop")))
-    return at.select_attempt(log, ["page_id"])
+        out = f"o{i}"
+        work = vt.ask(work.withColumn(out, parse_output(convert(i, None))), judges(F.col(out)), f"v{i}")
+        outcome = F.when(vt.passed(f"v{i}"), "success").otherwise("rejected")
+        row = F.struct(
+            F.lit(i).alias("attempt"), F.col(out).alias("output"), vt.approved(f"v{i}").alias("approved"), vt.asked(f"v{i}").alias("total"), outcome.alias("outcome")
+        )
+        # Nothing follows an answer without its section.
+        kept = kept & F.col(out).isNotNull()
+        rows.append(F.when(kept, row))
+    return work.select("page_id", F.inline_outer(F.array_compact(F.array(*rows)))).filter("outcome is not null")
 
 
 # The whole run on documents: missing text, verification, answers by attempt, validation.

@@ -156,8 +156,9 @@ select count(*) as n, sum((v0 = good)::int + (v1 = good)::int + (v2 = good)::int
 from (select quality = 1 as good, v.* from labels join ({VOTES_SQL}) v using (doc_id)))""".replace("(v0::int + v1::int + v2::int >= 2 = good)", "((v0::int + v1::int + v2::int >= 2) = good)"),
 )
 def majority_accuracy(spark, sf):
-    voted = vt.ask_all(planted(spark, sf), voters()).select("doc_id", *[F.col(f"vote_ok_{i}").alias(f"v{i}") for i in range(3)], vt.passed().alias("passed"))
-    joined = table(spark, sf, "labels").join(voted, "doc_id").withColumn("good", F.col("quality") == 1)
+    # Joined first, so that only labelled documents are voted on.
+    labelled = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good")).join(planted(spark, sf), "doc_id")
+    joined = vt.ask_all(labelled, voters()).select("good", *[F.col(f"vote_ok_{i}").alias(f"v{i}") for i in range(3)], vt.passed().alias("passed"))
     right = sum(((F.col(f"v{i}") == F.col("good")).cast("int") for i in range(3)), F.lit(0))
     facts = joined.agg(
         F.count(F.lit(1)).alias("n"), (F.sum(right) / (3.0 * F.count(F.lit(1)))).alias("p"), (F.count_if(F.col("passed") == F.col("good")) / F.count(F.lit(1))).alias("measured")

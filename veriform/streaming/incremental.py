@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriform.sources.documents import decode_dropping
+
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 Convert = Callable[[DataFrame], DataFrame]
 
 
@@ -19,12 +22,10 @@ def convert_stream(
     own number and replaces it when it is run again, so a failure between write and commit neither
     loses nor doubles a file. Run it again to pick up new files; the checkpoint holds what was done.
     """
-    reader = (
-        spark.readStream.format("text").schema("value string").option("wholetext", "true").option("pathGlobFilter", pattern)
-    )
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    files = reader.load(folder).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    files = reader.load(folder).select(F.col("path").alias("file_path"), decode_dropping(F.col("content")).alias("value"))
 
     def write(batch: DataFrame, number: int) -> None:
         convert(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
