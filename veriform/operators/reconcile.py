@@ -124,13 +124,12 @@ def spec_coverage(spec: DataFrame, profile: DataFrame, allowed: dict[str, Sequen
 
     ``allowed`` lists the inferred types each target kind takes.
     """
-    unknown = spec.filter("source is not null").join(profile, spec["source"] == profile["name"], "left_anti").select(
-        "target", "source", F.lit("not in profile").alias("problem")
-    )
-    empty = spec.filter("source is null").select("target", "source", F.lit("no source").alias("problem"))
-    joined = spec.join(profile, spec["source"] == profile["name"])
+    joined = spec.join(profile.select("name", "data_type"), spec["source"] == profile["name"], "left")
     fits = F.lit(False)
     for kind, types in allowed.items():
         fits = fits | ((F.col("kind") == kind) & F.col("data_type").isin(*types))
-    wrong = joined.filter(~fits).select("target", "source", F.concat(F.col("data_type"), F.lit(" does not fit "), F.col("kind")).alias("problem"))
-    return unknown.unionByName(empty).unionByName(wrong)
+    problem = (
+        F.when(F.col("source").isNull(), F.lit("no source")).when(F.col("name").isNull(), F.lit("not in profile"))
+        .when(~fits, F.concat(F.col("data_type"), F.lit(" does not fit "), F.col("kind")))
+    )
+    return joined.select("target", "source", problem.alias("problem")).filter("problem is not null")
