@@ -39,11 +39,11 @@ def convert_with_retry(
     not tried again), ``vote_error`` (first or second vote unreadable) or ``failed``. Rows where
     ``ready`` is false are left alone, all added columns null.
     """
-    work = df.withColumns({"_open": F.coalesce(ready, F.lit(False)) if ready is not None else F.lit(True), "_notes": F.lit("")})
+    work = df.withColumn("_open", F.coalesce(ready, F.lit(False)) if ready is not None else F.lit(True))
     for i in range(max_retries):
         # Plain columns step by step: each is computed once and only for the rows still open.
-        out = f"_out{i}"
-        work = work.withColumn(out, F.when(F.col("_open"), parse_output(converter(i, F.col("_notes")))))
+        out, notes = f"_out{i}", F.col(f"_feedback{i - 1}") if i else F.lit("")
+        work = work.withColumn(out, F.when(F.col("_open"), parse_output(converter(i, notes))))
         # Not wrapped in a condition: rules over null are cheap, and only what is computed
         # unconditionally is shared between a vote and its message.
         work = voting.ask(work, validators(F.col(out)), "_v")
@@ -58,9 +58,7 @@ def convert_with_retry(
         work = work.withColumns({
             f"_outcome{i}": outcome, f"_approved{i}": F.when(voted, voting.approved("_v")).otherwise(F.lit(0)),
             f"_total{i}": F.when(voted, voting.asked("_v")).otherwise(F.lit(0)), f"_feedback{i}": F.when(voted, voting.feedback("_v")).otherwise(F.lit("")),
-        })
-        work = voting.drop_votes(work, "_v").withColumns({
-            "_open": _settled(F.coalesce(F.col(f"_outcome{i}") == "rejected", F.lit(False))), "_notes": F.col(f"_feedback{i}"),
+            "_open": _settled(F.coalesce(outcome == "rejected", F.lit(False))),
         })
 
     def over(pick: Callable[[int], Column]) -> Column:
@@ -111,7 +109,6 @@ def generate_with_retry(
             "_notes": F.when(F.col("_open") & ~F.col("_done") & F.lit(i < retry_limit), F.col("_note")).otherwise(F.col("_notes")),
             "_open": _settled(F.col("_open") & ~F.col("_done")),
         }).drop("_now", "_done", "_fine", "_note")
-        work = voting.drop_votes(work, "_v")
     status = F.when(F.col("_block").isNotNull(), F.lit("success")).otherwise(F.lit("failed"))
     return work.select(
         *df.columns, status.alias("status"), F.col("_used").alias("attempts"), F.col("_passed").alias("passed"),

@@ -91,6 +91,12 @@ def match_frame(
     return picked.withColumn("matches", F.array_compact(F.array(*found))).select(*[named(c) for c in df.columns], "matches")
 
 
+def matches_long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per match: ``(keys..., target, header, position, score)``."""
+    # The outer form keeps Catalyst from filtering on the array first, which would match every header twice.
+    return df.select(*keys, F.inline_outer("matches")).filter("target is not null")
+
+
 def mapping_for(df: DataFrame, targets: Sequence[str], synonyms: Mapping[str, str] | None = None,
                 max_distance: int = 2) -> dict[str, str]:
     """Target to source column names of one table (reads only its header)."""

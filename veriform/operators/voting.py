@@ -134,10 +134,6 @@ def retry_note(attempt: Column | int, name: str = "vote") -> Column:
     )
 
 
-def drop_votes(df: DataFrame, name: str = "vote") -> DataFrame:
-    return df.drop(*[f"{name}_{part}_{i}" for part in ("ok", "msg") for i in range(VOTERS)], f"{name}_asked")
-
-
 def to_long(df: DataFrame, keys: Sequence[str], name: str = "vote") -> DataFrame:
     """One row per vote cast: ``(keys..., agent_idx, isvalid, invalid_msg)``."""
     cast = [

@@ -27,7 +27,7 @@ def invoice_projection(spark, sf):
 @query("header_mapping", f"with {si.MATCH_CTE} select doc_id, target, header, cast(position as integer) as position, cast(score as integer) as score from matched")
 def header_mapping(spark, sf):
     matched = mp.match_frame(si.header_files(spark, sf), "headers", si.TARGET, si.SYNONYMS)
-    return matched.select("doc_id", F.inline("matches"))
+    return mp.matches_long(matched, ["doc_id"])
 
 
 @query("prefix_columns", "select r_regionkey as src_r_regionkey, r_name as src_r_name from region")
