@@ -133,6 +133,13 @@ def test_csv_files_round_trip(spark, tmp_path):
     assert all(t == b"" or t.startswith(b"id,note,amount\r\n") for t in texts)
 
 
+def test_typed_values_as_text(spark):
+    df = spark.sql("select ' a ' as s, 2.5D as d, 1e10D as big, true as t, timestamp'2025-01-02 03:04:05' as ts, cast(null as int) as n, date'2025-01-02' as day")
+    assert lines_of(ln.to_pipe_lines(df))[1] == "a|2.5|10000000000|True|2025-01-02T03:04:05||2025-01-02"
+    assert lines_of(ln.to_csv_lines(df))[1] == " a ,2.5,10000000000,true,2025-01-02T03:04:05,,2025-01-02"
+    assert js.to_json_records(df.select("ts", "n", "t", "day")).first()[0] == '{"ts":"2025-01-02T03:04:05Z","n":null,"t":true,"day":"2025-01-02"}'
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("café �".encode() + b"\xff!")
     (tmp_path / "b.txt").write_bytes("café".encode("latin-1"))

@@ -158,10 +158,3 @@ def explode_then_flatten(df: DataFrame, array_path: str, paths: Mapping[str, str
 
 def subset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[named(c) for c in columns])
-
-
-def strip_names(df: DataFrame) -> DataFrame:
-    """Header names without surrounding blanks."""
-    return df.toDF(*[c.strip() for c in df.columns])
-
-

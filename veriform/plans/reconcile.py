@@ -104,16 +104,16 @@ def format_compliance(spark, sf):
 
 PROVIDERS = {
     "local": {"request_format": "openai", "default_model": None},
-    "openai": {"request_format": "openai", "default_model": "gpt-x"},
-    "anthropic": {"request_format": "anthropic", "default_model": "claude-x"},
-    "google": {"request_format": "google", "default_model": "lab/gemini-x"},
+    "openai": {"request_format": "openai", "default_model": "model-a"},
+    "anthropic": {"request_format": "anthropic", "default_model": "model-b"},
+    "google": {"request_format": "google", "default_model": "lab/model-c"},
 }
 
 # One agent per turn of a conversation: settings given, left out, or unknown.
 AGENT = """case turn % 5 when 0 then null when 1 then 'openai' when 2 then 'anthropic' when 3 then 'google' else 'nowhere' end as provider,
   case when conv_id % 3 = 0 then concat('own/', role) end as model, case when conv_id % 4 = 0 then cast(0.2 as double) end as temperature"""
 AGENTS_SQL = f"select conv_id, turn, text, {AGENT} from conversations"
-RESOLVED_SQL = f"""select conv_id, turn, text, p as use_provider, coalesce(model, case p when 'openai' then 'gpt-x' when 'anthropic' then 'claude-x' when 'google' then 'lab/gemini-x' end, 'base/model') as use_model,
+RESOLVED_SQL = f"""select conv_id, turn, text, p as use_provider, coalesce(model, case p when 'openai' then 'model-a' when 'anthropic' then 'model-b' when 'google' then 'lab/model-c' end, 'base/model') as use_model,
   coalesce(temperature, 0.7::double) as use_temperature, case p when 'anthropic' then p when 'google' then p when 'nowhere' then null else 'openai' end as request_format,
   case when p = 'nowhere' then 'Provider ''nowhere'' not configured' end as error from (select *, coalesce(provider, 'local') as p from ({AGENTS_SQL}))"""
 

@@ -37,7 +37,7 @@ def quoted(c: str) -> str:
 @query(
     "csv_lines",
     f"""select 'c_custkey,name,c_acctbal,vip' as line union all select concat_ws(',', cast(c_custkey as varchar), {quoted('n')}, cast(b as varchar), cast(vip as varchar))
-from (select c_custkey, trim(coalesce({NAME}, '')) as n, cast(c_acctbal as decimal(18,2)) as b, c_acctbal > 5000 as vip from customer)""",
+from (select c_custkey, coalesce({NAME}, '') as n, cast(c_acctbal as decimal(18,2)) as b, c_acctbal > 5000 as vip from customer)""",
 )
 def csv_lines(spark, sf):
     rows = table(spark, sf, "customer").select(

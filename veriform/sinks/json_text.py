@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from veriform.operators.mapping import named
 from veriform.operators.paging import with_pages
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
+MOMENT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+KEEP_NULLS = {"ignoreNullFields": "false", "timestampFormat": MOMENT, "timestampNTZFormat": MOMENT}
 
 
 def to_json_records(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -43,7 +44,7 @@ def to_nested_json(layout: Mapping[str, Column | Mapping]) -> Column:
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    df.write.mode(mode).options(**KEEP_NULLS).json(path)
 
 
 def collect_children(items: DataFrame, keys: Sequence[str], fields: Mapping[str, str], max_rows: int = 10_000) -> DataFrame:

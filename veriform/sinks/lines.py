@@ -13,10 +13,15 @@ from veriform.functions.values import csv_field, escape_field
 from veriform.operators.mapping import named
 
 
-def field_text(c: Column, kind: T.DataType) -> Column:
-    """A typed value as text: no exponent, no thousands separator, ISO dates, true/false."""
+# How the formats write true and false.
+CAPITALISED = ("True", "False")
+LOWER_CASE = ("true", "false")
+
+
+def field_text(c: Column, kind: T.DataType, trim: bool = True, words: tuple[str, str] = CAPITALISED) -> Column:
+    """A typed value as text: no exponent, no thousands separator, ISO dates, the given words for booleans."""
     if isinstance(kind, T.StringType):
-        return strip(c)
+        return strip(c) if trim else c
     if isinstance(kind, T.DoubleType | T.FloatType):
         plain = c.try_cast(T.DecimalType(38, 10)).cast("string")
         short = F.regexp_replace(plain, r"(\.\d*?[1-9])0+$|\.0+$", "$1")
@@ -25,24 +30,24 @@ def field_text(c: Column, kind: T.DataType) -> Column:
         midnight = F.date_trunc("day", c) == c
         return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
     if isinstance(kind, T.BooleanType):
-        return F.when(c, F.lit("true")).when(~c, F.lit("false"))
+        return F.when(c, F.lit(words[0])).when(~c, F.lit(words[1]))
     if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
         return F.to_json(c)
     return c.cast("string")
 
 
-def texts(df: DataFrame, cols: Sequence[str]) -> list[Column]:
-    return [F.coalesce(field_text(named(c), df.schema[c].dataType), F.lit("")) for c in cols]
+def texts(df: DataFrame, cols: Sequence[str], trim: bool = True, words: tuple[str, str] = CAPITALISED) -> list[Column]:
+    return [F.coalesce(field_text(named(c), df.schema[c].dataType, trim, words), F.lit("")) for c in cols]
 
 
 def delimited_line(df: DataFrame, cols: Sequence[str], sep: str = "|") -> Column:
-    """One record as a line; separators, backslashes and line breaks in values are escaped."""
+    """One record as a line; strings are trimmed, separators, backslashes and line breaks in them escaped."""
     return F.concat_ws(sep, *[escape_field(t, sep) for t in texts(df, cols)])
 
 
 def csv_line(df: DataFrame, cols: Sequence[str], sep: str = ",") -> Column:
-    """One record after RFC 4180."""
-    return F.concat_ws(sep, *[csv_field(t, sep) for t in texts(df, cols)])
+    """One record after RFC 4180; strings keep their blanks."""
+    return F.concat_ws(sep, *[csv_field(t, sep) for t in texts(df, cols, trim=False, words=LOWER_CASE)])
 
 
 def header_frame(df: DataFrame, header: str) -> DataFrame:

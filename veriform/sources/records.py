@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSV_OPTIONS = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
-
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | T.StructType | None = None,
                    multi_line: bool = True) -> DataFrame:
