@@ -44,6 +44,15 @@ def test_hot_groups_are_paged_and_whole(spark):
     assert {r["page"] for r in arrays if r["k"] == 3} == {0}
 
 
+def test_layout_of_a_file(spark):
+    def summary(*texts):
+        return tuple(rec.layout_summary(spark.createDataFrame([(t,) for t in texts], "line string"), ["a", "b"]).first())
+
+    assert summary("a|b", "1|2", "x\\\\|y", "p\\|q|r") == (1, 3, 0, True)
+    assert summary("a|c", "1|2") == (0, 2, 0, False)
+    assert summary("a|b", "a|b", "1") == (2, 1, 1, False)
+
+
 def test_profile_of_texts(spark):
     rows = [("1", "1.5", "2025-01-01", "2025-01-01 10:00:00", "true", "x", "01/31/2025", None), ("-2", "3", "N/A", "2025-01-02", "FALSE", "1", "January 2, 2025", ""),
             ("99999999999999999999", "1e3", "2025-02-03", "2025-01-02 10:00:00", "true", "", "20250101x", " null ")]

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriform.session import materialise
-
 # Keys with more rows than one page that are sent to every task; above that they are joined by shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -22,12 +20,10 @@ def with_pages(df: DataFrame, keys: Sequence[str], max_rows: int, page: str = "p
     groups. Use it directly on a scan, where positions are the same when a task is run again.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
-    large = materialise(
-        sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / max_rows).cast("bigint").alias("_pages"))
-    )
-    found = large.count()
+    found = sizes.count()
     if found == 0:
         return df.withColumn(page, F.lit(0).cast("bigint"))
+    large = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_rows") / max_rows).cast("bigint").alias("_pages"))
     placed = df.withColumn("_place", F.monotonically_increasing_id())
     on = [placed[k].eqNullSafe(large[f"_k_{k}"]) for k in keys]
     number = F.when(F.col("_pages").isNotNull(), F.pmod(F.xxhash64("_place"), F.col("_pages"))).otherwise(F.lit(0)).cast("bigint")

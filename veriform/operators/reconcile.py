@@ -70,6 +70,17 @@ def layout_check(line: Column, target: Sequence[str], sep: str = "|", header: Co
     return F.when(is_header, check(line == expected, "Header differs")).otherwise(row)
 
 
+def layout_summary(lines: DataFrame, target: Sequence[str], sep: str = "|", line: str = "line") -> DataFrame:
+    """One row for a whole file: ``(headers, records, bad, ok)``; ok with one exact header and no bad record."""
+    expected = sep.join(target)
+    is_header = F.col(line) == expected
+    counted = lines.agg(
+        F.count_if(is_header).alias("headers"), F.count_if(~is_header).alias("records"),
+        F.count_if(~is_header & (field_count(F.col(line), sep) != len(target))).alias("bad"),
+    )
+    return counted.withColumn("ok", (F.col("headers") == 1) & (F.col("bad") == 0))
+
+
 def csv_layout_check(line: Column, width: int, sep: str = ",") -> Column:
     """Same number of fields, quoted separators aside, and quotes in pairs."""
     bare = F.regexp_replace(line, '"[^"]*"', "")
