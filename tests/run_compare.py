@@ -13,7 +13,7 @@ from veriform.session import build_session  # noqa: E402
 
 if __name__ == "__main__":
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", 8, "8g")
+    spark = build_session("compare", os.environ.get("MASTER", "local[8]"), 8, "4g")
     spark.sparkContext.setLogLevel("ERROR")
     sqls = e.oracle_sql()
     bad = 0

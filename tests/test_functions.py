@@ -50,7 +50,7 @@ def test_block_and_sections(spark):
     texts = [f"x {start} k: v {end} y", "Sure\nkey: |\n  a", f"{end} {start}", "nothing here"]
     assert many(spark, texts, tx.extract_block) == ["k: v", "key: |\n  a", None, None]
     spec = "data_conversion_request_msg: |\n  no marker\ndata_validation_request_msg: |\n  {<!--Output-->}\nother: {<!--Data-->}"
-    assert one(spark, spec, tx.placeholder_issues) == ["data_conversion_request_msg missing {<!--Data-->}"]
+    assert one(spark, spec, tx.placeholder_issues) == ["no {<!--Data-->} in data_conversion_request_msg"]
 
 
 def test_json(spark):

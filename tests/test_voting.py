@@ -121,33 +121,68 @@ def test_calls_retry_and_never_raise(spark):
     assert rs.call(lambda r, i: 1 / 0, "r", "i", 2, 2, no_wait)[1] == "division by zero"
 
 
+PROVIDERS = {"local": {"request_format": "openai", "default_model": None}, "b": {"request_format": "google", "default_model": "x/m"}}
+
+
 @pytest.fixture
-def answers():
-    """A responder; defined here so that it travels to the workers by value."""
-
-    def answer(request, instructions):
-        kind, _, text = request.partition(":")
-        if kind == "convert":
-            return "<output>good</output>" if "again" in text or text.startswith("a") else ("nothing" if text.startswith("n") else "<output>x</output>")
-        if text == "boom":
+def calls():
+    """A provider; defined here so that it travels to the workers by value."""
+
+    def transport(payload, agent):
+        import json
+
+        body = json.loads(payload)
+        if "contents" in body:
+            told, request = (c["parts"][0]["text"] for c in body["contents"])
+        else:
+            told, request = (m["content"] for m in body["messages"])
+        assert told == f"as {agent['agent_role']}"
+        if request == "boom":
             raise RuntimeError("down")
-        return f"<isvalid>{'good' in text}</isvalid><invalid_msg>again {kind}</invalid_msg>"
+        if agent["agent_role"] == "converter":
+            text = "<output>good</output>" if "again" in request or request.startswith("a") else ("nothing" if request.startswith("n") else "<output>x</output>")
+        else:
+            text = f"<isvalid>{'bad' not in request and request != 'x'}</isvalid><invalid_msg>again {agent['agent_name']}</invalid_msg>"
+        if "contents" in body:
+            return json.dumps({"candidates": [{"content": {"parts": [{"text": text}]}}]})
+        return json.dumps({"choices": [{"message": {"content": text}}]})
+
+    return rs.Calls(transport, PROVIDERS, tries=1, sleep=lambda s: None, rows_per_task=2)
 
-    return answer
 
+def agents(role, request, providers=(None, "b", None)):
+    return [rs.Agent(f"{role}{i}", role, f"as {role}", request, provider=p, temperature=0.2) for i, p in enumerate(providers)]
 
-def test_called_votes(spark, answers):
-    df = spark.createDataFrame([(1, "v:good", "v:bad", "v:good"), (2, "v:good", "v:good", "v:boom"), (3, "v:boom", "v:good", "v:{<!--Data-->}")], "id int, a string, b string, c string")
-    out = rs.respond_votes(df.withColumn("n", F.lit("")), ["a", "b", "c"], ["n"] * 3, answers, tries=1, sleep=lambda s: None)
+
+def test_called_votes(spark, calls):
+    df = spark.createDataFrame([(1, "good", "bad", "good"), (2, "good", "good", "boom"), (3, "boom", "good", "{<!--Data-->}")], "id int, a string, b string, c string")
+    out = rs.respond_votes(df, agents("voter", ""), [F.col(c) for c in "abc"], calls)
     got = {r["id"]: r for r in out.collect()}
     assert [(got[i]["vote_asked"], got[i]["vote_ok_2"]) for i in (1, 2, 3)] == [(3, True), (2, None), (3, False)]
-    assert got[3]["vote_msg_0"] == "Agent error: down" and got[3]["vote_msg_2"] == "Unreplaced placeholders in request"
+    assert got[3]["vote_msg_0"] == "Agent error: down" and got[3]["vote_msg_2"] == f"Agent error: {rs.MARKERS_LEFT}"
+    meta = got[1]["vote_meta_1"]
+    assert (meta["agent_name"], meta["agent_role"], meta["provider"], meta["model"], meta["temperature"], meta["failed"]) == ("voter1", "voter", "b", "x/m", 0.2, False)
+    assert got[2]["vote_meta_2"] is None and got[3]["vote_meta_0"]["failed"]
+
+
+def test_unknown_provider_is_a_vote_against(spark, calls):
+    df = spark.createDataFrame([(1, "good")], "id int, a string")
+    row = rs.respond_votes(df, agents("voter", "", ("nowhere", None, None)), [F.col("a")] * 3, calls).first()
+    assert (row["vote_ok_0"], row["vote_msg_0"], row["vote_asked"]) == (False, "Agent error: Provider 'nowhere' not configured", 3)
+
+
+def test_called_run(spark, calls):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "n"), (4, None), (5, "bad"), (6, "boom"), (7, "c {<!--Output-->}")], "id int, t string")
+    converter = rs.Agent("c", "converter", "as converter", "{<!--Data-->}{<!--PreviousConversionNotes-->}")
+    out = rs.run_with_calls(df, "id", "t", agents("verifier", "{<!--Data-->}"), converter, agents("validator", "{<!--Output-->}"), calls, "now")
+    assert {r["id"]: (r["status"], r["retries"], r["output"]) for r in out.collect()} == {
+        1: ("success", 0, "good"), 2: ("success", 1, "good"), 3: ("conversion_error", 0, None), 4: ("load_error", None, None), 5: ("pre-verification_failed", None, None),
+        6: ("pre-verification_failed", None, None), 7: ("pre-verification_failed", None, None),
+    }
 
 
-def test_called_conversion(spark, answers):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "n")], "id int, t string")
-    out = rs.convert_with_calls(
-        df, "id", lambda i, notes: F.concat(F.lit("convert:"), "t", notes), F.lit(""), lambda o: [F.concat(F.lit(f"v{j}:"), o) for j in range(3)], answers,
-        tries=1, sleep=lambda s: None,
-    )
-    assert {r["id"]: (r["status"], r["retries"], r["output"]) for r in out.collect()} == {1: ("success", 0, "good"), 2: ("success", 1, "good"), 3: ("conversion_error", 0, None)}
+def test_markers_left_stop_a_conversion(spark, calls):
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    converter = rs.Agent("c", "converter", "as converter", "{<!--Data-->} {<!--Output-->}")
+    row = rs.run_with_calls(df, "id", "t", agents("verifier", "{<!--Data-->}"), converter, agents("validator", "{<!--Output-->}"), calls, "now").first()
+    assert (row["status"], row["notes"]) == ("conversion_error", rs.MARKERS_LEFT)

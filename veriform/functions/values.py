@@ -99,8 +99,8 @@ def json_timestamp(c: Column) -> Column:
 
 
 def two_decimals(c: Column) -> Column:
-    """Text with exactly two decimals, rounded half up."""
-    return c.cast(T.DecimalType(18, 2)).cast("string")
+    """Text with exactly two decimals, rounded half up; null where the value is no number, which a check can see."""
+    return c.try_cast(T.DecimalType(38, 2)).cast("string")
 
 
 def clean_number(c: Column, kind: T.DataType | str = "decimal(18,2)") -> Column:

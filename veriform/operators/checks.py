@@ -72,13 +72,27 @@ def xml_parses(c: Column) -> Column:
     return check(F.from_xml(c, "any string, bad string", options)["bad"].isNull(), "Not well-formed XML")
 
 
-def tags_balance(c: Column, tags: Sequence[str] = ("html", "head", "body", "article", "title")) -> Column:
-    """Opening and closing tags of the given elements are equal in number."""
-    ok = F.lit(True)
-    for tag in tags:
-        opened = F.regexp_count(c, F.lit(rf"(?i)<{tag}[\s>]"))
-        ok = ok & (opened == F.regexp_count(c, F.lit(f"(?i)</{tag}>")))
-    return check(ok, "Unbalanced tags")
+# Elements without an end tag, and those whose end tag may be left out.
+VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
+OPEN_TAGS = "li|dt|dd|p|rt|rp|optgroup|option|colgroup|caption|thead|tbody|tfoot|tr|td|th"
+
+
+def tags_balance(c: Column) -> Column:
+    """Every element is closed, after it was opened and before what surrounds it.
+
+    Comments, scripts and styles are not looked into. Elements without an end tag, those that may leave it out, and
+    those closed in themselves do not count.
+    """
+    bare = F.regexp_replace(c, r"(?is)<!--.*?-->|(?<=<script)\b[^>]*>.*?(?=</script)|(?<=<style)\b[^>]*>.*?(?=</style)", ">")
+    skipped = rf"(?i)(?:{VOID_TAGS}|{OPEN_TAGS})\b"
+    tags = F.regexp_extract_all(bare, F.lit(rf"(?is)<(/?(?!{skipped})[a-z][a-z0-9:-]*)(?:\s[^<>]*)?(?<!/)>"), 1)
+    # A text of the elements that are open, the innermost last; once wrong, it stays so.
+    step = lambda open_, tag: (
+        F.when(open_ == "!", open_).when(~tag.startswith("/"), F.concat(open_, F.lit("<"), tag))
+        .when(open_.endswith(F.concat(F.lit("<"), F.substring(tag, F.lit(2), F.length(tag)))), F.substring(open_, F.lit(1), F.length(open_) - F.length(tag)))
+        .otherwise(F.lit("!"))
+    )
+    return check(F.aggregate(F.transform(tags, F.lower), F.lit(""), step) == "", "Unbalanced tags")
 
 
 def lines_align(c: Column, sep: str) -> Column:

@@ -36,13 +36,19 @@ def _normal(text: str) -> str:
     return "".join(ch for ch in text.lower() if ch.isascii() and ch.isalnum())
 
 
+def allowed_distance(word: str, most: int) -> int:
+    """Changed letters that still make the same name: none below five letters, then one for every five."""
+    return min(most, len(word) // 5)
+
+
 def match_frame(
     df: DataFrame, headers: str, targets: Sequence[str], synonyms: Mapping[str, str] | None = None, max_distance: int = 2
 ) -> DataFrame:
     """Adds ``matches``, the best source header of each target: array of ``(target, header, position, score)``.
 
     ``headers`` names an array column, one row per file, so the match needs no shuffle and no join.
-    Score 0 is an equal name after normalising, 1 a synonym, above that 1 + edit distance. Each
+    Score 0 is an equal name after normalising, 1 a synonym, above that 1 + edit distance, which may
+    be as large as the shorter of both names allows (:func:`allowed_distance`). Each
     header serves its best target only; ties go to the earlier target and the earlier position.
     Targets without a header are absent from the result.
     """
@@ -62,11 +68,16 @@ def match_frame(
         near = []
         for i, target in enumerate(targets):
             word = _normal(target)
+            most = allowed_distance(word, max_distance)
+            if not most:
+                continue
             # Names whose lengths differ by more than the distance allowed are not compared.
-            close = F.length(norm).between(len(word) - max_distance, len(word) + max_distance) & (norm != "")
-            distance = F.when(close, F.levenshtein(norm, F.lit(word), max_distance))
-            near.append(F.nullif(distance, F.lit(-1)) * n + (n + i))
-        return F.coalesce(known, F.least(*near) if n > 1 else near[0])
+            close = F.length(norm).between(len(word) - most, len(word) + most)
+            distance = F.when(close, F.nullif(F.levenshtein(norm, F.lit(word), most), F.lit(-1)))
+            near.append(F.when(distance <= F.floor(F.length(norm) / 5), distance) * n + (n + i))
+        if not near:
+            return known
+        return F.coalesce(known, F.least(*near) if len(near) > 1 else near[0])
 
     # Columns are added step by step: each step is computed once, not once per target.
     named_rows = df.withColumn("_norms", F.transform(headers, normal_name))

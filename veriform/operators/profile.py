@@ -77,6 +77,9 @@ def profile_columns(df: DataFrame, samples: bool = False) -> DataFrame:
     return out.join(sample_values(df), "name", "left") if samples else out
 
 
+MAX_DOUBLE = 1.7976931348623157e308
+
+
 def _distinct(*values: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*values)))
 
@@ -110,17 +113,20 @@ def null_profile(df: DataFrame, markers: Sequence[str] = NULL_MARKERS) -> DataFr
 
 
 def numeric_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Smallest, largest and mean value of numeric columns; sums are exact decimals, so the mean repeats."""
+    """Smallest, largest and mean value of numeric columns, and how many values are not finite: ``(name, low, high, mean, non_finite)``.
+
+    Not-a-number and infinite values are counted and left out of the rest. The mean has ten significant digits, so that
+    it does not depend on the order in which numbers are added.
+    """
     cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])
     aggs, records = [], []
     for i, c in enumerate(cols):
-        exact = named(c).cast(T.DecimalType(28, 4))
-        aggs += [
-            F.min(named(c)).cast("double").alias(f"lo{i}"), F.max(named(c)).cast("double").alias(f"hi{i}"),
-            F.sum(exact).alias(f"s{i}"), F.count(named(c)).alias(f"n{i}"),
-        ]
-        mean = F.round(F.col(f"s{i}").cast("double") / F.nullif(F.col(f"n{i}"), F.lit(0)), 4)
-        records.append([("name", F.lit(c)), ("low", F.col(f"lo{i}")), ("high", F.col(f"hi{i}")), ("mean", mean)])
+        value = named(c).cast("double")
+        finite = F.abs(value) <= MAX_DOUBLE  # not a number is above every number
+        held = F.when(finite, value)
+        aggs += [F.min(held).alias(f"lo{i}"), F.max(held).alias(f"hi{i}"), F.avg(held).alias(f"m{i}"), F.count_if(~finite).alias(f"n{i}")]
+        mean = F.format_string("%.9e", F.col(f"m{i}")).cast("double")
+        records.append([("name", F.lit(c)), ("low", F.col(f"lo{i}")), ("high", F.col(f"hi{i}")), ("mean", F.when(F.col(f"m{i}").isNotNull(), mean)), ("non_finite", F.col(f"n{i}"))])
     return long_form(df.agg(*aggs), records)
 
 
@@ -155,7 +161,7 @@ def detect_format(df: DataFrame, text: str) -> DataFrame:
     t = strip(F.col(text))
     bare = F.when(F.contains(t, F.lit('"')), F.regexp_replace(t, '"[^"]*"', "")).otherwise(t)
     work = df.withColumns({"_t": t, "_bare": bare}).withColumns(
-        {"_first": F.substring_index("_bare", "\n", 1), "_many": F.contains("_t", F.lit("\n")), "_head": F.lower(F.left("_t", F.lit(200)))}
+        {"_first": F.substring_index("_bare", "\n", 1), "_many": F.contains("_t", F.lit("\n"))}
     )
     lines = F.split("_bare", "\n", -1)
     lengths = F.transform(lines, F.length)
@@ -170,11 +176,15 @@ def detect_format(df: DataFrame, text: str) -> DataFrame:
     return out.select(*df.columns, F.col("_found").alias("format"), "delimiter", quote.alias("quote_char"), header.alias("has_header"))
 
 
+# What an HTML page opens with, after any comments and declarations.
+HTML_OPENING = r"(?is)^(?:<!--.*?-->|<[?].*?[?]>|\s)*<(?:!doctype\s+html|html)\b"
+
+
 def _first_match(lines: Column, lengths: Column) -> Column:
-    head, t, many = F.col("_head"), F.col("_t"), F.col("_many")
+    t, many = F.col("_t"), F.col("_many")
     tests: list[tuple[Column, str]] = [
-        (head.startswith("<!doctype html") | head.rlike(r"<html\b"), "html"),
-        (head.startswith("<?xml") | t.rlike(r"(?s)^<[A-Za-z][^>]*>.*>$"), "xml"),
+        (t.rlike(HTML_OPENING), "html"),
+        (t.startswith("<?xml") | t.rlike(r"(?s)^<[A-Za-z][^>]*>.*>$"), "xml"),
         (t.rlike(r"^[{\[]") & is_json(t), "json"),
     ]
     # Counting over all lines comes last in each test, so it runs only where the first line fits.
@@ -206,11 +216,11 @@ def profile_valid(profile: Column) -> Column:
     """Struct ``(ok, reason)``: format present, at least one column, each with name and type."""
     columns = profile["columns"]
     reason = (
-        F.when(profile["format"].isNull(), F.lit("Profile missing required field: format"))
-        .when(columns.isNull(), F.lit("Profile missing required field: columns"))
-        .when(F.size(columns) == 0, F.lit("Profile must have at least one column"))
-        .when(F.exists(columns, lambda x: x["name"].isNull()), F.lit("Column missing 'name' field"))
-        .when(F.exists(columns, lambda x: x["data_type"].isNull()), F.lit("Column missing 'data_type' field"))
+        F.when(profile["format"].isNull(), F.lit("No format given"))
+        .when(columns.isNull(), F.lit("No list of columns"))
+        .when(F.size(columns) == 0, F.lit("The list of columns is empty"))
+        .when(F.exists(columns, lambda x: x["name"].isNull()), F.lit("A column has no name"))
+        .when(F.exists(columns, lambda x: x["data_type"].isNull()), F.lit("A column has no data_type"))
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 

@@ -39,22 +39,11 @@ def differing_rows(source: DataFrame, output: DataFrame, cols: Sequence[str]) ->
 
 
 def value_diff(source: DataFrame, output: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Values that differ: ``(keys..., column, source_value, output_value, n_source, n_output)``.
+    """Every value that occurs more often on one side: ``(keys..., column, value, surplus)``, positive for the source.
 
-    Equal rows cancel first, so only differing rows are spread into values. A key on one side only
-    has null on the other. Where a key has several rows, equal values cancel by count, ``n_source``
-    and ``n_output`` say how many are left, and the largest is shown; :func:`value_surplus` lists all.
+    Equal rows cancel first, so only differing rows are spread into values. A changed value is two rows, one for each
+    side; a key on one side only has all its values on that side. Nothing that differs is left out.
     """
-    per_value = value_surplus(source, output, keys, cols)
-    more, less = F.col("surplus") > 0, F.col("surplus") < 0
-    return per_value.groupBy(*[named(k) for k in keys], "column").agg(
-        F.max(F.when(more, F.col("value"))).alias("source_value"), F.max(F.when(less, F.col("value"))).alias("output_value"),
-        F.sum(F.when(more, F.col("surplus")).otherwise(0)).alias("n_source"), F.sum(F.when(less, -F.col("surplus")).otherwise(0)).alias("n_output"),
-    )
-
-
-def value_surplus(source: DataFrame, output: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Every value that occurs more often on one side: ``(keys..., column, value, surplus)``."""
     rows = differing_rows(source, output, [*keys, *cols])
     values = F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in cols])
     spread = rows.select(*[named(k) for k in keys], "surplus", F.inline(values))
@@ -62,23 +51,32 @@ def value_surplus(source: DataFrame, output: DataFrame, keys: Sequence[str], col
 
 
 def layout_check(line: Column, target: Sequence[str], sep: str = "|", header: Column | None = None) -> Column:
-    """Check of one line: the header is exact, every other line has the same number of fields."""
+    """Check of one line: it has as many fields as the target.
+
+    ``header`` marks the line that must be the header, by its place in the file; that line is checked for the exact
+    names, and no other line may repeat them. Without it, the line is a record.
+    """
     expected = sep.join(target)
     fields = field_count(line, sep)
-    is_header = header if header is not None else line == expected
     row = check(fields == len(target), F.concat(F.lit(f"Expected {len(target)} fields, found "), fields.cast("string")))
-    return F.when(is_header, check(line == expected, "Header differs")).otherwise(row)
+    if header is None:
+        return row
+    return F.when(header, check(line == expected, "Header differs")).when(line == expected, check(F.lit(False), "Header repeated")).otherwise(row)
+
 
+def layout_summary(lines: DataFrame, target: Sequence[str], place: str, file: Sequence[str] = (), sep: str = "|", line: str = "line") -> DataFrame:
+    """One row per file: ``(file..., header_ok, repeats, records, bad, ok)``.
 
-def layout_summary(lines: DataFrame, target: Sequence[str], sep: str = "|", line: str = "line") -> DataFrame:
-    """One row for a whole file: ``(headers, records, bad, ok)``; ok with one exact header and no bad record."""
+    ``place`` numbers the lines of a file from 0. ``header_ok``: line 0 is the exact header; ``repeats``: the same line
+    elsewhere; ``bad``: other lines with a wrong number of fields.
+    """
     expected = sep.join(target)
-    is_header = F.col(line) == expected
-    counted = lines.agg(
-        F.count_if(is_header).alias("headers"), F.count_if(~is_header).alias("records"),
-        F.count_if(~is_header & (field_count(F.col(line), sep) != len(target))).alias("bad"),
+    first, same = named(place) == 0, named(line) == expected
+    counted = lines.groupBy(*[named(f) for f in file]).agg(
+        F.coalesce(F.bool_or(first & same), F.lit(False)).alias("header_ok"), F.count_if(~first & same).alias("repeats"),
+        F.count_if(~first & ~same).alias("records"), F.count_if(~first & ~same & (field_count(named(line), sep) != len(target))).alias("bad"),
     )
-    return counted.withColumn("ok", (F.col("headers") == 1) & (F.col("bad") == 0))
+    return counted.withColumn("ok", F.col("header_ok") & (F.col("repeats") == 0) & (F.col("bad") == 0))
 
 
 def csv_layout_check(line: Column, width: int, sep: str = ",") -> Column:

@@ -1,20 +1,26 @@
 """Converters and voters that are calls: a function given by the user, run in batches by Spark.
 
 Answers may cost time and money and may differ from call to call, so every step is materialised
-before it is used: no later action, and no lost executor, asks again for rows already answered.
+before it is used: no later action, and no executor lost after a step, asks again for rows already
+answered. A task that fails within a step asks again for the rows of its partition, so
+``rows_per_task`` bounds what one failure can repeat.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriform.functions import text as tx
 from veriform.functions.text import has_placeholders, parse_output, parse_verdict
+from veriform.operators import agents as ag
 from veriform.operators import voting
+from veriform.operators.mapping import named
 from veriform.session import materialise
 
 # Takes (request, instructions) and returns the text of the answer; may raise.
@@ -62,83 +68,146 @@ def respond(
     return materialise(out) if keep else out
 
 
-def respond_votes(
-    df: DataFrame, requests: Sequence[str], instructions: Sequence[str], responder: Responder, name: str = "vote", tries: int = 3,
-    backoff: float = 2, concurrency: int | None = None, sleep: Callable[[float], None] = time.sleep, check_markers: bool = True, keep: bool = True,
-) -> DataFrame:
-    """Votes of three called voters with early exit, in the columns of :func:`veriform.operators.voting.ask`.
+# Fixed value: the error of a request in which template markers are left.
+MARKERS_LEFT = "Unreplaced placeholders in request"
+
+# Takes the JSON payload of a request and the settings of its agent; returns the JSON answer; may raise.
+Transport = Callable[[str, Mapping[str, str]], str]
+
+
+@dataclass(frozen=True)
+class Agent:
+    """A voter or converter: who it is, what it is told, and the settings that are not left to its provider."""
+
+    name: str
+    role: str
+    instructions: str
+    request: str
+    provider: str | None = None
+    model: str | None = None
+    temperature: float | None = None
+
+
+AGENT_META = T.StructType([
+    T.StructField("agent_name", T.StringType()), T.StructField("agent_role", T.StringType()), T.StructField("provider", T.StringType()),
+    T.StructField("model", T.StringType()), T.StructField("temperature", T.DoubleType()), *META.fields,
+])
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How calls are made: the transport, the providers, the repeats, and how many rows a task asks for."""
+
+    transport: Transport
+    providers: Mapping[str, Mapping[str, str | None]]
+    default_provider: str = ag.DEFAULT_PROVIDER
+    default_model: str = ag.DEFAULT_MODEL
+    default_temperature: float = ag.DEFAULT_TEMPERATURE
+    tries: int = 3
+    backoff: float = 2
+    sleep: Callable[[float], None] = time.sleep
+    concurrency: int | None = None
+    rows_per_task: int | None = None
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        if self.concurrency is not None:
+            return df.repartition(self.concurrency)
+        return df if self.rows_per_task is None else df.repartition(df.count() // self.rows_per_task + 1)
+
+
+def ask_agent(df: DataFrame, agent: Agent, request: Column, calls: Calls, name: str, wanted: Column | None = None) -> DataFrame:
+    """Adds ``{name}_content``, ``{name}_error`` and ``{name}_meta``: one call per row where ``wanted``.
 
-    Two rounds: voters one and two for all rows, voter three only for the rows where they differ.
-    Requests with template markers left are not sent; they are votes against.
+    Settings are resolved, the request is put in the layout of the provider, and the text is taken from its answer.
+    A request with markers left and an agent whose provider is unknown are errors and are not sent.
     """
-    if len(requests) != voting.VOTERS or len(instructions) != voting.VOTERS:
+    settings = {"provider": F.lit(agent.provider).cast("string"), "model": F.lit(agent.model).cast("string"), "temperature": F.lit(agent.temperature).cast("double")}
+    resolved = ag.resolve_agents(
+        df.sparkSession.range(1).select(*[c.alias(k) for k, c in settings.items()]), calls.providers, calls.default_provider, calls.default_model, calls.default_temperature
+    ).first()
+    layout, unknown, model, temperature = resolved["request_format"], resolved["error"], resolved["use_model"], resolved["use_temperature"]
+    told = {"agent_name": agent.name, "agent_role": agent.role, "provider": resolved["use_provider"], "model": model, "temperature": temperature}
+    work = df.withColumns({"_request": request, "_wanted": F.coalesce(wanted, F.lit(False)) if wanted is not None else F.lit(True)})
+    early = F.when(F.lit(unknown is not None), F.lit(unknown)).when(has_placeholders(F.col("_request")), F.lit(MARKERS_LEFT))
+    payload = ag.to_request(F.lit(layout), F.lit(model), F.lit(temperature), F.lit(agent.instructions), F.col("_request"))
+    work = work.withColumn("_early", F.when(F.col("_wanted"), early)).withColumn("_payload", F.when(F.col("_wanted") & F.col("_early").isNull(), payload)).drop("_request")
+    schema = T.StructType([*work.schema.fields, T.StructField("_answer", T.StringType()), T.StructField("_error", T.StringType()), T.StructField("_meta", AGENT_META)])
+    transport, tries, backoff, sleep = calls.transport, calls.tries, calls.backoff, calls.sleep
+
+    def run(batches):
+        for batch in batches:
+            rows = [call(transport, p, told, tries, backoff, sleep) if p is not None else None for p in batch["_payload"]]
+            batch["_answer"] = [r and r[0] for r in rows]
+            batch["_error"] = [r and r[1] for r in rows]
+            batch["_meta"] = [told | {"elapsed_time": r[2] if r else 0.0, "retry_count": r[3] if r else 0, "failed": r[4] if r else True} for r in rows]
+            yield batch
+
+    content = ag.from_response(F.col("_answer"), F.lit(layout))
+    return work.mapInPandas(run, schema).withColumns({
+        f"{name}_content": content, f"{name}_error": F.coalesce("_early", "_error"), f"{name}_meta": F.when(F.col("_wanted"), F.col("_meta")),
+    }).drop("_wanted", "_early", "_payload", "_answer", "_error", "_meta")
+
+
+def respond_votes(df: DataFrame, agents: Sequence[Agent], requests: Sequence[Column], calls: Calls, name: str = "vote") -> DataFrame:
+    """Votes of three called voters with early exit, in the columns of :func:`veriform.operators.voting.ask`, and their ``{name}_meta_i``.
+
+    Two rounds: voters one and two for all rows, voter three only for the rows where they differ. A failed call, and a
+    request that cannot be sent, is a vote against.
+    """
+    if len(agents) != voting.VOTERS or len(requests) != voting.VOTERS:
         raise ValueError(f"expected {voting.VOTERS} voters")
 
-    def one(frame: DataFrame, i: int, wanted: Column) -> DataFrame:
-        blocked = has_placeholders(F.col(requests[i])) if check_markers else F.lit(False)
-        marked = frame.withColumns({"_send": F.coalesce(wanted & ~blocked, F.lit(False)), "_blocked": blocked})
-        schema = T.StructType([*marked.schema.fields, T.StructField("_content", T.StringType()), T.StructField("_error", T.StringType())])
-
-        def run(batches):
-            for batch in batches:
-                rows = [
-                    call(responder, r, n, tries, backoff, sleep) if send else (None, None)
-                    for r, n, send in zip(batch[requests[i]], batch[instructions[i]], batch["_send"], strict=True)
-                ]
-                batch["_content"] = [r[0] for r in rows]
-                batch["_error"] = [r[1] for r in rows]
-                yield batch
-
-        answered = marked.mapInPandas(run, schema)
-        read = parse_verdict(F.coalesce("_content", F.lit("")))
-        ok = F.when(F.col("_blocked") | F.col("_error").isNotNull(), F.lit(False)).otherwise(read["isvalid"])
-        message = (
-            F.when(F.col("_blocked"), F.lit("Unreplaced placeholders in request"))
-            .when(F.col("_error").isNotNull(), F.concat(F.lit("Agent error: "), F.col("_error"))).otherwise(read["invalid_msg"])
-        )
-        return answered.withColumns({f"{name}_ok_{i}": F.when(wanted, ok), f"{name}_msg_{i}": F.when(wanted, message)}).drop(
-            "_send", "_blocked", "_content", "_error"
-        )
+    def one(frame: DataFrame, i: int, wanted: Column | None = None) -> DataFrame:
+        asked = ask_agent(frame, agents[i], requests[i], calls, "_a", wanted)
+        vote = voting.vote_of_message(F.col("_a_content"), F.col("_a_error"))
+        here = F.col("_a_meta").isNotNull()
+        return asked.withColumns({
+            f"{name}_ok_{i}": F.when(here, vote["isvalid"]), f"{name}_msg_{i}": F.when(here, vote["invalid_msg"]), f"{name}_meta_{i}": F.col("_a_meta"),
+        }).drop("_a_content", "_a_error", "_a_meta")
 
-    work = df if concurrency is None else df.repartition(concurrency)
-    two = one(one(work, 0, F.lit(True)), 1, F.lit(True))
-    if keep:
-        two = materialise(two)
+    two = materialise(one(one(calls.dealt(df), 0), 1))
     differ = F.coalesce(F.col(f"{name}_ok_0") != F.col(f"{name}_ok_1"), F.lit(False))
     three = one(two.withColumn("_differ", differ), 2, F.col("_differ"))
-    done = three.withColumn(f"{name}_asked", F.when(F.col("_differ"), F.lit(3)).otherwise(F.lit(2))).drop("_differ")
-    return materialise(done) if keep else done
+    return materialise(three.withColumn(f"{name}_asked", F.when(F.col("_differ"), F.lit(3)).otherwise(F.lit(2))).drop("_differ"))
 
 
-def convert_with_calls(
-    df: DataFrame, key: str, request_for: Callable[[int, Column], Column], instructions: Column, validation_for: Callable[[Column], Sequence[Column]],
-    responder: Responder, max_retries: int = 3, **options,
+def run_with_calls(
+    df: DataFrame, key: str, value: str, verifiers: Sequence[Agent], converter: Agent, validators: Sequence[Agent], calls: Calls, now: str, max_retries: int = 3,
 ) -> DataFrame:
-    """Conversion with called converter and validators: ``(key, status, retries, output, notes)``.
+    """The whole run with called agents: ``(key, status, retries, output, notes)``, one row per row of ``df``.
 
-    Each round handles only the documents still open and is checkpointed, so a document is asked
+    Status: ``load_error`` (no text), ``pre-verification_failed``, ``conversion_error`` (the request has markers left, the
+    call failed, or the answer has no output section), ``vote_error`` (one of the first two votes cannot be read),
+    ``success`` or ``failed``. Each agent has its own request and instructions; the notes of rejected attempts go into
+    the next request. Each round handles only the documents still open and is checkpointed, so a document is asked
     once per attempt; there are at most ``max_retries`` rounds, whatever the number of documents.
     """
-    pending = df.withColumn("_notes", F.lit(""))
-    finished: DataFrame | None = None
+    data = named(value)
+
+    def requests(agents: Sequence[Agent], extra: Mapping[str, Column]) -> list[Column]:
+        return [tx.render_template(a.request, {tx.DATA: data, **extra, tx.DATE_TIME: F.lit(now)}) for a in agents]
+
+    def ended(rows: DataFrame, status: Column | str, retries: Column, output: Column, notes: Column) -> DataFrame:
+        status = F.lit(status) if isinstance(status, str) else status
+        return rows.select(named(key), status.alias("status"), retries.cast("int").alias("retries"), output.cast("string").alias("output"), notes.alias("notes"))
+
+    none, blank = F.lit(None), F.lit("")
+    finished = ended(df.filter(data.isNull()), "load_error", none, none, blank)
+    checked = respond_votes(df.filter(data.isNotNull()).select(named(key), data), verifiers, requests(verifiers, {}), calls, "pre")
+    stopped = F.when(voting.unreadable("pre"), "vote_error").when(~voting.passed("pre"), "pre-verification_failed")
+    finished = finished.unionByName(ended(checked.filter(stopped.isNotNull()), stopped, none, none, voting.feedback("pre")))
+    pending = checked.filter(stopped.isNull()).select(named(key), data, blank.alias("_notes"))
     for i in range(max_retries):
-        asked = pending.withColumns({"_request": request_for(i, F.col("_notes")), "_instructions": instructions})
-        sent = respond(asked, "_request", "_instructions", responder, **options).withColumn("_out", parse_output(F.col("content")))
-        judged = sent.filter("_out is not null")
-        texts = validation_for(F.col("_out"))
-        prepared = judged.withColumns({f"_r{j}": t for j, t in enumerate(texts)})
-        voted = respond_votes(prepared, [f"_r{j}" for j in range(3)], ["_instructions"] * 3, responder, "_v", **options)
-        outcome = F.when(voting.unreadable("_v"), "vote_error").when(voting.passed("_v"), "success").otherwise("rejected")
-        ruled = voted.select(*df.columns, "_out", voting.feedback("_v").alias("_notes"), outcome.alias("_outcome"))
-        broken = sent.filter("_out is null").select(*df.columns, "_out", F.lit("").alias("_notes"), F.lit("conversion_error").alias("_outcome"))
-        round_ = ruled.unionByName(broken)
-        last = i == max_retries - 1
-        ended = round_ if last else round_.filter("_outcome <> 'rejected'")
-        status = F.when(F.col("_outcome") == "rejected", F.lit("failed")).otherwise(F.col("_outcome"))
-        retries = F.when(F.col("_outcome") == "rejected", F.lit(i + 1)).otherwise(F.lit(i))
-        done = ended.select(
-            key, status.alias("status"), retries.alias("retries"), F.when(F.col("_outcome") == "success", F.col("_out")).alias("output"), F.col("_notes").alias("notes")
-        )
-        finished = done if finished is None else finished.unionByName(done)
-        pending = round_.filter("_outcome = 'rejected'").select(*df.columns, "_notes")
+        request = tx.render_template(converter.request, {tx.DATA: data, tx.RUN_INDEX: F.lit(i), tx.DATE_TIME: F.lit(now), tx.PREVIOUS_NOTES: F.col("_notes")})
+        sent = materialise(ask_agent(calls.dealt(pending), converter, request, calls, "_c"))
+        sent = sent.withColumn("_out", F.when(F.col("_c_error").isNull(), parse_output(F.col("_c_content"))))
+        broken = sent.filter("_out is null")
+        finished = finished.unionByName(ended(broken, "conversion_error", F.lit(i), none, F.coalesce("_c_error", F.lit("No output section"))))
+        judged = sent.filter("_out is not null").select(named(key), data, "_out")
+        voted = respond_votes(judged, validators, requests(validators, {tx.OUTPUT: F.col("_out")}), calls, "_v")
+        outcome = F.when(voting.unreadable("_v"), "vote_error").when(voting.passed("_v"), "success").when(F.lit(i == max_retries - 1), "failed")
+        done = voted.filter(outcome.isNotNull())
+        tried = F.when(outcome == "failed", F.lit(i + 1)).otherwise(F.lit(i))
+        finished = finished.unionByName(ended(done, outcome, tried, F.when(outcome == "success", F.col("_out")), voting.feedback("_v")))
+        pending = voted.filter(outcome.isNull()).select(named(key), data, voting.feedback("_v").alias("_notes"))
     return finished

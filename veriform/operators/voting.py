@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriform.functions.text import has_placeholders, parse_verdict
+from veriform.functions.text import parse_verdict
 
 VOTERS = 3
 RULES = ("2_of_3", "unanimous", "majority")
@@ -24,21 +24,20 @@ def vote_of(checked: Column) -> Column:
     return F.struct(checked["ok"].alias("isvalid"), checked["reason"].alias("invalid_msg"))
 
 
+# The wording of votes and notes that is read again by people and by the next attempt.
+AGENT_ERROR = "Agent error: "
+NO_REASON = "Unknown reason"
+
+
 def vote_of_message(content: Column, error: Column | None = None) -> Column:
     """Vote from a voter's answer; an error of the voter is a vote against."""
     read = parse_verdict(F.coalesce(content, F.lit("")))
     if error is None:
         return read
-    failed = F.struct(F.lit(False).alias("isvalid"), F.concat(F.lit("Agent error: "), error).alias("invalid_msg"))
+    failed = F.struct(F.lit(False).alias("isvalid"), F.concat(F.lit(AGENT_ERROR), error).alias("invalid_msg"))
     return F.when(error.isNotNull(), failed).otherwise(read)
 
 
-def vote_if_rendered(request: Column, vote: Column) -> Column:
-    """A vote against where template markers are left in the request, else the vote."""
-    left = F.struct(F.lit(False).alias("isvalid"), F.lit("Unreplaced placeholders in request").alias("invalid_msg"))
-    return F.when(has_placeholders(request), left).otherwise(vote)
-
-
 def _three(votes: Sequence[Column]) -> None:
     if len(votes) != VOTERS:
         raise ValueError(f"expected {VOTERS} voters, got {len(votes)}")
@@ -124,9 +123,10 @@ def feedback(name: str = "vote") -> Column:
 def retry_note(attempt: Column | int, name: str = "vote") -> Column:
     """Note for the next generation attempt; here an unreadable vote is against."""
     against = [
-        F.when(_was_asked(name, i) & ~F.coalesce(ok, F.lit(False)), F.coalesce(F.col(f"{name}_msg_{i}"), F.lit("Unknown reason")))
+        F.when(_was_asked(name, i) & ~F.coalesce(ok, F.lit(False)), F.coalesce(F.col(f"{name}_msg_{i}"), F.lit(NO_REASON)))
         for i, ok in enumerate(_oks(name))
     ]
+    # Fixed value: the layout of the note.
     number = attempt.cast("string") if isinstance(attempt, Column) else F.lit(str(attempt))
     return F.concat(
         F.lit("Attempt "), number, F.lit(" validation failed ("), approved(name).cast("string"), F.lit("/"), asked(name).cast("string"),

@@ -12,6 +12,8 @@ from veriform.plans import stand_ins as si
 from veriform.plans.registry import query, table
 from veriform.plans.scalars import tag_sql
 from veriform.plans.voting import VOTES_SQL, voters
+from veriform.session import materialise, scratch
+from veriform.sinks import runs
 
 # Converters on pages: the title, then the first heading, then the first paragraph, markup and all.
 SOURCES = ("title", "h1", "p")
@@ -96,8 +98,9 @@ def independent_attempts(pages):
 
 # The whole run on documents: missing text, verification, answers by attempt, validation.
 def doc_answer(i: int) -> str:
+    # A damaged answer is the text without most of its letters.
     return f"""case when doc_id % 23 = 0 then 'no section' when doc_id % 6 <= {i} then concat('<output>', t, '</output>')
-  when doc_id % 6 = 3 then '<output></output>' else concat('<output>', left(t, 30), '</output>') end"""
+  when doc_id % 6 = 3 then '<output></output>' else concat('<output>', translate(t, 'abcdefghijklmnopqrstuvwx', ''), '</output>') end"""
 
 
 def doc_convert(i: int, notes):
@@ -136,6 +139,21 @@ def final_status(spark, sf):
     return ran(spark, sf).select("doc_id", "status", "retries")
 
 
+# What the log of a run must hold: every document, and where each success was written.
+@query(
+    "run_log",
+    f"select doc_id, status, cast(retries as integer) as retries, '2025-02-01' as run_date, status = 'success' as saved, case when status = 'success' then doc_id || '-20250201-101500.txt' end as output_name from ({STATUS_SQL})",
+)
+def run_log(spark, sf):
+    log, outputs = scratch(spark, "run-log"), scratch(spark, "outputs")
+    name = runs.output_name(F.col("doc_id").cast("string"), "20250201-101500", "txt")
+    results = materialise(ran(spark, sf).select("doc_id", "status", "retries", "output", "notes", name.alias("output_name")))
+    runs.write_run_log(runs.write_outputs(results, outputs).drop("output"), log, "2025-02-01", "r1")
+    back = runs.read_run_log(spark, log, "doc_id bigint, status string, retries int, notes string, output_name string, output_path string, run_date string, run_id string")
+    saved = F.coalesce(F.col("output_path").endswith(F.concat(F.lit("/output_name="), F.col("output_name"))), F.lit(False))
+    return back.select("doc_id", "status", "retries", "run_date", saved.alias("saved"), F.when(F.col("output_path").isNotNull(), F.col("output_name")).alias("output_name"))
+
+
 @query("run_summary", f"select status, count(*) as n, round(sum(coalesce(retries, 0)) / count(*), 4) as mean_retries from ({STATUS_SQL}) group by status")
 def run_summary(spark, sf):
     return at.run_summary(ran(spark, sf))

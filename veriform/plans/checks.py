@@ -61,7 +61,9 @@ def mandatory_fields(spark, sf):
 # JSON, a small table and mark-up, each broken in some rows.
 MIXED = """case event_id % 8 when 0 then props when 1 then concat(props, '}') when 2 then concat('a,b', chr(10), event_type, ',"1,2"')
   when 3 then concat('a,b', chr(10), event_type) when 4 then concat('<e><t>', event_type, '</t></e>') when 5 then concat('<e><t>', event_type, '</e>')
-  when 6 then concat('<html><body>', event_type, '</body></html>') else concat('<html><body>', event_type, '</html>') end"""
+  when 6 then concat('<html><body>', event_type, case when user_id % 3 = 0 then '<p>a<br>b<p>c<!-- </div> --><script>"</b>"</script>' when user_id % 3 = 1 then '<IMG src=x><b>q</B>' else '' end, '</body></html>')
+  else case user_id % 5 when 0 then concat('<html><body>', event_type, '</html>') when 1 then concat('</html><html >', event_type) when 2 then concat('<div><b>', event_type, '</div>')
+    when 3 then concat('<div><b>', event_type, '</div></b>') else concat('<div>', event_type, '</div></div>') end end"""
 
 
 @query(

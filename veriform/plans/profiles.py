@@ -73,17 +73,21 @@ def null_profile(spark, sf):
     return pf.null_profile(customers(spark, sf))
 
 
-NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
+NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "odd", "tiny")
+# Values that sums in fixed decimals lose or fail on.
+ODD = "case when l_orderkey % 97 = 0 then cast('NaN' as double) when l_orderkey % 89 = 0 then cast('1e30' as double) when l_orderkey % 83 = 0 then cast('-Infinity' as double) else l_extendedprice end"
+TINY = "l_linenumber * cast('0.00002' as double)"
 
 
 @query(
     "numeric_ranges",
     " union all ".join(
-        f"select '{c}' as name, min({c})::double as low, max({c})::double as high, round(sum({c}::decimal(28,4))::double / count({c}), 4) as mean from lineitem" for c in NUMERIC
+        f"select '{c}' as name, min(v)::double as low, max(v)::double as high, printf('%.9e', avg(v))::double as mean, count(*) - count(v) as non_finite "
+        f"from (select case when isfinite(x) then x end as v from (select {dict(odd=ODD, tiny=TINY).get(c, c)}::double as x from lineitem))" for c in NUMERIC
     ),
 )
 def numeric_ranges(spark, sf):
-    return pf.numeric_ranges(table(spark, sf, "lineitem"), NUMERIC)
+    return pf.numeric_ranges(table(spark, sf, "lineitem").withColumns({"odd": F.expr(ODD), "tiny": F.expr(TINY)}), NUMERIC)
 
 
 SHAPES = {
@@ -104,12 +108,13 @@ def date_formats(spark, sf):
     return pf.date_formats(rows)
 
 
-# Files of every kind, made of a document's fields.
-FILE = """case doc_id % 11 when 0 then concat('id|source|size', chr(10), doc_id, '|', source, '|', n_chars) when 1 then concat('id', chr(9), 'lang', chr(10), doc_id, chr(9), lang)
-  when 2 then concat('id,source,note', chr(10), doc_id, ',', source, ',"a, b"', chr(10), doc_id, ',', lang, ',c') when 3 then concat('a;b', chr(10), lang, ';', doc_id)
-  when 4 then concat('{"id": ', doc_id, ', "lang": "', lang, '"}') when 5 then concat('<?xml version="1.0"?><d><id>', doc_id, '</id></d>') when 6 then concat('<d><id>', doc_id, '</id></d>')
-  when 7 then concat('id    lang', chr(10), rpad('x', 6, ' '), rpad(lang, 4, '.')) when 8 then concat('<!DOCTYPE html><html><body>', source, '</body></html>')
-  when 9 then concat(doc_id, ',', n_chars, chr(10), doc_id, ',5') else text end"""
+# Files of every kind, each around the whole text of a document, in which marks of the formats are blanks.
+FLAT = """translate(text, concat(chr(10), chr(13), chr(9), '|,;"<>{}[]'), '            ')"""
+FILE = f"""case doc_id % 12 when 0 then concat('id|source|size', chr(10), doc_id, '|', {FLAT}, '|', n_chars) when 1 then concat('id', chr(9), 'lang', chr(10), doc_id, chr(9), {FLAT})
+  when 2 then concat('id,source,note', chr(10), doc_id, ',', source, ',"a, ', {FLAT}, '"', chr(10), doc_id, ',', lang, ',c') when 3 then concat('a;b', chr(10), lang, ';', {FLAT})
+  when 4 then concat('{{"id": ', doc_id, ', "text": "', replace({FLAT}, chr(92), ' '), '"}}') when 5 then concat('<?xml version="1.0"?><d><id>', {FLAT}, '</id></d>') when 6 then concat('<d><id>', {FLAT}, '</id></d>')
+  when 7 then concat('id    ', rpad('lang', cast(length({FLAT}) as int), '.'), chr(10), rpad('x', 6, ' '), {FLAT}) when 8 then concat('<!DOCTYPE html><html><body>', {FLAT}, '</body></html>')
+  when 9 then concat(doc_id, ',', n_chars, chr(10), doc_id, ',', {FLAT}) when 10 then concat('<!-- ', {FLAT}, ' -->', chr(10), '<html><body>x</body></html>') else text end"""
 
 
 def detected_sql(key: str, text: str, rows: str) -> str:
@@ -121,7 +126,7 @@ def detected_sql(key: str, text: str, rows: str) -> str:
     return f"""select k, format, delimiter, case when delimiter is not null and contains(t, '"') then '"' end as quote_char,
   case when delimiter is not null then len(list_filter(string_split(split_part(b, chr(10), 1), delimiter), lambda h: regexp_matches(h, '^\\s*([+-]?[0-9.,]+|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}.*)?\\s*$'))) = 0 end as has_header
 from (select *, case format when 'pipe-delimited' then '|' when 'tab-delimited' then chr(9) when 'csv' then ',' when 'semicolon-delimited' then ';' end as delimiter
-from (select k, t, b, case when starts_with(lower(t), '<!doctype html') or regexp_matches(lower(left(t, 200)), '<html\\b') then 'html' when starts_with(t, '<?xml') or regexp_matches(t, '(?s)^<[A-Za-z][^>]*>.*>$') then 'xml'
+from (select k, t, b, case when regexp_matches(t, '{pf.HTML_OPENING}') then 'html' when starts_with(t, '<?xml') or regexp_matches(t, '(?s)^<[A-Za-z][^>]*>.*>$') then 'xml'
   when regexp_matches(t, '^[{{\\[]') and json_valid(t) then 'json' when {same("'|'")} then 'pipe-delimited' when {same("chr(9)")} then 'tab-delimited' when {same("','")} then 'csv' when {same("';'")} then 'semicolon-delimited'
   when contains(t, chr(10)) and contains(t, '  ') and list_min({lengths}) = list_max({lengths}) then 'fixed-width' else 'text' end as format
 from (select k, t, case when contains(t, '"') then regexp_replace(t, '"[^"]*"', '', 'g') else t end as b from (select {key} as k, trim({text}, {si.WS}) as t from {rows}))))"""
@@ -163,8 +168,8 @@ def text_structure(spark, sf):
 
 @query(
     "profile_valid",
-    """select c_custkey, r is null as ok, r as reason from (select c_custkey, case when c_custkey % 5 = 0 then 'Profile missing required field: format' when c_custkey % 7 = 0 then 'Profile missing required field: columns'
-  when c_custkey % 11 = 0 then 'Profile must have at least one column' when c_custkey % 13 = 0 then 'Column missing ''name'' field' when c_custkey % 17 = 0 then 'Column missing ''data_type'' field' end as r from customer)""",
+    """select c_custkey, r is null as ok, r as reason from (select c_custkey, case when c_custkey % 5 = 0 then 'No format given' when c_custkey % 7 = 0 then 'No list of columns'
+  when c_custkey % 11 = 0 then 'The list of columns is empty' when c_custkey % 13 = 0 then 'A column has no name' when c_custkey % 17 = 0 then 'A column has no data_type' end as r from customer)""",
 )
 def profile_valid(spark, sf):
     k = F.col("c_custkey")

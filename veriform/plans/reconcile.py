@@ -47,11 +47,9 @@ def missing_rows(spark, sf):
 
 
 def diff_sql(c: str) -> str:
-    # Values left over on each side once equal ones have cancelled, counted.
-    return f"""select o_orderkey, '{c}' as "column", max(v) filter (where n > 0) as source_value, max(v) filter (where n < 0) as output_value,
-  cast(coalesce(sum(n) filter (where n > 0), 0) as bigint) as n_source, cast(coalesce(-sum(n) filter (where n < 0), 0) as bigint) as n_output
-from (select o_orderkey, v, sum(side) as n from (select o_orderkey, cast({c} as varchar) as v, 1 as side from ({SOURCE_SQL})
-  union all select o_orderkey, cast({c} as varchar), -1 from ({DAMAGED_SQL})) group by o_orderkey, v having sum(side) <> 0) group by o_orderkey"""
+    # Values left over on each side once equal ones have cancelled.
+    return f"""select o_orderkey, '{c}' as "column", v as value, cast(sum(side) as bigint) as surplus from (select o_orderkey, cast({c} as varchar) as v, 1 as side from ({SOURCE_SQL})
+  union all select o_orderkey, cast({c} as varchar), -1 from ({DAMAGED_SQL})) group by o_orderkey, v having sum(side) <> 0"""
 
 
 @query("value_diff", " union all ".join(diff_sql(c) for c in ("o_orderstatus", "total", "day")))
@@ -59,24 +57,51 @@ def value_diff(spark, sf):
     return rec.value_diff(source(spark, sf), damaged(spark, sf), ["o_orderkey"], ["o_orderstatus", "total", "day"])
 
 
-@query(
-    "layout_check",
-    """select reason, count(*) as n from (select case when o_orderkey % 103 = 0 then 'Expected 4 fields, found 3' when o_orderkey % 107 = 0 then 'Expected 4 fields, found 5' else 'fine' end as reason from orders
-  union all select 'fine') group by reason""",
-)
-def layout_check(spark, sf):
-    cols = ["o_orderkey", "o_orderstatus", "total", "day"]
+LAYOUT = ["o_orderkey", "o_orderstatus", "total", "day"]
+
+
+def layout_lines(spark, sf):
+    """Six files of lines with their places; headers exact, wrong, missing, repeated, at the end, and in other case."""
     rows = source(spark, sf)
-    line = ln.delimited_line(rows, cols)
+    line = ln.delimited_line(rows, LAYOUT)
     hurt = (
         F.when(F.col("o_orderkey") % 103 == 0, F.regexp_replace(line, r"\|[^|]*$", "")).when(F.col("o_orderkey") % 107 == 0, F.concat(line, F.lit("|x")))
         .otherwise(line)
     )
-    lines = ln.header_frame(rows, "|".join(cols)).unionByName(rows.select(hurt.alias("line")))
-    checked = lines.select(rec.layout_check(F.col("line"), cols).alias("c"))
+    head = "|".join(LAYOUT)
+    heads = [(0, 0, head), (1, 0, "WRONG|" + "|".join(LAYOUT[1:])), (3, 0, head), (3, 1 << 40, head), (4, 1 << 40, head), (5, 0, head.upper())]
+    body = rows.select((F.col("o_orderkey") % 6).cast("int").alias("file"), (F.col("o_orderkey") + 1).cast("bigint").alias("place"), hurt.alias("line"))
+    # A file without a header at its start begins with its first record.
+    least = body.where("file in (2, 4)").groupBy("file").agg(F.min("place").alias("least"))
+    body = body.join(F.broadcast(least), "file", "left").select("file", F.when(F.col("place") == F.col("least"), F.lit(0)).otherwise(F.col("place")).cast("bigint").alias("place"), "line")
+    return body.unionByName(spark.createDataFrame(heads, "file int, place bigint, line string"))
+
+
+BAD_SQL = "case when o_orderkey % 103 = 0 then 3 when o_orderkey % 107 = 0 then 5 else 4 end"
+FIRST_SQL = "o_orderkey % 6 in (2, 4) and o_orderkey = min(o_orderkey) over (partition by o_orderkey % 6)"
+
+
+@query(
+    "layout_check",
+    f"""select reason, count(*) as n from (select case when first then 'Header differs' when {BAD_SQL} <> 4 then 'Expected 4 fields, found ' || {BAD_SQL} else 'fine' end as reason
+  from (select *, {FIRST_SQL} as first from orders)
+  union all select unnest(['fine', 'Header differs', 'fine', 'Header repeated', 'Header repeated', 'Header differs'])) group by reason""",
+)
+def layout_check(spark, sf):
+    checked = layout_lines(spark, sf).select(rec.layout_check(F.col("line"), LAYOUT, header=F.col("place") == 0).alias("c"))
     return checked.groupBy(F.coalesce("c.reason", F.lit("fine")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "layout_summary",
+    f"""select file, file in (0, 3) as header_ok, cast(case when file in (3, 4) then 1 else 0 end as bigint) as repeats, count(*) as records, count(*) filter (where f <> 4) as bad,
+  file = 0 and count(*) filter (where f <> 4) = 0 as ok
+from (select cast(o_orderkey % 6 as integer) as file, {BAD_SQL} as f, {FIRST_SQL} as first from orders) where not first group by file""",
+)
+def layout_summary(spark, sf):
+    return rec.layout_summary(layout_lines(spark, sf), LAYOUT, "place", ["file"])
+
+
 @query(
     "format_compliance",
     """select o_orderkey, o_orderkey % 11 <> 0 as date_ok, o_orderkey % 13 <> 0 as total_ok, o_orderkey % 17 <> 0 as json_ok, o_orderkey % 19 <> 0 as type_ok, o_orderkey % 23 <> 0 as csv_ok from orders""",
@@ -194,3 +219,17 @@ def spec_coverage(spark, sf):
     profile = pf.profile_columns(pf.as_text(table(spark, sf, "customer")))
     allowed = {"number": ["integer", "float"], "text": ["string", "integer", "float", "boolean", "date", "datetime"], "date": ["date", "datetime"]}
     return rec.spec_coverage(spec, profile, allowed)
+
+
+# The required sections that a document's specification has: some left out, some blank.
+HAS = [f"case when doc_id % {i + 2} = 0 then null when doc_id % {i + 5} = 0 then ' ' else text end" for i in range(len(rec.SPEC_SECTIONS))]
+
+
+@query(
+    "missing_sections",
+    f"select doc_id, array_to_string(list_filter([{', '.join(f"""case when trim(coalesce({h}, '')) = '' then '{s}' end""" for h, s in zip(HAS, rec.SPEC_SECTIONS, strict=True))}], lambda x: x is not null), ',') as missing from documents",
+)
+def missing_sections(spark, sf):
+    sections = F.map_from_arrays(F.array(*[F.lit(s) for s in rec.SPEC_SECTIONS]), F.array(*[F.expr(h) for h in HAS]))
+    present = F.map_filter(sections, lambda _, v: v.isNotNull())
+    return table(spark, sf, "documents").select("doc_id", F.array_join(rec.missing_sections(present), ",").alias("missing"))

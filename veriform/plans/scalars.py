@@ -11,8 +11,8 @@ from veriform.plans.registry import query, table
 
 NOW = "2025-02-01 00:00:00"
 TEMPLATE = (
-    f"[Current time: {tx.DATE_TIME}] [Try Index:{tx.RUN_INDEX}]\n"
-    f"<notes>{tx.PREVIOUS_NOTES}</notes>\n<data>{tx.DATA}</data>"
+    f"Attempt {tx.RUN_INDEX} on {tx.DATE_TIME}\n"
+    f"What was wrong before: {tx.PREVIOUS_NOTES}\nRecords to turn:\n{tx.DATA}"
 )
 
 
@@ -290,10 +290,10 @@ def section_sql(name: str) -> str:
 @query(
     "section_check",
     f"""select doc_id, nullif(array_to_string(list_filter([
-    case when not contains(t, '{tx.DATA}') then 'Missing {tx.DATA} placeholder' end,
-    case when not contains(t, '{tx.OUTPUT}') then 'Missing {tx.OUTPUT} placeholder' end,
-    case when a <> '' and not contains(a, '{tx.DATA}') then '{tx.REQUEST_SECTION} missing {tx.DATA}' end,
-    case when b <> '' and not contains(b, '{tx.OUTPUT}') then '{tx.VALIDATION_SECTION} missing {tx.OUTPUT}' end], lambda x: x is not null), ', '), '') as issues
+    case when not contains(t, '{tx.DATA}') then '{tx.DATA} stands nowhere' end,
+    case when not contains(t, '{tx.OUTPUT}') then '{tx.OUTPUT} stands nowhere' end,
+    case when a <> '' and not contains(a, '{tx.DATA}') then 'no {tx.DATA} in {tx.REQUEST_SECTION}' end,
+    case when b <> '' and not contains(b, '{tx.OUTPUT}') then 'no {tx.OUTPUT} in {tx.VALIDATION_SECTION}' end], lambda x: x is not null), ', '), '') as issues
 from (select doc_id, t, {section_sql(tx.REQUEST_SECTION)} as a, {section_sql(tx.VALIDATION_SECTION)} as b from (select doc_id, {si.SPEC} as t from documents))""",
 )
 def section_check(spark, sf):

@@ -8,7 +8,6 @@ from veriform.operators import profile as pf
 from veriform.plans import stand_ins as si
 from veriform.plans.mapping import TARGET_SQL, invoices
 from veriform.plans.registry import query, table
-from veriform.session import scratch
 from veriform.sinks import json_text as js
 from veriform.sinks import lines as ln
 from veriform.sinks import runs
@@ -28,6 +27,11 @@ def pipe_lines(spark, sf):
 
 
 NAME = """case c_custkey % 5 when 0 then concat(c_name, ', Inc') when 1 then concat('"', c_name, '"') when 2 then concat(c_name, chr(10), 'c/o') when 3 then null else concat(' ', c_name, ' ') end"""
+# Numbers and moments that are easily cut short, and how they are written.
+RATIO = "case {k} % 6 when 0 then cast('0.123456789012345' as double) when 1 then cast('1e-12' as double) when 2 then cast('-2.5' as double) when 3 then cast('1e30' as double) when 4 then cast('123456789012345678' as double) end"
+RATIO_TEXT = "case {k} % 6 when 0 then '0.123456789012345' when 1 then '0.000000000001' when 2 then '-2.5' when 3 then '1.0E30' when 4 then '123456789012345680' else '' end"
+MOMENT = "case {k} % 4 when 0 then timestamp '2024-05-06 07:08:09.000012' when 1 then timestamp '2024-05-06 07:08:09.5' when 2 then timestamp '2024-05-06 07:08:10' else timestamp '2024-05-06 00:00:00' end"
+MOMENT_TEXT = "case {k} % 4 when 0 then '2024-05-06T07:08:09.000012' when 1 then '2024-05-06T07:08:09.5' when 2 then '2024-05-06T07:08:10' else '2024-05-06' end"
 
 
 def quoted(c: str) -> str:
@@ -36,24 +40,36 @@ def quoted(c: str) -> str:
 
 @query(
     "csv_lines",
-    f"""select 'c_custkey,name,c_acctbal,vip' as line union all select concat_ws(',', cast(c_custkey as varchar), {quoted('n')}, cast(b as varchar), cast(vip as varchar))
+    f"""select 'c_custkey,name,c_acctbal,vip,ratio,moment' as line union all
+select concat_ws(',', cast(c_custkey as varchar), {quoted('n')}, cast(b as varchar), cast(vip as varchar), {RATIO_TEXT.format(k='c_custkey')}, {MOMENT_TEXT.format(k='c_custkey')})
 from (select c_custkey, coalesce({NAME}, '') as n, cast(c_acctbal as decimal(18,2)) as b, c_acctbal > 5000 as vip from customer)""",
 )
 def csv_lines(spark, sf):
     rows = table(spark, sf, "customer").select(
-        "c_custkey", F.expr(NAME.replace("chr(10)", "char(10)")).alias("name"), F.col("c_acctbal").cast("decimal(18,2)"), (F.col("c_acctbal") > 5000).alias("vip")
+        "c_custkey", F.expr(NAME.replace("chr(10)", "char(10)")).alias("name"), F.col("c_acctbal").cast("decimal(18,2)"), (F.col("c_acctbal") > 5000).alias("vip"),
+        F.expr(RATIO.format(k="c_custkey")).alias("ratio"), F.expr(MOMENT.format(k="c_custkey")).alias("moment"),
     )
     return ln.to_csv_lines(rows)
 
 
 @query(
     "tab_lines",
-    "select concat_ws(chr(9), 's_suppkey', 's_name', 's_nationkey', 's_acctbal') as line union all "
-    "select concat_ws(chr(9), s_suppkey, s_name, s_nationkey, cast(s_acctbal as decimal(18,2))) from supplier",
+    "select concat_ws(chr(9), 's_suppkey', 's_name', 's_nationkey', 's_acctbal', 'ratio', 'moment') as line union all "
+    f"select concat_ws(chr(9), s_suppkey, s_name, s_nationkey, cast(s_acctbal as decimal(18,2)), {RATIO_TEXT.format(k='s_suppkey')}, {MOMENT_TEXT.format(k='s_suppkey')}) from supplier",
 )
 def tab_lines(spark, sf):
-    rows = table(spark, sf, "supplier").withColumn("s_acctbal", F.col("s_acctbal").cast("decimal(18,2)"))
-    return ln.to_delimited_lines(rows, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "\t")
+    rows = table(spark, sf, "supplier").withColumns({
+        "s_acctbal": F.col("s_acctbal").cast("decimal(18,2)"), "ratio": F.expr(RATIO.format(k="s_suppkey")), "moment": F.expr(MOMENT.format(k="s_suppkey"))})
+    return ln.to_delimited_lines(rows, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "ratio", "moment"], "\t")
+
+
+@query(
+    "pipe_values",
+    f"select 'id|ratio|moment' as line union all select concat_ws('|', o_orderkey, {RATIO_TEXT.format(k='o_orderkey')}, {MOMENT_TEXT.format(k='o_orderkey')}) from orders",
+)
+def pipe_values(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(RATIO.format(k="o_orderkey")).alias("ratio"), F.expr(MOMENT.format(k="o_orderkey")).alias("moment"))
+    return ln.to_pipe_lines(rows)
 
 
 RECORD = "case when c_custkey % 4 = 0 then null else c_mktsegment end"
@@ -71,28 +87,42 @@ def json_records(spark, sf):
     return js.to_json_records(rows)
 
 
-@query(
-    "json_array",
-    f"""select c_nationkey, cast(0 as bigint) as page, count(*) as n,
-  cast(to_json(list(struct_pack(c_custkey := c_custkey, c_name := c_name, segment := {RECORD}) order by c_custkey)) as varchar) as records from customer group by c_nationkey""",
-)
-def json_array(spark, sf):
+def array_sql(page_rows: int | None) -> str:
+    page = f"cast(floor((row_number() over (partition by c_nationkey order by c_custkey) - 1) / {page_rows}) as bigint)" if page_rows else "cast(0 as bigint)"
+    return f"""select c_nationkey, page, count(*) as n, cast(to_json(list(struct_pack(c_custkey := c_custkey, c_name := c_name, segment := {RECORD}) order by c_custkey)) as varchar) as records
+from (select *, {page} as page from customer) group by c_nationkey, page"""
+
+
+def arrays(spark, sf, page_rows):
     rows = table(spark, sf, "customer").withColumn("segment", F.expr(RECORD))
-    return js.to_json_array(rows, ["c_nationkey"], ["c_custkey", "c_name", "segment"], ["c_custkey"])
+    return js.to_json_array(rows, ["c_nationkey"], ["c_custkey", "c_name", "segment"], ["c_custkey"], page_rows)
 
 
-@query(
-    "nested_json",
-    """select o_orderkey, cast(0 as bigint) as page, cast(to_json(struct_pack("order" := struct_pack(id := o_orderkey, status := o_orderstatus, price := o_totalprice),
+@query("json_array", array_sql(None))
+def json_array(spark, sf):
+    return arrays(spark, sf, None)
+
+
+@query("json_array_pages", array_sql(4))
+def json_array_pages(spark, sf):
+    return arrays(spark, sf, 4)
+
+
+def nested_sql(page_rows: int | None) -> str:
+    order = "l_linenumber, l_partkey, l_quantity, l_shipdate"
+    page = f"cast(floor((row_number() over (partition by l_orderkey order by {order}) - 1) / {page_rows}) as bigint)" if page_rows else "cast(0 as bigint)"
+    return f"""select o_orderkey, coalesce(page, 0) as page, cast(to_json(struct_pack("order" := struct_pack(id := o_orderkey, status := o_orderstatus, price := o_totalprice),
   items := coalesce(ls, []), shipping := struct_pack(n := coalesce(n, 0), last := l))) as varchar) as document
-from orders left join (select l_orderkey, list(struct_pack(line := l_linenumber, part := l_partkey, quantity := l_quantity) order by l_linenumber, l_partkey, l_quantity) as ls,
-  count(*) as n, strftime(max(l_shipdate), '%Y-%m-%d') as l from lineitem group by l_orderkey) on o_orderkey = l_orderkey""",
-)
-def nested_json(spark, sf):
+from orders left join (select l_orderkey, page, list(struct_pack(line := l_linenumber, part := l_partkey, quantity := l_quantity) order by {order}) as ls
+  from (select *, {page} as page from lineitem) group by l_orderkey, page) on o_orderkey = l_orderkey
+left join (select l_orderkey as k, count(*) as n, strftime(max(l_shipdate), '%Y-%m-%d') as l from lineitem group by 1) on o_orderkey = k"""
+
+
+def nested(spark, sf, page_rows):
     orders = table(spark, sf, "orders")
     items = js.collect_children(
-        table(spark, sf, "lineitem"), ["l_orderkey"],
-        {"line": "l_linenumber", "part": "l_partkey", "quantity": "l_quantity", "shipped": "l_shipdate"},
+        table(spark, sf, "lineitem"), ["l_orderkey"], {"line": "l_linenumber", "part": "l_partkey", "quantity": "l_quantity", "shipped": "l_shipdate"},
+        {"last": F.max("l_shipdate")}, page_rows,
     )
     layout = {
         "order": {"id": F.col("o_orderkey"), "status": F.col("o_orderstatus"), "price": F.col("o_totalprice")},
@@ -100,15 +130,22 @@ def nested_json(spark, sf):
             F.coalesce("items", F.array().cast(items.schema["items"].dataType)),
             lambda x: F.struct(x["line"].alias("line"), x["part"].alias("part"), x["quantity"].alias("quantity")),
         ),
-        "shipping": {
-            "n": F.coalesce("n", F.lit(0)),
-            "last": F.date_format(F.array_max(F.transform("items", lambda x: x["shipped"])), "yyyy-MM-dd"),
-        },
+        "shipping": {"n": F.coalesce("n", F.lit(0)), "last": F.date_format("last", "yyyy-MM-dd")},
     }
     joined = orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left")
     return joined.select("o_orderkey", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), js.to_nested_json(layout).alias("document"))
 
 
+@query("nested_json", nested_sql(None))
+def nested_json(spark, sf):
+    return nested(spark, sf, None)
+
+
+@query("nested_json_pages", nested_sql(3))
+def nested_json_pages(spark, sf):
+    return nested(spark, sf, 3)
+
+
 @query(
     "typed_view",
     """select l_orderkey as "OrderNumber", try_cast(l_quantity as integer) as "Quantity", cast(l_extendedprice as decimal(18,2)) as "Price",
@@ -162,14 +199,3 @@ from (select page_id, u, regexp_extract(u, '[^/]*$', 0) as b from (select page_i
 def output_names(spark, sf):
     pages = table(spark, sf, "pages").withColumn("u", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".html"))).otherwise(F.col("url")))
     return pages.select("page_id", runs.output_name(F.col("u"), "20250201-101500", "txt", F.col("u")).alias("output_name"))
-
-
-@query(
-    "run_log",
-    "select doc_id, case when n_chars < 200 then 'failed' else 'success' end as status, '2025-02-01' as run_date from documents",
-)
-def run_log(spark, sf):
-    path = scratch(spark, "run-log")
-    results = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") < 200, "failed").otherwise("success").alias("status"))
-    runs.write_run_log(results, path, "2025-02-01", "r1")
-    return runs.read_run_log(spark, path, "doc_id bigint, status string, run_date string, run_id string").select("doc_id", "status", "run_date")

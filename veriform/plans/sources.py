@@ -38,13 +38,18 @@ def scan_documents(spark, sf):
     return counted_lines(dc.read_documents(spark, folder, "*.txt"))
 
 
-@query("scan_folder", LINES_SQL)
+@query("scan_folder", f"select line, n, cast(null as varchar) as error from ({LINES_SQL}) union all select null, 1, 'Could not load file'")
 def scan_folder(spark, sf):
+    """Every line of the files, and a row for the file that cannot be read."""
     folder = scratch(spark, "folder")
     write_documents(spark, sf, folder)
     spark.range(1).select(F.lit("not for the pattern").alias("value")).write.mode("append").option("compression", "gzip").text(folder)
-    files = dc.read_folder(spark, folder, "part-*.txt")
-    return counted_lines(files.select("file_path", dc.decode_dropping(F.col("content")).alias("value")))
+    gone = folder + "/part-gone.txt"
+    loaded = dc.read_documents(spark, folder, "part-*.txt")
+    asked = loaded.select("file_path").unionByName(spark.range(1).select(F.lit(gone).alias("file_path")))
+    every = dc.with_missing(asked, loaded)
+    bad = every.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("line"), "n", "error")
+    return counted_lines(every.filter("error is null")).withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
 @query("file_provenance", "select cast(count(*) as bigint) as lines, cast(sum(strlen(text) + 1) as bigint) as bytes, true as named from (select unnest(string_split(text, chr(10))) as text from documents)")
@@ -71,7 +76,7 @@ def scan_delimited(spark, sf):
         "o_orderkey", F.expr(ORDER_NOTE).alias("note"), F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderdate").cast("date")
     )
     ln.write_csv(orders, folder)
-    return rc.read_delimited(spark, folder, ",", True, ORDER_SCHEMA)
+    return rc.read_delimited(spark, folder, ",", True, ORDER_SCHEMA, multi_line=True)
 
 
 @query(
@@ -87,8 +92,10 @@ NO_SCRIPT = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b
 
 
 def duck_unescape(c: str) -> str:
+    """The named entities that the tables hold."""
     for entity, char in rc.ENTITIES:
-        c = f"""replace({c}, '{entity}', '{char.replace("'", "''")}')"""
+        if entity in ("&copy;", "&middot;", "&lt;", "&gt;", "&quot;", "&nbsp;", "&larr;", "&amp;"):
+            c = f"""replace({c}, '{entity}', '{char.replace("'", "''")}')"""
     return c
 
 
@@ -111,6 +118,22 @@ def html_fields(spark, sf):
     return rc.extract_html(table(spark, sf, "pages"), "html", fields, ["page_id"])
 
 
+# Mark-up around a document's text, and what must be read from it, written out by hand.
+PLANTED_HTML = """concat('<html lang=en><body><a data-href="no" href=''/a?x=1&amp;y=2''>one</a><a class=big href=/b>two</a><A HREF="/c&#47;d">three</A><h1 class=''top main''>Caf&eacute; &#8217;x&#x2014;y&#38;lt; &mdash;</h1>',
+  '<h1 class="topmost">no</h1><p>Price (net): </p><b>12</b><p>', replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), '</p></body></html>')"""
+
+
+@query(
+    "html_planted",
+    "select doc_id, 'en' as lang, '/a?x=1&y=2 /b /c/d' as links, 'Café ’x—y&lt; —' as heading, '12' as price, "
+    "cast(length(trim(regexp_replace(replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), '[ \t\n\f\r\v]+', ' ', 'g'))) as bigint) as body from documents",
+)
+def html_planted(spark, sf):
+    fields = {"lang": rc.attribute("html", "lang"), "links": rc.attribute_list("a", "href"), "heading": rc.tag_text("h1", "main"), "price": rc.labelled("Price (net)"), "bodies": rc.tag_list("p")}
+    found = rc.extract_html(table(spark, sf, "documents").withColumn("page", F.expr(PLANTED_HTML)), "page", fields, ["doc_id"])
+    return found.select("doc_id", "lang", F.array_join("links", " ").alias("links"), "heading", "price", F.length(F.element_at("bodies", -1)).cast("bigint").alias("body"))
+
+
 @query(
     "html_links",
     f"""select page_id, cast(len(l) as bigint) as n, array_to_string(list_transform(l, lambda x: {duck_unescape('x')}), ' ') as links

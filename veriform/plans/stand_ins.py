@@ -20,7 +20,7 @@ TAGGED = """case doc_id % 8
   when 2 then text
   when 3 then concat('<output>', text, '</output> x <output>b</output>')
   when 4 then concat('</output>', text, '<output>')
-  when 5 then '<output></output>'
+  when 5 then concat(text, '<output></output>', text)
   when 6 then concat('<output>a<output>', text, '</output></output>')
   else concat('<output>', text) end"""
 
@@ -28,10 +28,10 @@ TAGGED = """case doc_id % 8
 VERDICT = """case doc_id % 7
   when 0 then concat('<verification><isvalid>True</isvalid></verification>', text)
   when 1 then concat('<ISVALID> true </IsValid><invalid_msg>', text, '</invalid_msg>')
-  when 2 then concat('<isvalid>yes</isvalid><invalid_msg>', source, '</invalid_msg>')
+  when 2 then concat('<isvalid>yes</isvalid><invalid_msg>', source, ' ', text, '</invalid_msg>')
   when 3 then concat('<isvalid></isvalid>', text)
   when 4 then text
-  when 5 then concat('<isvalid>False</isvalid><invalid_msg> bad ', lang, ' </invalid_msg><isvalid>true</isvalid>')
+  when 5 then concat('<isvalid>False</isvalid><invalid_msg> bad ', lang, ' </invalid_msg><isvalid>true</isvalid>', text)
   else concat('<invalid_msg></invalid_msg><isvalid>TRUE</isvalid>', text) end"""
 
 # An answer with a generated specification between markers, or loose, or absent.
@@ -74,14 +74,16 @@ def documents_with(spark: SparkSession, sf_dir: str, name: str, sql: str) -> Dat
     return with_expr(table(spark, sf_dir, "documents"), name, sql)
 
 
-# Source header lines as they come in: exact, spaced, by other words, misspelt, foreign, unusable.
-HEADER_LINE = """case doc_id % 6
-  when 0 then 'InvoiceID,CustomerID,CustomerName,InvoiceDate,DueDate,TotalAmount,PaymentStatus'
-  when 1 then 'Invoice ID,Customer Name,customer_id,Invoice Date,Due Date,Total Amount,Payment Status,Notes'
-  when 2 then 'Inv No,Client ID,Client,Date,Due,Total,Status'
-  when 3 then 'InvoiceID,CustomrID,CustomerNam,Invoice Date,Invoice-Date,DueDates'
-  when 4 then concat(lang, ',', source, ',n chars')
-  else '1st,select col,InvoiceID,Total-Amount,Pay Status' end"""
+# Source header lines as they come in: exact, spaced, by other words, misspelt, made of the text, unusable.
+TEXT_NAMES = "translate(text, concat(' ', chr(10), chr(9)), ',,,')"
+HEADER_LINE = f"""case doc_id % 7
+  when 0 then concat('InvoiceID,CustomerID,CustomerName,InvoiceDate,DueDate,TotalAmount,PaymentStatus,', {TEXT_NAMES})
+  when 1 then concat({TEXT_NAMES}, ',Invoice ID,Customer Name,customer_id,Invoice Date,Due Date,Total Amount,Payment Status,Notes')
+  when 2 then concat('Inv No,Client ID,Client,Date,Due,Total,Status,', {TEXT_NAMES})
+  when 3 then concat('InvoiceID,CustomrID,CustomerNam,Invoice Date,Invoice-Date,DueDates,', {TEXT_NAMES})
+  when 4 then concat(lang, ',', source, ',n chars,', {TEXT_NAMES})
+  when 5 then concat('ID,No,Tax,Du Dat,PaymntStats,DeuDate,', {TEXT_NAMES})
+  else concat('1st,select col,InvoiceID,Total-Amount,Pay Status,', {TEXT_NAMES}) end"""
 
 TARGET = ("InvoiceID", "CustomerID", "CustomerName", "InvoiceDate", "DueDate", "TotalAmount", "PaymentStatus")
 SYNONYMS = {
@@ -105,7 +107,7 @@ words(word, meaning) as (values {", ".join(f"('{_norm(w)}', '{t}')" for w, t in
 lines as (select doc_id, string_split({HEADER_LINE}, ',') as hs from documents),
 heads as (select doc_id, unnest(hs) as header, unnest(range(len(hs))) as position from lines),
 scored as (select doc_id, header, position, idx, target, case when norm = tnorm then 0 when word is not null then 1
-    when norm <> '' and levenshtein(norm, tnorm) <= 2 then 1 + levenshtein(norm, tnorm) end as score
+    when abs(length(norm) - length(tnorm)) <= 2 and levenshtein(norm, tnorm) <= least(2, length(norm) // 5, length(tnorm) // 5) then 1 + levenshtein(norm, tnorm) end as score
   from (select *, regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as norm from heads) h cross join targets t
   left join words w on w.word = h.norm and w.meaning = t.target),
 own as (select *, row_number() over (partition by doc_id, position order by score, idx) as r from scored where score is not null),

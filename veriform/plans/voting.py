@@ -59,10 +59,10 @@ def consensus_early_exit(spark, sf):
 
 # Answers of three voters: readable, unreadable by rotation, failed calls.
 def answer(i: int) -> str:
-    yes = {0: "n_chars >= 200", 1: "n_chars % 3 <> 0", 2: "lang <> 'de'"}[i]
-    return f"""case when doc_id % 17 = 0 and (doc_id % 51) / 17 = {i} then concat('<isvalid></isvalid> ', source)
-  when {yes} then concat('<verification><isvalid>True</isvalid></verification> ', source)
-  else concat('<isvalid>false</isvalid><invalid_msg>voter {i} says no to ', lang, '</invalid_msg>') end"""
+    yes = {0: "length(text) >= 200", 1: "length(replace(text, 'a', '')) % 3 <> 0", 2: "not contains(text, 'ch')"}[i]
+    return f"""case when doc_id % 17 = 0 and (doc_id % 51) / 17 = {i} then concat('<isvalid></isvalid> ', text)
+  when {yes} then concat('<verification><isvalid>True</isvalid></verification> ', text)
+  else concat('<isvalid>false</isvalid><invalid_msg>voter {i} says no to ', lang, ': ', text, '</invalid_msg>') end"""
 
 
 def failure(i: int) -> str:

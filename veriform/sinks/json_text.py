@@ -20,16 +20,17 @@ def to_json_records(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.select(F.to_json(F.struct(*[named(c) for c in cols]), KEEP_NULLS).alias("record"))
 
 
-def to_json_array(df: DataFrame, by: Sequence[str], cols: Sequence[str], order: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """JSON arrays ``(by..., page, n, records)``.
+def to_json_array(df: DataFrame, by: Sequence[str], cols: Sequence[str], order: Sequence[str], page_rows: int | None = None) -> DataFrame:
+    """JSON arrays ``(by..., page, n, records)``, records in order.
 
-    A group with more than ``max_rows`` rows becomes several arrays, so no array grows with the data
-    and every row is in exactly one of them.
+    One array per group. Groups that may be too large for one value are cut into pages of ``page_rows`` records by
+    their order: the arrays of pages 0, 1, ... put together are the array of the group.
     """
-    paged = with_pages(df.select(*[named(c) for c in dict.fromkeys([*by, *cols, *order])]), by, max_rows)
+    picked = df.select(*[named(c) for c in dict.fromkeys([*by, *order, *cols])])
+    paged = with_pages(picked, by, list(dict.fromkeys([*order, *cols])), page_rows)
     item = F.struct(F.struct(*[named(c) for c in order]).alias("o"), F.struct(*[named(c) for c in cols]).alias("r"))
-    grouped = paged.groupBy(*by, "page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
-    return grouped.select(*by, "page", "n", F.to_json(F.transform("items", lambda x: x["r"]), KEEP_NULLS).alias("records"))
+    grouped = paged.groupBy(*[named(c) for c in by], "page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    return grouped.select(*[named(c) for c in by], "page", "n", F.to_json(F.transform("items", lambda x: x["r"]), KEEP_NULLS).alias("records"))
 
 
 def to_nested_json(layout: Mapping[str, Column | Mapping]) -> Column:
@@ -44,12 +45,27 @@ def to_nested_json(layout: Mapping[str, Column | Mapping]) -> Column:
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object per line. Timestamps have whole seconds, as the target format states."""
     df.write.mode(mode).options(**KEEP_NULLS).json(path)
 
 
-def collect_children(items: DataFrame, keys: Sequence[str], fields: Mapping[str, str], max_rows: int = 10_000) -> DataFrame:
-    """Child rows as one array per key and page: ``(keys..., page, n, items)``, items in field order."""
+def collect_children(items: DataFrame, keys: Sequence[str], fields: Mapping[str, str], totals: Mapping[str, Column] | None = None,
+                     page_rows: int | None = None) -> DataFrame:
+    """Child rows as one array per key: ``(keys..., page, n, totals..., items)``, items in field order.
+
+    ``n`` and the aggregates in ``totals`` cover all children of the key. Keys that may have too many children for one
+    array are cut into pages of ``page_rows`` items by their order; totals stand on every page.
+    """
+    totals = totals or {}
+    item = F.array_sort(F.collect_list(F.struct(*[named(source).alias(name) for name, source in fields.items()]))).alias("items")
+    over_all = [F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in totals.items())]
+    by = [named(k) for k in keys]
+    if page_rows is None:
+        return items.groupBy(*by).agg(*over_all, item).select(*by, F.lit(0).cast("bigint").alias("page"), "n", *totals, "items")
     columns = list(dict.fromkeys([*keys, *fields.values()]))
-    paged = with_pages(items.select(*[named(c) for c in columns]), keys, max_rows)
-    item = F.struct(*[named(source).alias(name) for name, source in fields.items()])
-    return paged.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    paged = with_pages(items.select(*[named(c) for c in columns]), keys, list(fields.values()), page_rows).groupBy(*by, "page").agg(item)
+    whole = items.groupBy(*by).agg(*over_all).select(*[named(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", *totals)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & named(k).eqNullSafe(F.col(f"_k{i}"))
+    return paged.join(whole, on).select(*by, "page", "n", *totals, "items")

@@ -19,16 +19,25 @@ LOWER_CASE = ("true", "false")
 
 
 def field_text(c: Column, kind: T.DataType, trim: bool = True, words: tuple[str, str] = CAPITALISED) -> Column:
-    """A typed value as text: no exponent, no thousands separator, ISO dates, the given words for booleans."""
+    """A typed value as text, losing nothing: no thousands separator, ISO dates, the given words for booleans.
+
+    Floating-point numbers have the shortest digits that give the same number back, without an exponent from 1e-20 up
+    to 1e22. Timestamps have the fraction of a second that they need, and no time at midnight.
+    """
     if isinstance(kind, T.StringType):
         return strip(c) if trim else c
     if isinstance(kind, T.DoubleType | T.FloatType):
-        plain = c.try_cast(T.DecimalType(38, 10)).cast("string")
-        short = F.regexp_replace(plain, r"(\.\d*?[1-9])0+$|\.0+$", "$1")
-        return F.coalesce(short, c.cast("string"))
+        text = c.cast("string")
+        size = F.abs(c.cast("double"))
+        spelled = F.when(size.between(1e-20, 1), text.try_cast(T.DecimalType(38, 37)).cast("string")).when(
+            size.between(1, 1e22), text.try_cast(T.DecimalType(38, 15)).cast("string"))
+        plain = F.when(F.contains(text, F.lit("E")), F.coalesce(spelled, text)).otherwise(text)
+        return F.regexp_replace(plain, r"(\.\d*?[1-9])0+$|\.0+$", "$1")
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
         midnight = F.date_trunc("day", c) == c
-        return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
+        moment = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.when(F.date_trunc("second", c) == c, whole).otherwise(moment))
     if isinstance(kind, T.BooleanType):
         return F.when(c, F.lit(words[0])).when(~c, F.lit(words[1]))
     if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
@@ -82,7 +91,8 @@ def _write(df: DataFrame, header: str, line: Column, path: str, line_sep: str, m
         F.when(first, F.concat(F.lit(header + line_sep), F.col("value"))).otherwise(F.col("value")).alias("value")
     )
     alone = df.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
-    alone.unionByName(body).write.mode(mode).option("lineSep", line_sep).text(path)
+    # One file per task, whatever the session says: a second file of a task would have no header.
+    alone.unionByName(body).write.mode(mode).option("lineSep", line_sep).option("maxRecordsPerFile", 0).text(path)
 
 
 def write_delimited(df: DataFrame, path: str, cols: Sequence[str] | None = None, sep: str = "|", mode: str = "errorifexists") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriform.functions.values import base_name
+from veriform.operators.mapping import named
 
 
 def output_name(path: Column, timestamp: str, ext: str = "txt", distinct: Column | None = None) -> Column:
@@ -33,3 +34,18 @@ def write_run_log(results: DataFrame, path: str, run_date: str, run_id: str) ->
 
 def read_run_log(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def write_outputs(results: DataFrame, folder: str, name: str = "output_name", output: str = "output") -> DataFrame:
+    """Writes each output under its name, ``folder/output_name=<name>/``, and adds ``output_path`` to the results.
+
+    Only rows with status ``success`` are written. Their path is that of what can be read back, ``save_failed`` where
+    nothing can; other rows have none. Names must differ; :func:`output_name` with ``distinct`` makes such names.
+    """
+    spark = results.sparkSession
+    saved = results.filter("status = 'success'").select(named(name).alias("output_name"), named(output).alias("value"))
+    saved.repartition("output_name").write.mode("overwrite").partitionBy("output_name").text(folder)
+    there = spark.read.schema("value string, output_name string").text(folder).select(F.col("output_name").alias("_saved")).distinct()
+    joined = results.join(there, named(name) == F.col("_saved"), "left")
+    path = F.when(F.col("_saved").isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/output_name="), F.col("_saved"))).otherwise(F.lit("save_failed"))
+    return joined.withColumn("output_path", F.when(F.col("status") == "success", path)).drop("_saved")

@@ -36,28 +36,32 @@ def detect_encoding(content: Column) -> Column:
     )
 
 
+UNREADABLE = "Could not load file"
+
+
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of one folder that match a pattern: ``(file_path, file_size, content)``.
+    """Files of one folder that match a pattern: ``(file_path, file_size, content, error)``, one row per file.
 
-    Not recursive. A file that vanishes or cannot be read is left out and does not stop the others;
-    ``with_missing`` turns it into a row again.
+    Not recursive. Files are listed without being opened, and their content is joined to the list, so a file that
+    cannot be read does not stop the others: it has no content, and an error. One that is gone before it is looked at
+    counts as never there; :func:`with_missing` reports it to those who asked for it.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false")
-        .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(folder)
-    )
-    return files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), "content")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").option("ignoreMissingFiles", "true")
+    listed = reader.load(folder).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+    held = reader.option("ignoreCorruptFiles", "true").load(folder).select(F.col("path").alias("_path"), "content")
+    both = listed.join(held, F.col("file_path") == F.col("_path"), "left")
+    return both.select("file_path", "file_size", "content", F.when(F.col("content").isNull(), F.lit(UNREADABLE)).alias("error"))
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(file_path, value)``, one row per file."""
-    return read_folder(spark, folder, pattern).select("file_path", decode_dropping(F.col("content")).alias("value"))
+    """``(file_path, value, error)``, one row per file; the value of an unreadable file is null."""
+    return read_folder(spark, folder, pattern).select("file_path", decode_dropping(F.col("content")).alias("value"), "error")
 
 
 def with_missing(requested: DataFrame, loaded: DataFrame) -> DataFrame:
     """Every requested ``file_path``; value is null and ``error`` set where nothing was loaded."""
-    joined = requested.select("file_path").join(loaded, "file_path", "left")
-    return joined.withColumn("error", F.when(F.col("value").isNull(), F.lit("Could not load file")))
+    joined = requested.select("file_path").join(loaded.drop("error"), "file_path", "left")
+    return joined.withColumn("error", F.when(F.col("value").isNull(), F.lit(UNREADABLE)))
 
 
 def with_provenance(df: DataFrame, path: str = "file_path", value: str = "value") -> DataFrame:

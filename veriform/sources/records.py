@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import types as T
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | T.StructType | None = None,
-                   multi_line: bool = True) -> DataFrame:
+                   *, multi_line: bool) -> DataFrame:
     """Quoted text with doubled quotes. Columns are strings unless a schema is given.
 
-    Records with line breaks inside quotes need ``multi_line``, which reads each file in one task;
-    switch it off for large files without such records so that they are split.
+    Say whether records have line breaks inside quotes: with ``multi_line`` each file is read by one task, without it
+    large files are split, and a record with a line break would be cut.
     """
     reader = spark.read.option("sep", sep).option("header", str(header).lower()).option("escape", '"')
     reader = reader.option("multiLine", str(multi_line).lower())
@@ -52,17 +53,36 @@ def read_fixed_width(df: DataFrame, line: str, spec: Sequence[tuple[str, int, in
     return df.select(*[F.trim(F.substring(F.col(line), start, length)).try_cast(kind).alias(name) for name, start, length, kind in spec])
 
 
-# Named entities replaced in extracted text; the ampersand goes last.
+# Named entities replaced in extracted text; the ampersand goes last. Numbered ones are decoded besides.
 ENTITIES = (
-    ("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", chr(0xA9)), ("&middot;", chr(0xB7)), ("&larr;", chr(0x2190)), ("&amp;", "&"),
+    ("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", chr(0xA9)), ("&reg;", chr(0xAE)), ("&trade;", chr(0x2122)),
+    ("&middot;", chr(0xB7)), ("&bull;", chr(0x2022)), ("&hellip;", chr(0x2026)), ("&ndash;", chr(0x2013)), ("&mdash;", chr(0x2014)), ("&lsquo;", chr(0x2018)),
+    ("&rsquo;", chr(0x2019)), ("&ldquo;", chr(0x201C)), ("&rdquo;", chr(0x201D)), ("&laquo;", chr(0xAB)), ("&raquo;", chr(0xBB)), ("&larr;", chr(0x2190)),
+    ("&rarr;", chr(0x2192)), ("&euro;", chr(0x20AC)), ("&pound;", chr(0xA3)), ("&cent;", chr(0xA2)), ("&sect;", chr(0xA7)), ("&deg;", chr(0xB0)),
+    ("&plusmn;", chr(0xB1)), ("&times;", chr(0xD7)), ("&frac12;", chr(0xBD)), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&agrave;", "à"),
+    ("&acirc;", "â"), ("&ccedil;", "ç"), ("&ocirc;", "ô"), ("&iuml;", "ï"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
+    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&aacute;", "á"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&amp;", "&"),
 )
+NUMBERED = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
 
 
 def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references as characters: numbered ones, and the named ones of ``ENTITIES``."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERED), F.lit(0)))
+
+    def char(ref: Column) -> Column:
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10)).otherwise(F.substring(ref, F.lit(3), F.length(ref) - 3))
+        number = code.try_cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        # UTF-32 knows every code point; a number that is none stays as it is. An ampersand waits for the others.
+        four = F.unhex(F.lpad(F.hex(number), 8, "0"))
+        return F.when(number == 38, F.lit("&amp;")).when(valid, F.decode(four, "UTF-32")).otherwise(ref)
+
+    numbered = F.aggregate(found, c, lambda text, ref: F.replace(text, ref, char(ref)))
+    out = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(c)
+    for entity, to in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(to))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def visible(c: Column) -> Column:
@@ -81,38 +101,54 @@ def _nullable(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _with_class(css_class: str | None) -> str:
+    """Attributes of an element, with a class among them if one is asked for; quoted either way, or bare."""
+    if not css_class:
+        return r"(?:\s[^>]*)?"
+    word = rf"(?<![\w-]){re.escape(css_class)}(?![\w-])"
+    return rf"""\s[^>]*?\bclass\s*=\s*(?:"[^"]*?{word}[^"]*"|'[^']*?{word}[^']*'|{word})[^>]*"""
+
+
+def _value(name: str) -> str:
+    return rf"""\b{re.escape(name)}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _bare(found: Column) -> Column:
+    quoted = found.startswith('"') | found.startswith("'")
+    return F.when(quoted, F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
+
+
 def tag_text(tag: str, css_class: str | None = None):
     """Text of the first element of a tag, or of a tag with a class."""
-    attr = rf'[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*' if css_class else r"(?:\s[^>]*)?"
-    return lambda page: _nullable(inner_text(F.regexp_extract(page, rf"(?is)<{tag}{attr}>(.*?)</{tag}>", 1)))
+    pattern = rf"(?is)<{re.escape(tag)}{_with_class(css_class)}>(.*?)</{re.escape(tag)}>"
+    return lambda page: _nullable(inner_text(F.regexp_extract(page, pattern, 1)))
 
 
 def tag_list(tag: str, css_class: str | None = None):
     """Texts of all elements of a tag, or of a tag with a class."""
-    attr = rf'[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*' if css_class else r"(?:\s[^>]*)?"
-    pattern = rf"(?is)<{tag}{attr}>(.*?)</{tag}>"
+    pattern = rf"(?is)<{re.escape(tag)}{_with_class(css_class)}>(.*?)</{re.escape(tag)}>"
     return lambda page: F.transform(F.regexp_extract_all(page, F.lit(pattern), 1), inner_text)
 
 
 def attribute(tag: str, name: str):
-    """Attribute of the first element of a tag."""
-    return lambda page: _nullable(unescape(F.regexp_extract(page, rf'(?is)<{tag}\b[^>]*\b{name}="([^"]*)"', 1)))
+    """Attribute of the first element of a tag that has it; the value may be quoted either way, or bare."""
+    return lambda page: _nullable(unescape(_bare(F.regexp_extract(page, rf"(?is)<{re.escape(tag)}\b[^>]*?\s{_value(name)}", 1))))
 
 
 def attribute_list(tag: str, name: str):
-    return lambda page: F.transform(F.regexp_extract_all(page, F.lit(rf'(?is)<{tag}\b[^>]*\b{name}="([^"]*)"'), 1), unescape)
+    return lambda page: F.transform(F.regexp_extract_all(page, F.lit(rf"(?is)<{re.escape(tag)}\b[^>]*?\s{_value(name)}"), 1), lambda v: unescape(_bare(v)))
 
 
 def labelled(label: str):
     """Text right after ``label`` and a colon, or in the cell after a heading cell, up to the next end tag."""
-    pattern = rf"(?is)>\s*{label}\s*:?\s*(?:</[^>]+>\s*(?:<[^>/]+>\s*)?)?([^<>]+)<"
+    pattern = rf"(?is)>\s*{re.escape(label)}\s*:?\s*(?:</[^>]+>\s*(?:<[^>/]+>\s*)?)?([^<>]+)<"
     return lambda page: _nullable(inner_text(F.regexp_extract(page, pattern, 1)))
 
 
 def section_list(heading: str, item: str = "li"):
     """Items of the first list after a heading."""
     def items(page: Column) -> Column:
-        block = F.regexp_extract(page, rf"(?is)<h\d[^>]*>\s*{heading}\s*</h\d>\s*<[uo]l[^>]*>(.*?)</[uo]l>", 1)
+        block = F.regexp_extract(page, rf"(?is)<h\d[^>]*>\s*{re.escape(heading)}\s*</h\d>\s*<[uo]l[^>]*>(.*?)</[uo]l>", 1)
         return tag_list(item)(block)
     return items
 
