@@ -116,7 +116,7 @@ def test_mix_fills_targets_and_reruns_agree(make_docs, rng, monkeypatch):
         x[1] += r["size"] * r["copies"]
         x[3] += r["size"]
     for target, taken, size, total in per.values():
-        assert size == total and abs(taken - target) <= 10
+        assert size == total and abs(taken - target) <= 30  # half of the longest document
     again = sorted((r["id"], r["copies"]) for r in sm.mix(docs.repartition(7)).collect())
     assert again == sorted((r["id"], r["copies"]) for r in m)
 
