@@ -23,8 +23,9 @@ from .text_stats import features
 @dataclass(frozen=True)
 class Settings:
     cosines: int = 256
-    width: float = 3.0  # of the kernel, in standard deviations of the statistics
-    ridge: float = 1e-3  # per row
+    width: float = 5.0  # of the kernel, in standard deviations of the statistics
+    clip: float = 2.0  # standard deviations beyond which statistics count alike, so that odd texts stay near known ones
+    ridge: float = 1e-5  # per row
     bins: int = 1000  # of raw scores that are calibrated
     max_rows: int = 1_000_000  # labelled rows that are fitted, chosen by a hash
     seed: int = 7
@@ -38,7 +39,7 @@ def basis(settings: Settings, n: int) -> tuple[np.ndarray, np.ndarray]:
 def cosines(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, settings: Settings) -> np.ndarray:
     """Random Fourier features of rows of statistics, a constant last."""
     w, b = basis(settings, x.shape[1])
-    z = np.clip((x - mean) / scale, -5, 5)
+    z = np.clip((x - mean) / scale, -settings.clip, settings.clip)
     return np.concatenate((np.sqrt(2 / settings.cosines) * np.cos(z @ w + b), np.ones((len(x), 1))), axis=1)
 
 
