@@ -5,12 +5,13 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from veriform.operators import attempts as at
 from veriform.operators import profile as pf
 from veriform.operators import reconcile as rec
 from veriform.operators.paging import with_pages
 from veriform.sinks import json_text as js
 from veriform.sinks import lines as ln
-from veriform.sinks import runs
+from veriform.sinks import runs, views
 from veriform.sources import records as rc
 from veriform.streaming.incremental import convert_stream, read_converted
 
@@ -125,3 +126,18 @@ def test_stream_converts_each_file_once(spark, tmp_path):
     convert_stream(*args).awaitTermination()
     convert_stream(*args).awaitTermination()
     assert sorted(r["value"] for r in read_converted(spark, str(tmp_path / "out")).collect()) == ["ONE\nTWO", "THREE"]
+
+
+def test_view_names_that_clean_to_one_alias(spark):
+    profile = spark.createDataFrame([(0, "Order #", "string"), (1, "order -", "integer"), (2, "1st", "float")], "position int, name string, data_type string")
+    assert views.view_ddl(profile, "v", "t").first()["ddl"].split("\n")[2:5] == [
+        '  CAST("Order #" AS VARCHAR) AS Order__,', '  CAST("order -" AS INTEGER) AS order___2,', '  CAST("1st" AS FLOAT) AS _1st']
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("x", "<output>good</output>")], "`a.b` string, t string")
+    vote = F.struct(F.lit(True).alias("isvalid"), F.lit(None).cast("string").alias("invalid_msg"))
+    out = at.convert_with_retry(df, lambda i, notes: F.col("t"), lambda o: [vote] * 3)
+    assert out.select("`a.b`", "status").first() == ("x", "success")
+    assert at.attempts_long(out, ["a.b"]).count() == 1
+    assert json.loads(js.to_json_array(df, ["a.b"], ["a.b", "t"], ["t"]).first()["records"])[0]["a.b"] == "x"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veriform.functions.text import parse_output
 from veriform.operators import voting
+from veriform.operators.mapping import named
 
 # A converter gives the answer for an attempt number and the notes of the attempt before.
 Converter = Callable[[int, Column], Column]
@@ -77,7 +78,7 @@ def convert_with_retry(
         for i in range(max_retries)
     ]
     return work.select(
-        *df.columns, F.array_compact(F.array(*made)).alias("attempts"),
+        *[named(c) for c in df.columns], F.array_compact(F.array(*made)).alias("attempts"),
         F.when(last == "rejected", F.lit("failed")).otherwise(last).alias("status"),
         over(lambda i: F.when(F.col(f"_outcome{i}") == "rejected", F.lit(i + 1)).otherwise(F.lit(i))).alias("retries"),
         F.when(last == "success", over(lambda i: F.col(f"_out{i}"))).alias("output"), over(lambda i: F.col(f"_feedback{i}")).alias("notes"),
@@ -111,20 +112,20 @@ def generate_with_retry(
         }).drop("_now", "_done", "_fine", "_note")
     status = F.when(F.col("_block").isNotNull(), F.lit("success")).otherwise(F.lit("failed"))
     return work.select(
-        *df.columns, status.alias("status"), F.col("_used").alias("attempts"), F.col("_passed").alias("passed"),
+        *[named(c) for c in df.columns], status.alias("status"), F.col("_used").alias("attempts"), F.col("_passed").alias("passed"),
         F.col("_block").alias("block"), F.col("_notes").alias("notes"),
     )
 
 
 def attempts_long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, F.inline_outer("attempts")).filter("outcome is not null")
+    return df.select(*[named(k) for k in keys], F.inline_outer("attempts")).filter("outcome is not null")
 
 
 def select_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First approved attempt per document from a table of attempts; one slot per group, combined map-side."""
     good = attempts.filter(F.col("outcome") == "success")
-    best = good.groupBy(*keys).agg(F.min(F.struct("attempt", "output", "approved", "total")).alias("a"))
-    return best.select(*keys, "a.attempt", "a.output", "a.approved", "a.total")
+    best = good.groupBy(*[named(k) for k in keys]).agg(F.min(F.struct("attempt", "output", "approved", "total")).alias("a"))
+    return best.select(*[named(k) for k in keys], "a.attempt", "a.output", "a.approved", "a.total")
 
 
 def run_documents(

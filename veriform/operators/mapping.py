@@ -105,7 +105,7 @@ def match_frame(
 def matches_long(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per match: ``(keys..., target, header, position, score)``."""
     # The outer form keeps Catalyst from filtering on the array first, which would match every header twice.
-    return df.select(*keys, F.inline_outer("matches")).filter("target is not null")
+    return df.select(*[named(k) for k in keys], F.inline_outer("matches")).filter("target is not null")
 
 
 def mapping_for(df: DataFrame, targets: Sequence[str], synonyms: Mapping[str, str] | None = None,

@@ -173,7 +173,7 @@ def detect_format(df: DataFrame, text: str) -> DataFrame:
     heads = F.split(F.col("_first"), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
     header = F.when(F.col("delimiter").isNotNull(), ~F.exists(heads, lambda h: h.rlike(r"^\s*([+-]?[\d.,]+|\d{4}-\d{2}-\d{2}.*)?\s*$")))
     quote = F.when(F.col("delimiter").isNotNull() & F.contains("_t", F.lit('"')), F.lit('"'))
-    return out.select(*df.columns, F.col("_found").alias("format"), "delimiter", quote.alias("quote_char"), header.alias("has_header"))
+    return out.select(*[named(c) for c in df.columns], F.col("_found").alias("format"), "delimiter", quote.alias("quote_char"), header.alias("has_header"))
 
 
 # What an HTML page opens with, after any comments and declarations.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriform.functions.text import parse_verdict
+from veriform.operators.mapping import named
 
 VOTERS = 3
 RULES = ("2_of_3", "unanimous", "majority")
@@ -144,12 +145,12 @@ def to_long(df: DataFrame, keys: Sequence[str], name: str = "vote") -> DataFrame
         for i in range(VOTERS)
     ]
     # The outer form keeps Catalyst from filtering on the array first, which would compute every vote twice.
-    return df.select(*keys, F.inline_outer(F.array_compact(F.array(*cast))))
+    return df.select(*[named(k) for k in keys], F.inline_outer(F.array_compact(F.array(*cast))))
 
 
 def consensus(votes: DataFrame, keys: Sequence[str], rule: str = "2_of_3") -> DataFrame:
     """``(keys..., approved, total, passed)`` of a table of votes; combined map-side, two counters per group."""
-    counted = votes.groupBy(*keys).agg(F.count_if("isvalid").alias("approved"), F.count(F.lit(1)).alias("total"))
+    counted = votes.groupBy(*[named(k) for k in keys]).agg(F.count_if("isvalid").alias("approved"), F.count(F.lit(1)).alias("total"))
     return counted.withColumn("passed", decide(F.col("approved"), F.col("total"), rule))
 
 
@@ -159,9 +160,9 @@ def tally(votes: DataFrame, keys: Sequence[str], rule: str = "2_of_3") -> DataFr
     for i in range(VOTERS):
         mine = F.when(F.col("agent_idx") == i, F.struct("agent_idx", "isvalid", "invalid_msg"))
         aggs.append(F.max(mine).alias(f"r{i}"))
-    grouped = votes.groupBy(*keys).agg(*aggs)
+    grouped = votes.groupBy(*[named(k) for k in keys]).agg(*aggs)
     results = F.array_compact(F.array(*[F.col(f"r{i}") for i in range(VOTERS)]))
-    return grouped.select(*keys, "approved", "total", decide(F.col("approved"), F.col("total"), rule).alias("passed"), results.alias("results"))
+    return grouped.select(*[named(k) for k in keys], "approved", "total", decide(F.col("approved"), F.col("total"), rule).alias("passed"), results.alias("results"))
 
 
 def agreement(votes: DataFrame) -> DataFrame:

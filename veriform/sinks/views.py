@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriform.operators.mapping import named
@@ -37,12 +37,19 @@ def sql_type(c: Column) -> Column:
 
 
 def view_ddl(profile: DataFrame, view: str, source: str) -> DataFrame:
-    """CREATE VIEW text from a column profile ``(position, name, data_type)``; one row per column in, one row out."""
+    """CREATE VIEW text from a column profile ``(position, name, data_type)``; one row per column in, one row out.
+
+    Names that clean to one alias, whatever their case, are told apart by a number: the second is ``name_2``.
+    """
+    alike = Window.partitionBy(F.lower(identifier(F.col("name")))).orderBy("position")
+    nth = F.row_number().over(alike)
+    alias = F.when(nth > 1, F.concat(identifier(F.col("name")), F.lit("_"), nth.cast("string"))).otherwise(identifier(F.col("name")))
+    profile = profile.select("position", "name", "data_type", alias.alias("alias"))
     item = F.struct(
         F.col("position"),
         F.concat(
             F.lit('  CAST("'), F.replace(F.col("name"), F.lit('"'), F.lit('""')), F.lit('" AS '), sql_type(F.col("data_type")),
-            F.lit(") AS "), identifier(F.col("name")),
+            F.lit(") AS "), F.col("alias"),
         ).alias("text"),
     )
     parts = profile.agg(F.array_sort(F.collect_list(item)).alias("items"))
