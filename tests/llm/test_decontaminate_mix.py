@@ -134,7 +134,7 @@ def test_odd_rows_and_mixed_rows(make_docs, rng):
     docs = with_clashes(make_docs(rows))
     m = sm.mix(docs)
     assert m.count() == len(rows)
-    assert all(r["copies"] == 0 or r["size"] >= 0 for r in m.collect())
+    assert all((r["copies"] == 0 or r["size"] > 0) and r["copies"] <= 3 for r in m.collect())
     mixed = sm.mixed_rows(docs)
     assert mixed.columns == [*docs.columns, "copies"] and mixed.count() == len(rows)
     assert sorted((r["id"] is None, r["id"] or 0, r["copies"]) for r in m.collect()) == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["copies"]) for r in mixed.collect())

@@ -99,7 +99,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mine = (F.col("taken") == 0) & (F.col("key") == least["key"]) & (F.col("uid") == least["uid"]) & (near < F.col("gap"))
     last = last.withColumn("pick", mine).withColumn("nth", F.row_number().over(Window.partitionBy("source", "pick").orderBy("key", "uid", "id")))
     taken = F.when((F.col("taken") == 1) | (F.col("pick") & (F.col("nth") == 1)), 1).otherwise(0)
-    return sure.unionByName(last.select(*cols, (F.col("whole") + taken).alias("copies")))
+    both = sure.unionByName(last.select(*cols, (F.col("whole") + taken).alias("copies")))
+    return both.withColumn("copies", F.when(F.col("size") > 0, F.least("copies", F.lit(epochs).cast("long"))).otherwise(F.lit(0).cast("long")))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
