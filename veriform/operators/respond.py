@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriform.functions import text as tx
-from veriform.functions.text import has_placeholders, parse_output, parse_verdict
+from veriform.functions.text import has_placeholders, parse_output
 from veriform.operators import agents as ag
 from veriform.operators import voting
 from veriform.operators.mapping import named
