@@ -121,6 +121,14 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> dict:  # noqa:
     return model | {"knots": x, "levels": y}
 
 
+def judged(x: np.ndarray, model: dict, settings: Settings) -> np.ndarray:
+    """Scores of rows of statistics: raw, or calibrated if the model has been."""
+    if "constant" in model:
+        return np.full(len(x), model["constant"])
+    s = cosines(x, model["mean"], model["scale"], settings) @ model["beta"]
+    return np.interp(s, model["knots"], model["levels"]) if "knots" in model else s
+
+
 def score(rows: DataFrame, model: dict, settings: Settings, schema: str, carry: list[str]) -> DataFrame:
     """Columns ``carry`` (as in ``schema``) and ``score``: raw, or calibrated if the model has been."""
 
@@ -128,12 +136,7 @@ def score(rows: DataFrame, model: dict, settings: Settings, schema: str, carry:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                if "constant" in model:
-                    s = np.full(part.num_rows, model["constant"])
-                else:
-                    s = cosines(_stack(part.column("x")), model["mean"], model["scale"], settings) @ model["beta"]
-                    if "knots" in model:
-                        s = np.interp(s, model["knots"], model["levels"])
+                s = judged(_stack(part.column("x")), model, settings)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(s)], names=[*carry, "score"])
 
     return rows.select("x", *carry).mapInArrow(run, f"{schema}, score double")
@@ -144,13 +147,8 @@ def held_out(id_: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % folds == 0, F.lit(True))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                   settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """Per row of ``docs``: ``id``, ``h`` (hash of the text), ``held_out`` and ``score``, from 0 to 1.
-
-    Labels are joined on the id; of several for one id the greatest counts, null labels none. A quarter of the learned
-    labels only calibrates. Null and empty texts have a score like any other.
-    """
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings) -> tuple[DataFrame, dict]:
+    """Statistics of all rows (``id``, ``h``, ``x``), and the model fitted to those with labels that are not held out."""
     rows = materialise(with_features(docs, id_col, text_col))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
     known = known.where(F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -159,16 +157,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n = known.count()
     if n > settings.max_rows:
         known = known.where(F.col("fold") < int((1 << 20) * settings.max_rows / n))
-    labelled = materialise(rows.join(known, "id").select("x", "y", "calibrate"))
-    model = fit(labelled, settings)
+    return rows, fit(materialise(rows.join(known, "id").select("x", "y", "calibrate")), settings)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                   settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Per row of ``docs``: ``id``, ``h`` (hash of the text), ``held_out`` and ``score``, from 0 to 1.
+
+    Labels are joined on the id; of several for one id the greatest counts, null labels none. A quarter of the learned
+    labels only calibrates. Null and empty texts have a score like any other.
+    """
+    rows, model = learned(docs, labels, id_col, text_col, label_col, settings)
     kind = dict(docs.dtypes)[id_col]
     return score(rows, model, settings, f"id {kind}, h long", ["id", "h"]).withColumn("held_out", held_out(F.col("id")))
 
 
-def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; all columns."""
-    scores = quality_scores(docs, labels, id_col, text_col, **how)
-    low = materialise(scores.where(F.col("score") < threshold).select("id", "h").distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id_"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("h_"))
-    return rows.join(low, F.col("id_").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h")), "left_anti").select("row.*")
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+              settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """``docs`` without the rows that score below ``threshold``; all columns.
+
+    Texts are judged where they are read: their statistics are made once more rather than joined, so no text is shuffled.
+    """
+    _, model = learned(docs, labels, id_col, text_col, label_col, settings)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                keep = judged(features(part.column(at)), model, settings) >= threshold
+                yield pa.RecordBatch.from_arrays(part.columns, names=names).filter(pa.array(keep))
+
+    return docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).mapInArrow(run, docs.schema)
