@@ -24,8 +24,8 @@ BLOCK_BYTES = 8 << 20
 
 
 def _lower(word: Column) -> Column:
-    """A-Z in lower case, other letters as they are."""
-    return F.when(word.rlike("[A-Z]"), F.translate(word, UPPER, LOWER)).otherwise(word)
+    """A-Z in lower case, other letters as they are; null as the empty text, so that joins need not look for it."""
+    return F.coalesce(F.when(F.lower(word) != word, F.translate(word, UPPER, LOWER)).otherwise(word), F.lit(""))
 
 
 def _words(text: Column) -> Column:
@@ -44,7 +44,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 def postings(rows: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     """``uid``, ``text`` -> ``uid``, ``pos``, ``term``, ``before`` (how many of the words stand before it), ``near``."""
     split = rows.select("uid", _words(F.col("text")).alias("w"))
-    each = split.select("uid", "w", F.posexplode("w").alias("pos", "word")).select("uid", "w", "pos", _lower(F.col("word")).alias("term"))
+    # The outer form, or else texts are split once more to look for empty ones.
+    each = split.select("uid", "w", F.posexplode_outer("w").alias("pos", "word")).select("uid", "w", "pos", _lower(F.col("word")).alias("term"))
     before = F.least(F.col("pos"), F.lit(around))
     near = F.transform(F.slice("w", F.col("pos") - before + 1, before + around + 1), _lower)
     return each.join(F.broadcast(terms), "term").select("uid", "pos", "term", before.alias("before"), near.alias("near"))
@@ -53,7 +54,7 @@ def postings(rows: DataFrame, terms: DataFrame, around: int) -> DataFrame:
 def _block_matches(rows: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
     windows = materialise(windows)
     terms = windows.select("window", F.posexplode("words").alias("off", "term"))
-    each = rows.select(F.explode(_words(F.col("text"))).alias("word")).select(_lower(F.col("word")).alias("term"))
+    each = rows.select(F.explode_outer(_words(F.col("text"))).alias("word")).select(_lower(F.col("word")).alias("term"))
     df = materialise(each.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     ranked = terms.join(df, "term", "left").groupBy("window").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off")).alias("rarest"))
