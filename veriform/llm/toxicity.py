@@ -144,9 +144,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch):
                 row, term = term_ids(part.column("text"), settings)
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(row, term, part.num_rows)], names=["id", "terms"])
+                yield pa.RecordBatch.from_arrays([_lists(row, term, part.num_rows), part.column("y")], names=["terms", "y"])
 
-    labelled = materialise(rows.join(known, "id", "left_semi").mapInArrow(terms, f"id {kind}, terms array<int>").join(known, "id").select("terms", "y"))
+    # At most about max_rows ids and labels: sent to the tasks, so that no text is shuffled.
+    chosen_rows = rows.join(F.broadcast(known), "id").select("text", "y")
+    labelled = materialise(chosen_rows.mapInArrow(terms, "terms array<int>, y int"))
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = np.zeros(0, np.int64)
     if counts.get(0) and counts.get(1):
