@@ -60,6 +60,19 @@ def test_matches_brute_force(spark, make_docs, rng, monkeypatch, block):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(i for i, _, hit, _ in brute(rows, items) if not hit)
 
 
+@pytest.mark.parametrize("size", [10, 70])
+def test_rows_that_repeat_in_full_keep_their_hits(spark, make_docs, rng, size):
+    w = words(rng, 200)
+    items = [(1, " ".join(w[50:130])), (2, w[3] + " " + w[4])]
+    hit, clean = " ".join(w), " ".join(words(rng, 80))
+    rows = [(1, hit), (1, hit), (2, clean), (2, clean), (3, hit), (None, hit), (None, hit), (None, hit), (None, clean)]
+    docs = make_docs(rows)
+    got = dc.contamination(docs, bench(spark, items), size=size)
+    assert sorted((str(r["id"]), r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect()) == brute(rows, items, size)
+    left = dc.clean_rows(docs, bench(spark, items), size=size)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted((str(i), t) for i, t in rows if t == clean)
+
+
 def test_near_matches(spark, make_docs, rng):
     item = words(rng, 10)
     other = words(rng, 40)

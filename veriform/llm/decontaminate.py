@@ -69,9 +69,13 @@ def _block_matches(rows: DataFrame, windows: DataFrame, size: int, slop: int) ->
     lead = index.join(rare, "term").select("uid", "window", "item", "words", "lists", (F.col("pos") - F.col("off")).alias("start"), "pos", "off", "before", "near")
     at = F.col("before") - F.col("off")
     exact = (at >= 0) & (F.slice("near", F.greatest(at, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    # One bit per offset, 63 to a column: rows that repeat in full share their uid and bring each posting as often as they come.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off") % 63)
+    masks = {f"m{k}": F.bit_or(F.when(F.floor(F.col("off") / 63) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range((size - 1) // 63 + 1)}
     met = (
-        index.join(listed, "term").select("uid", "window", (F.col("pos") - F.col("off")).alias("start"))
-        .groupBy("uid", "window", "start").agg(F.count(F.lit(1)).alias("met")).join(lists, "window").where("met = lists").select("uid", "window", "start")
+        index.join(listed, "term").select("uid", "window", "off", (F.col("pos") - F.col("off")).alias("start"))
+        .groupBy("uid", "window", "start").agg(*(m.alias(n) for n, m in masks.items()))
+        .join(lists, "window").where(sum(F.bit_count(n) for n in masks) == F.col("lists")).select("uid", "window", "start")
     )
     phrases = lead.where("start >= 0").join(met, ["uid", "window", "start"], "left_semi").where(exact)
     out = phrases.select("uid", "item", F.lit("phrase").alias("kind"), "start", F.size("words").alias("n"))
