@@ -106,6 +106,16 @@ def test_one_of_each_group_stays(make_docs, rng):
     assert sorted(map(str, groups)) == sorted(map(str, set(comp.values())))
 
 
+def test_unrelated_texts_without_ids_or_with_one_id_stay(make_docs, rng):
+    texts = [prose(rng, 100) for _ in range(8)]
+    near = texts[6].upper()
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0])] + [(1, texts[3]), (1, texts[4]), (2, texts[4])] + [(5, texts[5]), (5, texts[6]), (6, near), (None, texts[7]), (4, texts[7])]
+    assert fingerprint(near) == fingerprint(texts[6])
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_per_component(make_docs(rows)).collect()]
+    want = [(None, t) for t in texts[:3]] + [(1, texts[3]), (1, texts[4]), (5, texts[5]), (5, texts[6]), (4, texts[7])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 2000 + i) for i in range(300)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

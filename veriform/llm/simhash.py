@@ -174,19 +174,21 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``id``, ``h`` (hash of the text), ``fp``, ``component`` of every row: the least id that its fingerprint reaches over links.
+    """``id``, ``h`` (hash of the text), ``fp``, ``component`` of every row: the least id that its fingerprint reaches over links,
+    and ``root``: the fingerprint that stands for the component.
 
     Copies and texts with the same fingerprint are one node, so no group is expanded into pairs; only the different
     fingerprints are keyed, joined and verified. Rows that repeat are returned as often as they come; a null id
-    has its component and is never one unless the component has no other id.
+    has its component and is never one unless the component has no other id. Components whose rows have no id, or that
+    share their least id, have the same ``component``; only ``root`` tells them apart.
     """
     marked = materialise(with_fingerprints(docs, id_col, text_col))
     nodes = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(fingerprint_links(nodes, max_bits))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(heads, "root").select("fp", "component")
-    return marked.join(named, "fp").select("id", "h", "fp", "component")
+    named = rooted.join(heads, "root").select("fp", "component", "root")
+    return marked.join(named, "fp").select("id", "h", "fp", "component", "root")
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -195,8 +197,8 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The row with the least id stays, null ids last; of several rows with that id, the one with the least hash of its
     text; of equal rows, one.
     """
-    comp = simhash_components(docs, id_col, text_col, max_bits).groupBy("component", "id", "h").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialise(comp.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("k")).select("k.*"))
+    comp = simhash_components(docs, id_col, text_col, max_bits).groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(comp.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("k")).select("k.*"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id_"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("h_"))
     same = (F.col("h_") == F.col("h")) & F.col("id_").eqNullSafe(F.col("id"))
