@@ -141,6 +141,28 @@ def test_undecided_blocks_follow_their_neighbours():
     assert html_blocks.main_text(page) == f"A head {long_} Short one. {long_}"
 
 
+@pytest.mark.parametrize("attributes", [
+    'class="content with-sidebar"', 'class="post share-enabled"', 'style="overflow:hidden"', 'class="overflow-hidden"', "id=content-with-sidebar",
+    'data-state="hidden"', 'class="layout-sidebar"', "class=widget",
+])
+def test_names_of_wrappers_keep_the_text(attributes):
+    text = "It is one of the things that you will see when you are in the town and there is more to it than that, as they say. " * 3
+    for page in (f"<div {attributes}><p>{text}</p></div>", f"<article><div {attributes}><p>{text}</p></div></article>"):
+        assert html_blocks.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("attributes", ['class="sidebar"', 'class="sidebar-left x"', 'id="site-footer"', "role=navigation", "hidden", 'style="color:red; visibility:hidden"', 'style="display:none"', 'class="comments-list"'])
+def test_names_beside_the_article_still_count(attributes):
+    text = "It is one of the things that you will see when you are in the town and there is more to it than that, as they say. " * 3
+    beside = "This is what they have to say about it, and there is not more in it for you than that, as you will see."
+    assert html_blocks.main_text(f"<div><p>{text}</p></div><div {attributes}><p>{beside}</p></div>") == text.strip()
+
+
+def test_languages_without_listed_stop_words():
+    text = "Kissa juoksi metsän halki kohti järveä, jonka rannalla vanha kalastaja korjasi verkkojaan hiljaisena aamuna. " * 3
+    assert html_blocks.main_text(f"<div><a href='a'>Etusivu</a></div><p>{text}</p><div><a href='b'>Yhteys</a></div>") == text.strip()
+
+
 def test_pages_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "v", f"<article>{ARTICLE * 3000}</article>"), (3, "v", "<article><p>x</p></article>"), (3, "v", "<article><p>x</p></article>")]
     pages = with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn("text", F.lit(1))

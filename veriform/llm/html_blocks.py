@@ -24,6 +24,10 @@ HINTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disqus "
     "footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended "
     "related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar topbar widget widgets".split())
+# Parts of names that tell how an element is laid out, not what it holds: with-sidebar, share-enabled. Fixed values.
+STATES = frozenset("with without has have no not is are show hide shown enabled disabled enable disable on off open opened closed active inactive visible above below before after".split())
+# These stay outside however much of the page they hold.
+REMARKS = frozenset("comment comments disqus respond".split())
 # Elements inside a line of text; all others part blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,30 +45,50 @@ SHORT, LONG = 70, 200
 LINKS, STOPS_LOW, STOPS_HIGH = 0.3, 0.2, 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _outside(attributes: str) -> bool:
-    for found in _HINT.finditer(attributes):
-        value = next(v for v in found.groups() if v is not None).lower()
-        if any(t in HINTS for t in re.split(r"[^a-z0-9]+", value)):
-            return True
-    return bool(attributes) and bool(_HIDDEN.search(attributes))
+def _hint(name: str) -> str | None:
+    """The word of HINTS that a class, id or role is, begins or ends with."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if not parts or not STATES.isdisjoint(parts):
+        return None
+    return next((p for p in (parts[-1], parts[0]) if p in HINTS), None)
+
+
+def _mark(attributes: str) -> str | None:
+    """``hidden``, ``remark`` or ``named`` after something beside the article."""
+    found = None
+    for a in _ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), next((v for v in a.groups()[1:] if v is not None), "").lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and _HIDING.search(value)):
+            return "hidden"
+        if name in ("class", "id", "role"):
+            hints = {h for h in map(_hint, value.split()) if h}
+            if hints:
+                found = "remark" if found == "remark" or not REMARKS.isdisjoint(hints) else "named"
+    return found
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "outside", "heading")
+    __slots__ = ("text", "linked", "inside", "outside", "heading", "marks")
 
-    def __init__(self, text: str, linked: int, inside: bool, outside: bool, heading: bool):
-        self.text, self.linked, self.inside, self.outside, self.heading = text, linked, inside, outside, heading
+    def __init__(self, text: str, linked: int, inside: bool, outside: bool, heading: bool, marks: tuple[int, ...] = ()):
+        self.text, self.linked, self.inside, self.outside, self.heading, self.marks = text, linked, inside, outside, heading, marks
 
 
 def blocks(page: str) -> list[Block]:
-    """Runs of text between elements that part blocks, in page order."""
+    """Runs of text between elements that part blocks, in page order.
+
+    An element that is only named after something beside the article and holds most of the page's unlinked text is
+    a wrapper of the article, and its name does not count.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside the article, outside of it
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element; before it: inside the article, outside of it, named elements around
+    marks: tuple[int, ...] = ()
+    named = 0
     words: list[str] = []
     linked = anchors = 0
     heading = False
@@ -75,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), inside, outside, heading))
+            out.append(Block(text, min(linked, len(text)), inside, outside, heading, marks))
         words, linked = [], 0
 
     while at < n:
@@ -100,8 +124,6 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name in ("img", "wbr"):
                 continue
-            if not closing and name == "span" and attributes and _outside(attributes):
-                pass
             continue
         if name == "br":
             words.append(" ")
@@ -122,23 +144,41 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    _, inside, outside = stack[i]
+                    _, inside, outside, marks = stack[i]
                     del stack[i:]
                     break
         else:
-            stack.append((name, inside, outside))
-            if name in ASIDE or (name not in ("html", "body") and name not in ARTICLE and _outside(attributes)):
+            stack.append((name, inside, outside, marks))
+            mark = _mark(attributes) if attributes and name not in ("html", "body") and name not in ARTICLE else None
+            if name in ASIDE or mark in ("hidden", "remark"):
                 outside = True
-            if name in ARTICLE and not any(s[0] in ASIDE for s in stack) and not outside:
-                inside = True
-            elif name in ARTICLE and not any(s[0] in ASIDE for s in stack) and not inside:
-                inside, outside = True, False  # a wrapper that is named after something beside the article
+            elif mark:
+                named += 1
+                marks += (named,)
+            # A wrapper may be named after something beside the article that it holds.
+            if name in ARTICLE and not any(s[0] in ASIDE for s in stack) and not (inside and (outside or marks)):
+                inside, outside, marks = True, False, ()
     end()
+    held: dict[int, int] = {}
+    free = [0 if b.outside else len(b.text) - b.linked for b in out]
+    for b, n in zip(out, free, strict=True):
+        for m in b.marks:
+            held[m] = held.get(m, 0) + n
+    most = max(LONG, sum(free) / 2)
+    for b in out:
+        b.outside = b.outside or any(held[m] <= most for m in b.marks)
     return out
 
 
-def first_pass(b: Block, has_article: bool) -> bool | None:
-    """True: main text, False: not, None: undecided."""
+def stop_share(text: str) -> float:
+    """Share of stop words in the words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, has_article: bool, known: bool = True) -> bool | None:
+    """True: main text, False: not, None: undecided. ``known``: the page is in a language whose stop words are listed;
+    if not, a long block without links is main text."""
     if b.outside:
         return False
     n = len(b.text)
@@ -151,20 +191,22 @@ def first_pass(b: Block, has_article: bool) -> bool | None:
         return None
     if n < SHORT:
         return None if not links else False
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = stop_share(b.text)
     if stops >= STOPS_HIGH:
         return True if n > LONG or stops >= STOPS_HIGH else None
     if stops >= STOPS_LOW:
         return True if n > LONG else None
-    return None if n <= LONG else False
+    if n <= LONG:
+        return None
+    return False if known else None if b.linked else True
 
 
 def main_text(page: str) -> str:
     """The page's main text, its blocks joined by a blank."""
     found = blocks(page)
     has_article = any(b.inside and not b.outside for b in found)
-    labels = [first_pass(b, has_article) for b in found]
+    known = has_article or any(not b.outside and len(b.text) >= SHORT and stop_share(b.text) >= STOPS_LOW for b in found)
+    labels = [first_pass(b, has_article, known) for b in found]
     before: list[bool | None] = []
     last: bool | None = None
     for label in labels:
