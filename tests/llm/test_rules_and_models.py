@@ -39,6 +39,12 @@ def test_line_rules(line, fault):
     assert line_rules.line_fault(line, line_rules.Rules()) == fault
 
 
+@pytest.mark.parametrize("line", ["The design in the catalog is new.", "He put the catalog in the box.", "A blog in English, a dialog in French.", "Please spread more butter on it."])
+def test_phrases_are_whole_words(line):
+    assert line_rules.line_fault(line, line_rules.Rules()) is None
+    assert line_rules.line_fault("Please log in, or read more.", line_rules.Rules()) == "boilerplate"
+
+
 def test_failing_lines_go_and_texts_that_lose_too_much(make_docs, rng):
     good = "\n".join(prose(rng, 30) for _ in range(4))
     menu = "Home | About | News | Contact"

@@ -38,7 +38,7 @@ class Rules:
     lost: float = 0.3  # of a text's words, more than which may not go
 
 
-_PHRASE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+_PHRASE = re.compile(rf"\b(?:{'|'.join(map(re.escape, BOILERPLATE))})\b", re.I)
 _SEPARATOR = re.compile(r"(?<!\S)[|»›•·>](?!\S)|\|")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _SHOUT = re.compile(r"[!?]{2,}(?!\S)")
