@@ -1,7 +1,7 @@
 """A toxicity score by a factorization machine over hashed terms.
 
 Terms are words and their first bytes, hashed. The terms that tell the labels apart most are chosen by counts over
-all labelled rows; the machine then learns a weight and a short vector for each, so that pairs such as an insult and
+the labelled rows of the sample (``max_rows``), so words of other rows only are not learned; the machine then learns a weight and a short vector for each, so that pairs such as an insult and
 the mention of a group weigh more, or less, together than the sum of both.
 """
 
