@@ -101,9 +101,9 @@ def test_one_of_each_group_stays(make_docs, rng):
     docs = with_clashes(make_docs(rows))
     kept = simhash.one_per_component(docs)
     assert kept.columns == docs.columns
-    comp = {(r["id"], r["h"]): r["component"] for r in simhash.simhash_components(docs).collect()}
-    groups = [comp[r["doc_id"], r["h2"]] for r in kept.select("*", F.xxhash64("text").alias("h2")).collect()]
-    assert sorted(map(str, groups)) == sorted(map(str, set(comp.values())))
+    root = {(r["id"], r["h"]): r["root"] for r in simhash.simhash_components(docs).collect()}
+    groups = [root[r["doc_id"], r["h2"]] for r in kept.select("*", F.xxhash64("text").alias("h2")).collect()]
+    assert sorted(groups) == sorted(set(root.values()))
 
 
 def test_unrelated_texts_without_ids_or_with_one_id_stay(make_docs, rng):

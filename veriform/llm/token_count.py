@@ -51,7 +51,7 @@ class Transducer:
         self.states: list[tuple[str, tuple]] = [("", ((None, 0),))]
         self.ids = {self.states[0]: 0}
         self.next: dict[tuple[int, str], tuple[int, int]] = {}
-        self.units: dict[str, int] = {}
+        self.units = Units(self)
 
     def merged(self, text: str) -> list[str]:
         """Encoding of a short text by merging the best pair again and again, the first one of equals."""
@@ -105,19 +105,26 @@ class Transducer:
         return total
 
     def count(self, text: str) -> int:
-        """Tokens of a text that begins and ends at resets; blanks are word marks already."""
-        total, kept = 0, self.units
-        for unit in _UNIT.findall(text):
-            n = kept.get(unit)
-            if n is None:
-                if len(kept) > KEEP or len(self.next) > 4 * KEEP:
-                    self.forget()
-                    kept = self.units
-                n = self.run(unit)
-                if len(unit) < 64:
-                    kept[unit] = n
-            total += n
-        return total
+        """Tokens of a text that begins and ends at resets; blanks are word marks already.
+
+        Each different unit is run once and then looked up, so a text costs a look-up for each of its units.
+        """
+        if len(self.units) > KEEP or len(self.next) > 4 * KEEP:
+            self.forget()
+        return sum(map(self.units.__getitem__, _UNIT.findall(text)))
+
+
+class Units(dict):
+    """Tokens of units, counted when first asked for; very long units are not kept."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, unit: str) -> int:
+        n = self.machine.run(unit)
+        if len(unit) < 64:
+            self[unit] = n
+        return n
 
 
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
