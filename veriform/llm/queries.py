@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators, and the SQL that checks those that SQL can express."""
+"""Registered queries of the operators, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_blocks, line_rules, quality_model, simhash, source_mix, substring_dedup, token_count, toxicity, url_cascade
+from . import decontaminate, html_blocks, line_rules, quality_model, simhash, source_mix, substring_dedup, token_count, toxicity, url_cascade, whitening
 
 TOKENIZER = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
@@ -81,8 +81,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_line_rules, op3_source_mix, op4_token_count, op5_url_filter, op6_quality, op7_decontaminate, op8_html_text, op9_toxicity, op10_simhash)}
+    op1_substring_dedup, op2_line_rules, op3_source_mix, op4_token_count, op5_url_filter, op6_quality, op7_decontaminate, op8_html_text, op9_toxicity, op10_simhash,
+    op11_embedding_whitening)}
 
 ORACLES = {
     "op5_url_filter": rf"""
