@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_blocks, line_rules, quality_model, simhash, source_mix, substring_dedup, token_count, toxicity, url_cascade, whitening
+from . import collocations, decontaminate, html_blocks, lattice_lm, line_rules, quality_model, simhash, source_mix, substring_dedup, token_count, toxicity, url_cascade, whitening
 
 TOKENIZER = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
@@ -85,11 +85,39 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, most=2000)
+    return c.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scores = token_count.load_pieces(str(public_tokenizers.path(TOKENIZER)))
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), scores).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_line_rules, op3_source_mix, op4_token_count, op5_url_filter, op6_quality, op7_decontaminate, op8_html_text, op9_toxicity, op10_simhash,
-    op11_embedding_whitening)}
+    op11_embedding_whitening, op12_collocations, op13_lattice_lm)}
 
 ORACLES = {
+    "op12_collocations": rf"""
+        WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}') AS t FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE len(w) >= k)
+            GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, k, phrase, f AS a FROM g WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM g q
+            WHERE q.lang = g.lang AND q.k > g.k AND contains(' ' || q.phrase || ' ', ' ' || g.phrase || ' ') AND 100 * q.f >= 100 * g.f)),
+        cut AS (SELECT c.*, j, n, x.f AS l, y.f AS r, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+            JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(s[1 : j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(s[j + 1 : k], ' ')),
+        best AS (SELECT lang, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cut) WHERE nth = 1)
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best) WHERE rank <= 2000
+    """,
     "op5_url_filter": rf"""
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),

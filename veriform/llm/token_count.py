@@ -14,7 +14,7 @@ tasks, and their maps composed by a tree.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
@@ -37,13 +37,42 @@ def load_pieces(path: str) -> dict[str, float]:
     return {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not any(k(i) for k in kinds)}
 
 
+def merged(text: str, scores: Mapping[str, float]) -> tuple[list[str], int]:
+    """Encoding of a short text by merging the best pair again and again, the first one of equals; and where the last merge joined two parts."""
+    parts, joint = list(text), 0
+    while len(parts) > 1:
+        best = max(range(len(parts) - 1), key=lambda i: (scores.get(parts[i] + parts[i + 1], float("-inf")), -i))
+        if parts[best] + parts[best + 1] not in scores:
+            break
+        joint = len(parts[best])
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts, joint
+
+
+def joints(scores: Mapping[str, float]) -> dict[str, int]:
+    """For each piece that is its own encoding, the place where its last merge joined it; 0 for single characters.
+
+    Raises if a part is merged later than the whole, as no vocabulary learned by merging has it.
+    """
+    out = {}
+    for piece in scores:
+        parts, joint = merged(piece, scores)
+        if parts == [piece]:
+            out[piece] = joint
+            if any(len(x) > 1 and scores[x] < scores[piece] for x in (piece[:joint], piece[joint:])):
+                raise ValueError(f"{piece!r} is merged before its parts")
+    return out
+
+
 class Transducer:
     """Counts the tokens of pieces of text that start and end at a reset."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: Mapping[str, float], joined: Mapping[str, int] | None = None):
         self.scores = scores
+        self.joined = joints(scores) if joined is None else joined
         self.starts = {p[:i] for p in scores for i in range(1, len(p) + 1)}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.edges: tuple[dict[str, list], dict[str, list]] = ({}, {})
         self.forget()
 
     def forget(self) -> None:
@@ -53,47 +82,71 @@ class Transducer:
         self.next: dict[tuple[int, str], tuple[int, int]] = {}
         self.units = Units(self)
 
-    def merged(self, text: str) -> list[str]:
-        """Encoding of a short text by merging the best pair again and again, the first one of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], float("-inf")), -i))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+    def edge(self, piece: str, last: int) -> list[tuple[str, float]]:
+        """Parts that hold the last (1) or first (0) character while a piece is merged, and the score at which each is used up."""
+        kept = self.edges[last]
+        if piece not in kept:
+            out, part, until = [], piece, float("-inf")
+            while True:
+                out.append((part, until))
+                if len(part) == 1:
+                    break
+                until, at = self.scores[part], self.joined[part]
+                part = part[at:] if last else part[:at]
+            kept[piece] = out[::-1]
+        return kept[piece]
 
     def agree(self, before: str | None, piece: str) -> bool:
-        """Whether a piece can follow a token in an encoding."""
-        key = (before or "", piece)
+        """Whether a piece can follow a token in an encoding: no part of one is merged with a part of the other in between."""
+        if piece not in self.joined:
+            return False
+        if before is None:
+            return True
+        key = (before, piece)
         if key not in self.fits:
             if len(self.fits) > KEEP:
                 self.fits.clear()
-            self.fits[key] = self.merged(key[0] + piece) == [p for p in key if p]
+            self.fits[key] = self._apart(self.edge(before, 1), self.edge(piece, 0))
         return self.fits[key]
 
+    def _apart(self, left: list[tuple[str, float]], right: list[tuple[str, float]]) -> bool:
+        i = j = 0
+        while True:
+            (a, a_until), (b, b_until) = left[i], right[j]
+            score = self.scores.get(a + b)
+            if score is not None and score > a_until and score >= b_until:  # of equals the first pair is merged
+                return False
+            if i + 1 == len(left) and j + 1 == len(right):
+                return True
+            if a_until >= b_until:
+                i += 1
+            else:
+                j += 1
+
     def compile(self, state: int, char: str) -> tuple[int, int]:
         """The transition of a state on a character: next state, tokens emitted."""
         text, ends = self.states[state]
         if char not in self.scores:  # its bytes are tokens, and nothing joins them
             to, emitted = ("", ((None, 0),)), len(char.encode("utf-8", "surrogatepass"))
         else:
-            longer = text + char
-            for size in range(len(longer), 0, -1):
-                piece = longer[len(longer) - size :]
-                token, had = ends[len(longer) - size]
-                if piece in self.scores and self.agree(token, piece):
-                    break
+            longer, joined, starts, fits = text + char, self.joined, self.starts, self.fits
+            n = open_ = len(longer)
+            for at in range(n):
+                piece = longer[at:]
+                if piece in starts:  # its beginning is the first that a longer piece may have
+                    open_ = min(open_, at)
+                    if piece in joined:
+                        token, had = ends[at]
+                        fit = token is None or fits.get((token, piece))
+                        if fit or (fit is None and self.agree(token, piece)):
+                            break
             emitted = had + 1
-            ends = (*((t, n - emitted) for t, n in ends), (piece, 0))
-            at = 0
-            while at < len(longer) and longer[at:] not in self.starts:
-                at += 1
-            to = (longer[at:], ends[at:])
-        if to not in self.ids:
-            self.ids[to] = len(self.states)
+            to = (longer[open_:], (*[(t, c - emitted) for t, c in ends[open_:]], (piece, 0)))
+        to_id = self.ids.get(to)
+        if to_id is None:
+            to_id = self.ids[to] = len(self.states)
             self.states.append(to)
-        self.next[state, char] = step = (self.ids[to], emitted)
+        self.next[state, char] = step = (to_id, emitted)
         return step
 
     def run(self, text: str) -> int:
@@ -159,19 +212,19 @@ def close(m: tuple[str, int, str | None], machine: Transducer) -> int:
     return machine.count(m[0]) + m[1] + machine.count(m[2] or "")
 
 
-def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def token_counts(docs: DataFrame, scores: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per row: ``id``, ``n_bytes`` (UTF-8), ``n_tokens``, as sentencepiece encodes the text with a model that keeps texts as they
     are, marks a word's start before the text, and falls back to bytes.
 
     Null counts as empty, which has no tokens. Texts of more than ``chunk`` characters are spread over tasks; rows
     that repeat in full are counted once and returned as often as they come.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, joined = dict(docs.dtypes)[id_col], joints(scores)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(scores)
+        machine = Transducer(scores, joined)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = [machine.count(MARK + t.replace(" ", MARK)) if t else 0 for t in texts]
@@ -181,7 +234,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
     short = short.mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(scores)
+        machine = Transducer(scores, joined)
         for batch in batches:
             got = [chunk_map((MARK if p == 0 else "") + t.replace(" ", MARK), machine) for p, t in zip(batch.column("pos").to_pylist(), batch.column("part").to_pylist(), strict=True)]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
@@ -196,7 +249,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
                                     F.transform(F.array_sort(F.collect_list(F.struct("pos", "map"))), lambda x: x["map"]).alias("maps"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(scores)
+        machine = Transducer(scores, joined)
         for batch in batches:
             n = [_tree([(m["head"], m["n"], m["tail"]) for m in ms], machine) for ms in batch.column("maps").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), batch.column("times"), pa.array(n, pa.int64())], names=["id", "n_bytes", "times", "n_tokens"])
