@@ -123,6 +123,7 @@ class Lattice:
     def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
         """Adds the expected uses of each symbol in ``times`` occurrences of a word."""
         alpha, arcs = self.forward(word)
+        text = MARK + word.decode("utf-8", "surrogateescape")
         all_, place, at = alpha[-1], self.vocabulary.place, self.vocabulary.bytes_at
         back: list[list[float]] = [[] for _ in alpha]
         back[-1].append(0.0)
@@ -138,7 +139,7 @@ class Lattice:
             if piece:
                 into[place[piece]] += uses
             else:
-                for b in (MARK + word.decode("utf-8", "surrogateescape"))[s].encode("utf-8", "surrogateescape"):
+                for b in text[s].encode("utf-8", "surrogateescape"):
                     into[at + b] += uses
 
 
