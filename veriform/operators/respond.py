@@ -3,11 +3,13 @@
 Answers may cost time and money and may differ from call to call, so every step is materialised
 before it is used: no later action, and no executor lost after a step, asks again for rows already
 answered. A task that fails within a step asks again for the rows of its partition, so
-``rows_per_task`` bounds what one failure can repeat.
+``rows_per_task`` bounds what one failure can repeat. With a ``store`` nothing that was answered is asked again, by the
+same run or a later one: answers are written as they come (:mod:`veriform.operators.answers`).
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from veriform.functions import text as tx
 from veriform.functions.text import has_placeholders, parse_output
 from veriform.operators import agents as ag
-from veriform.operators import voting
+from veriform.operators import answers, voting
 from veriform.operators.mapping import named
 from veriform.session import materialise
 
@@ -46,13 +48,21 @@ def call(responder: Responder, request: str, instructions: str, tries: int, back
 
 def respond(
     df: DataFrame, request: str, instructions: str, responder: Responder, tries: int = 3, backoff: float = 2, concurrency: int | None = None,
-    sleep: Callable[[float], None] = time.sleep, keep: bool = True,
+    sleep: Callable[[float], None] = time.sleep, keep: bool = True, store: str | None = None, save_every: int = 20,
 ) -> DataFrame:
     """Adds ``content``, ``error`` and ``meta``; one call per row, repeated on failure with growing waits.
 
     ``concurrency`` bounds how many calls run at once, whatever the size of the cluster. With
-    ``keep`` the answers are checkpointed.
+    ``keep`` the answers are checkpointed. With a ``store``, a folder that stays, there is one call per different request and
+    instructions, and none for those that the store answers.
     """
+    if store is not None:
+        def ask(asked: str) -> tuple:
+            return call(responder, *json.loads(asked), tries, backoff, sleep)
+
+        asked = df.withColumn("_asked", F.to_json(F.array(named(request), named(instructions)), {"ignoreNullFields": "false"}))
+        out = _with_answers(asked, ask, store, concurrency, save_every).withColumnsRenamed({"_answer": "content", "_error": "error", "_meta": "meta"})
+        return materialise(out) if keep else out
     work = df if concurrency is None else df.repartition(concurrency)
     schema = T.StructType([*work.schema.fields, T.StructField("content", T.StringType()), T.StructField("error", T.StringType()), T.StructField("meta", META)])
 
@@ -68,6 +78,16 @@ def respond(
     return materialise(out) if keep else out
 
 
+def _with_answers(df: DataFrame, ask: Callable[[str], tuple], store: str, concurrency: int | None, save_every: int) -> DataFrame:
+    """``_answer``, ``_error``, ``_meta`` joined to the rows that ask for them in ``_asked``, a column that is taken off; rows that ask for nothing have none."""
+    tasks = concurrency or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = answers.ask_once(df, "_asked", ask, store, tasks, save_every)
+    meta = F.struct(F.col("elapsed").alias("elapsed_time"), F.col("retries").alias("retry_count"), F.col("failed").alias("failed"))
+    told = told.select(F.col("key").alias("_key"), F.col("content").alias("_answer"), F.col("error").alias("_error"), meta.alias("_meta"))
+    joined = df.withColumn("_key", F.sha2("_asked", 256)).join(told, "_key", "left")
+    return joined.select(*[named(c) for c in df.columns if c != "_asked"], "_answer", "_error", "_meta")
+
+
 # Fixed value: the error of a request in which template markers are left.
 MARKERS_LEFT = "Unreplaced placeholders in request"
 
@@ -96,7 +116,7 @@ AGENT_META = T.StructType([
 
 @dataclass(frozen=True)
 class Calls:
-    """How calls are made: the transport, the providers, the repeats, and how many rows a task asks for."""
+    """How calls are made: the transport, the providers, the repeats, how many rows a task asks for, and where answers stay."""
 
     transport: Transport
     providers: Mapping[str, Mapping[str, str | None]]
@@ -108,6 +128,8 @@ class Calls:
     sleep: Callable[[float], None] = time.sleep
     concurrency: int | None = None
     rows_per_task: int | None = None
+    store: str | None = None
+    save_every: int = 20
 
     def dealt(self, df: DataFrame) -> DataFrame:
         if self.concurrency is not None:
@@ -131,19 +153,33 @@ def ask_agent(df: DataFrame, agent: Agent, request: Column, calls: Calls, name:
     early = F.when(F.lit(unknown is not None), F.lit(unknown)).when(has_placeholders(F.col("_request")), F.lit(MARKERS_LEFT))
     payload = ag.to_request(F.lit(layout), F.lit(model), F.lit(temperature), F.lit(agent.instructions), F.col("_request"))
     work = work.withColumn("_early", F.when(F.col("_wanted"), early)).withColumn("_payload", F.when(F.col("_wanted") & F.col("_early").isNull(), payload)).drop("_request")
-    schema = T.StructType([*work.schema.fields, T.StructField("_answer", T.StringType()), T.StructField("_error", T.StringType()), T.StructField("_meta", AGENT_META)])
     transport, tries, backoff, sleep = calls.transport, calls.tries, calls.backoff, calls.sleep
-
-    def run(batches):
-        for batch in batches:
-            rows = [call(transport, p, told, tries, backoff, sleep) if p is not None else None for p in batch["_payload"]]
-            batch["_answer"] = [r and r[0] for r in rows]
-            batch["_error"] = [r and r[1] for r in rows]
-            batch["_meta"] = [told | {"elapsed_time": r[2] if r else 0.0, "retry_count": r[3] if r else 0, "failed": r[4] if r else True} for r in rows]
-            yield batch
+    if calls.store is not None:
+        def ask(asked: str) -> tuple:
+            settings, payload = json.loads(asked)
+            return call(transport, payload, json.loads(settings), tries, backoff, sleep)
+
+        asked = F.when(F.col("_payload").isNotNull(), F.to_json(F.array(F.lit(json.dumps(told)), F.col("_payload"))))
+        answered = _with_answers(work.withColumn("_asked", asked), ask, calls.store, calls.concurrency, calls.save_every)
+        none = F.struct(F.lit(0.0).alias("elapsed_time"), F.lit(0).alias("retry_count"), F.lit(True).alias("failed"))
+        took = F.coalesce("_meta", none)
+        meta = F.struct(*[F.lit(v).alias(k) for k, v in told.items()], *[took[f.name].alias(f.name) for f in META.fields])
+        answered = answered.withColumn("_meta", meta.cast(AGENT_META))
+    else:
+        schema = T.StructType([*work.schema.fields, T.StructField("_answer", T.StringType()), T.StructField("_error", T.StringType()), T.StructField("_meta", AGENT_META)])
+
+        def run(batches):
+            for batch in batches:
+                rows = [call(transport, p, told, tries, backoff, sleep) if p is not None else None for p in batch["_payload"]]
+                batch["_answer"] = [r and r[0] for r in rows]
+                batch["_error"] = [r and r[1] for r in rows]
+                batch["_meta"] = [told | {"elapsed_time": r[2] if r else 0.0, "retry_count": r[3] if r else 0, "failed": r[4] if r else True} for r in rows]
+                yield batch
+
+        answered = work.mapInPandas(run, schema)
 
     content = ag.from_response(F.col("_answer"), F.lit(layout))
-    return work.mapInPandas(run, schema).withColumns({
+    return answered.withColumns({
         f"{name}_content": content, f"{name}_error": F.coalesce("_early", "_error"), f"{name}_meta": F.when(F.col("_wanted"), F.col("_meta")),
     }).drop("_wanted", "_early", "_payload", "_answer", "_error", "_meta")
 

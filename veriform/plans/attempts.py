@@ -14,6 +14,7 @@ from veriform.plans.scalars import tag_sql
 from veriform.plans.voting import VOTES_SQL, voters
 from veriform.session import materialise, scratch
 from veriform.sinks import runs
+from veriform.sources import documents as dc
 
 # Converters on pages: the title, then the first heading, then the first paragraph, markup and all.
 SOURCES = ("title", "h1", "p")
@@ -139,19 +140,31 @@ def final_status(spark, sf):
     return ran(spark, sf).select("doc_id", "status", "retries")
 
 
-# What the log of a run must hold: every document, and where each success was written.
+# Two runs into the same folders, an hour apart; names hold signs that paths escape, and one in a while is no name.
+RUNS = {"r1": "20250201-101500", "r2": "20250201-111500"}
+BAD_NAME = "doc_id % 31 = 4"
+
+
+# What the log must hold: every document of each run, and where each success was written; what is there has the right size.
 @query(
     "run_log",
-    f"select doc_id, status, cast(retries as integer) as retries, '2025-02-01' as run_date, status = 'success' as saved, case when status = 'success' then doc_id || '-20250201-101500.txt' end as output_name from ({STATUS_SQL})",
+    f"""select doc_id, status, cast(retries as integer) as retries, '2025-02-01' as run_date, run_id, status = 'success' and not {BAD_NAME} as saved, status = 'success' and {BAD_NAME} as not_saved,
+  case when status = 'success' and not {BAD_NAME} then doc_id || ' a=b:1%-' || stamp || '.txt' end as output_name
+from ({STATUS_SQL}), (values {", ".join(f"('{k}', '{v}')" for k, v in RUNS.items())}) t(run_id, stamp)""",
 )
 def run_log(spark, sf):
     log, outputs = scratch(spark, "run-log"), scratch(spark, "outputs")
-    name = runs.output_name(F.col("doc_id").cast("string"), "20250201-101500", "txt")
-    results = materialise(ran(spark, sf).select("doc_id", "status", "retries", "output", "notes", name.alias("output_name")))
-    runs.write_run_log(runs.write_outputs(results, outputs).drop("output"), log, "2025-02-01", "r1")
-    back = runs.read_run_log(spark, log, "doc_id bigint, status string, retries int, notes string, output_name string, output_path string, run_date string, run_id string")
-    saved = F.coalesce(F.col("output_path").endswith(F.concat(F.lit("/output_name="), F.col("output_name"))), F.lit(False))
-    return back.select("doc_id", "status", "retries", "run_date", saved.alias("saved"), F.when(F.col("output_path").isNotNull(), F.col("output_name")).alias("output_name"))
+    results = materialise(ran(spark, sf).select("doc_id", "status", "retries", "output", "notes"))
+    for run_id, stamp in RUNS.items():
+        name = F.when(F.expr(BAD_NAME), F.lit("no/name")).otherwise(runs.output_name(F.concat("doc_id", F.lit(" a=b:1%.csv")), stamp))
+        written = runs.write_outputs(results.withColumn("output_name", name), outputs)
+        runs.write_run_log(written.withColumn("bytes", F.octet_length("output")).drop("output"), log, "2025-02-01", run_id)
+    back = runs.read_run_log(
+        spark, log, "doc_id bigint, status string, retries int, notes string, output_name string, output_path string, bytes bigint, run_date string, run_id string")
+    files = dc.read_folder(spark, outputs, "*.txt").select(F.col("file_path").alias("output_path"), F.col("file_size").alias("size"))
+    found = back.join(files, "output_path", "left").withColumn("saved", F.coalesce(F.col("size") == F.col("bytes"), F.lit(False)))
+    return found.select("doc_id", "status", "retries", "run_date", "run_id", "saved", F.coalesce(F.col("output_path") == "save_failed", F.lit(False)).alias("not_saved"),
+                        F.when(F.col("saved"), F.col("output_name")).alias("output_name"))
 
 
 @query("run_summary", f"select status, count(*) as n, round(sum(coalesce(retries, 0)) / count(*), 4) as mean_retries from ({STATUS_SQL}) group by status")

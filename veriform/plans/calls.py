@@ -34,6 +34,25 @@ def respond_batch(spark, sf):
     return answered.select("doc_id", "content", "error", F.col("meta.retry_count").alias("retry_count"), F.col("meta.failed").alias("failed"))
 
 
+def answer_again(request: str, instructions: str) -> str:
+    return answer(request, instructions).replace("<output>", "<output>again ")
+
+
+@query(
+    "respond_stored",
+    """select doc_id, case when doc_id % 13 <> 0 then '<output>' || case when even then '' else 'again ' end || text || '</output><isvalid>' || case when length(text) > 100 then 'True' else 'False' end || '</isvalid>' end as content,
+  case when doc_id % 13 = 0 then 'empty request' end as error, doc_id % 13 = 0 as failed
+from (select *, bool_or(doc_id % 2 = 0 and doc_id % 13 <> 0) over (partition by text) as even from documents)""",
+)
+def respond_stored(spark, sf):
+    """Half of the documents are asked first; a later run, which would answer otherwise, asks only for what is not stored."""
+    store = scratch(spark, "answers")
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).otherwise(F.lit(" ")).alias("request"), F.lit("Echo.").alias("instructions"))
+    rs.respond(docs.where(F.col("doc_id") % 2 == 0), "request", "instructions", answer, tries=1, sleep=no_wait, store=store)
+    answered = rs.respond(docs, "request", "instructions", answer_again, tries=1, sleep=no_wait, store=store)
+    return answered.select("doc_id", "content", "error", F.col("meta.failed").alias("failed"))
+
+
 # A provider without a model: it reads the request out of either layout and answers by the agent's role.
 PROVIDERS = {"local": {"request_format": "openai", "default_model": "lab/echo"}, "other": {"request_format": "anthropic", "default_model": "lab/judge"}}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriform.operators import assignment as asg
 from veriform.operators import mapping as mp
 from veriform.plans import stand_ins as si
 from veriform.plans.registry import query, table
@@ -30,6 +31,33 @@ def header_mapping(spark, sf):
     return mp.matches_long(matched, ["doc_id"])
 
 
+# Headers that several targets want: none, one or two letters apart, repeated, and words of the text among them.
+NEAR_TARGETS = ("LineTotalNet", "LineTotalNets", "LineTotals", "OrderDates", "OrderDate", "Region", "Remark")
+NEAR_SYNONYMS = {"Area": "Region", "Note": "Remark"}
+NEAR_LINE = f"""case doc_id % 5
+  when 0 then concat('LineTotalNet,LineTotalNet,OrderDate,Area,', {si.TEXT_NAMES})
+  when 1 then concat({si.TEXT_NAMES}, ',LineTotlNets,LineTotals,Line Total,Orderdate,order date,Region,Area,Note')
+  when 2 then concat('LineTotalNtes,LineTotalNets,LineTotalNet,OrderDats,Remark,Note,', {si.TEXT_NAMES})
+  when 3 then concat('OrderDate,OrderDat,LineTotalNet,', {si.TEXT_NAMES}, ',LineTotalNett,LineTotal Nets')
+  else concat({si.TEXT_NAMES}, ',LineTotal,', {si.TEXT_NAMES}, ',LineTotal,OrderDates,OrderDates') end"""
+
+# Every way to give headers to targets, one target after another; of its headers a target needs no more than there are targets.
+NEAR_SQL = f"""with recursive {si.scored_cte(NEAR_TARGETS, NEAR_SYNONYMS, NEAR_LINE)},
+few as (select * from (select *, row_number() over (partition by doc_id, idx order by score, position) as r from scored where score is not null) where r <= {len(NEAR_TARGETS)}),
+offers as (select doc_id, idx, cast(position as integer) as position, cast(score as integer) as score from few union all select doc_id, idx, null, null from lines, targets),
+ways as (select doc_id, -1 as idx, cast([] as integer[]) as places, 0 as lost, 0 as cost from lines
+  union all select w.doc_id, w.idx + 1, list_append(places, coalesce(o.position, 1000000000)), lost + case when o.position is null then 1 else 0 end, cost + coalesce(o.score, 0)
+  from ways w join offers o on o.doc_id = w.doc_id and o.idx = w.idx + 1 and (o.position is null or not list_contains(places, o.position))),
+best as (select doc_id, places from (select *, row_number() over (partition by doc_id order by lost, cost, places) as r from ways where idx = {len(NEAR_TARGETS) - 1}) where r = 1)
+select doc_id, target, header, cast(position as integer) as position, cast(score as integer) as score from best join scored using (doc_id) where score is not null and places[idx + 1] = position"""
+
+
+@query("header_assignment", NEAR_SQL)
+def header_assignment(spark, sf):
+    files = si.documents_with(spark, sf, "header_line", NEAR_LINE).select("doc_id", F.split("header_line", ",").alias("headers"))
+    return mp.matches_long(asg.assign_headers(files, "headers", NEAR_TARGETS, NEAR_SYNONYMS), ["doc_id"])
+
+
 @query("prefix_columns", "select r_regionkey as src_r_regionkey, r_name as src_r_name from region")
 def prefix_columns(spark, sf):
     return mp.prefix_columns(table(spark, sf, "region"), "src_")

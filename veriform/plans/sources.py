@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from veriform.plans.registry import query, table
@@ -10,6 +13,7 @@ from veriform.plans.workbooks import build_workbook
 from veriform.session import scratch
 from veriform.sinks import lines as ln
 from veriform.sources import documents as dc
+from veriform.sources import folder as fl
 from veriform.sources import records as rc
 from veriform.sources import workbook as wb
 
@@ -38,16 +42,19 @@ def scan_documents(spark, sf):
     return counted_lines(dc.read_documents(spark, folder, "*.txt"))
 
 
-@query("scan_folder", f"select line, n, cast(null as varchar) as error from ({LINES_SQL}) union all select null, 1, 'Could not load file'")
+@query("scan_folder", f"select line, n, cast(null as varchar) as error from ({LINES_SQL}) union all select null, 2, 'Could not load file'")
 def scan_folder(spark, sf):
-    """Every line of the files, and a row for the file that cannot be read."""
+    """Every line of the files, and rows for a file that cannot be read and for one that was asked for and is not there."""
     folder = scratch(spark, "folder")
     write_documents(spark, sf, folder)
     spark.range(1).select(F.lit("not for the pattern").alias("value")).write.mode("append").option("compression", "gzip").text(folder)
-    gone = folder + "/part-gone.txt"
-    loaded = dc.read_documents(spark, folder, "part-*.txt")
-    asked = loaded.select("file_path").unionByName(spark.range(1).select(F.lit(gone).alias("file_path")))
-    every = dc.with_missing(asked, loaded)
+    system, at = fl.file_system(folder)
+    asked = ["part-gone.txt"]
+    if isinstance(system, fs.LocalFileSystem):
+        os.symlink(f"{at}/nowhere", f"{at}/part-broken.txt")
+    else:
+        asked.append("part-broken.txt")
+    every = dc.read_documents(spark, folder, "part-*.txt", asked)
     bad = every.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("line"), "n", "error")
     return counted_lines(every.filter("error is null")).withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
@@ -76,7 +83,7 @@ def scan_delimited(spark, sf):
         "o_orderkey", F.expr(ORDER_NOTE).alias("note"), F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderdate").cast("date")
     )
     ln.write_csv(orders, folder)
-    return rc.read_delimited(spark, folder, ",", True, ORDER_SCHEMA, multi_line=True)
+    return rc.read_delimited(spark, folder, ",", True, ORDER_SCHEMA)
 
 
 @query(

@@ -101,15 +101,20 @@ def _norm(word: str) -> str:
     return "".join(ch for ch in word.lower() if ch.isalnum())
 
 
-# The header match said with joins and windows: (doc_id, idx, target, header, position, score).
-MATCH_CTE = f"""targets(idx, target, tnorm) as (values {", ".join(f"({i}, '{t}', '{_norm(t)}')" for i, t in enumerate(TARGET))}),
-words(word, meaning) as (values {", ".join(f"('{_norm(w)}', '{t}')" for w, t in SYNONYMS.items())}),
-lines as (select doc_id, string_split({HEADER_LINE}, ',') as hs from documents),
+def scored_cte(targets, synonyms, header_line: str) -> str:
+    """Every header that fits a target, said with joins: ``scored`` (doc_id, header, position, idx, target, score); ``lines`` and ``targets`` besides."""
+    return f"""targets(idx, target, tnorm) as (values {", ".join(f"({i}, '{t}', '{_norm(t)}')" for i, t in enumerate(targets))}),
+words(word, meaning) as (values {", ".join(f"('{_norm(w)}', '{t}')" for w, t in synonyms.items())}),
+lines as (select doc_id, string_split({header_line}, ',') as hs from documents),
 heads as (select doc_id, unnest(hs) as header, unnest(range(len(hs))) as position from lines),
 scored as (select doc_id, header, position, idx, target, case when norm = tnorm then 0 when word is not null then 1
     when abs(length(norm) - length(tnorm)) <= 2 and levenshtein(norm, tnorm) <= least(2, length(norm) // 5, length(tnorm) // 5) then 1 + levenshtein(norm, tnorm) end as score
   from (select *, regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as norm from heads) h cross join targets t
-  left join words w on w.word = h.norm and w.meaning = t.target),
+  left join words w on w.word = h.norm and w.meaning = t.target)"""
+
+
+# The header match said with joins and windows: (doc_id, idx, target, header, position, score).
+MATCH_CTE = f"""{scored_cte(TARGET, SYNONYMS, HEADER_LINE)},
 own as (select *, row_number() over (partition by doc_id, position order by score, idx) as r from scored where score is not null),
 matched as (select doc_id, idx, target, header, position, score from
   (select *, row_number() over (partition by doc_id, idx order by score, position) as q from own where r = 1) where q = 1)"""

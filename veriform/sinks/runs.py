@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriform.functions.values import base_name
 from veriform.operators.mapping import named
+from veriform.sinks.named_files import NamedFiles, committed
+from veriform.sources.folder import register
 
 
 def output_name(path: Column, timestamp: str, ext: str = "txt", distinct: Column | None = None) -> Column:
@@ -37,15 +41,21 @@ def read_run_log(spark, path: str, schema: str) -> DataFrame:
 
 
 def write_outputs(results: DataFrame, folder: str, name: str = "output_name", output: str = "output") -> DataFrame:
-    """Writes each output under its name, ``folder/output_name=<name>/``, and adds ``output_path`` to the results.
+    """Writes each output as a file of its name in ``folder`` and adds ``output_path`` to the results.
 
-    Only rows with status ``success`` are written. Their path is that of what can be read back, ``save_failed`` where
-    nothing can; other rows have none. Names must differ; :func:`output_name` with ``distinct`` makes such names.
+    Only rows with status ``success`` are written; the path of others is null. A file that cannot be written, has no name, or whose
+    name is taken by another content, is ``save_failed``; files of earlier runs stay as they are. Names must
+    differ within a run; :func:`output_name` with ``distinct`` makes such names.
     """
     spark = results.sparkSession
-    saved = results.filter("status = 'success'").select(named(name).alias("output_name"), named(output).alias("value"))
-    saved.repartition("output_name").write.mode("overwrite").partitionBy("output_name").text(folder)
-    there = spark.read.schema("value string, output_name string").text(folder).select(F.col("output_name").alias("_saved")).distinct()
+    register(spark, NamedFiles)
+    lists = f"{folder.rstrip('/')}/_lists/{uuid.uuid4().hex}"
+    saved = results.where("status = 'success'").select(named(name).alias("output_name"), named(output).cast("binary").alias("content"))
+    saved.write.format(NamedFiles.name()).option("lists", lists).mode("append").save(folder)
+    done = committed(lists)["lists"]
+    listed = spark.read.schema("output_name string, path string").json([f"{lists}/{one}" for one in done]) if done else spark.createDataFrame([], "output_name string, path string")
+    # A name that is listed twice is there once if its contents were the same, and told of both otherwise.
+    there = listed.groupBy(F.col("output_name").alias("_saved")).agg(F.when(F.count(F.lit(1)) == F.count("path"), F.first("path")).alias("_path"))
     joined = results.join(there, named(name) == F.col("_saved"), "left")
-    path = F.when(F.col("_saved").isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/output_name="), F.col("_saved"))).otherwise(F.lit("save_failed"))
-    return joined.withColumn("output_path", F.when(F.col("status") == "success", path)).drop("_saved")
+    path = F.when(F.col("status") == "success", F.coalesce("_path", F.lit("save_failed")))
+    return joined.withColumn("output_path", path).drop("_saved", "_path")

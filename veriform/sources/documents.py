@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriform.functions.values import base_name, byte_size, line_count
+from veriform.sources.folder import UNREADABLE, read_files
 
 REPLACEMENT = chr(0xFFFD)
 # A code point that no text may use; holds the place of real replacement characters while decoding.
@@ -36,26 +39,19 @@ def detect_encoding(content: Column) -> Column:
     )
 
 
-UNREADABLE = "Could not load file"
-
-
-def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*", asked: Sequence[str] = ()) -> DataFrame:
     """Files of one folder that match a pattern: ``(file_path, file_size, content, error)``, one row per file.
 
-    Not recursive. Files are listed without being opened, and their content is joined to the list, so a file that
-    cannot be read does not stop the others: it has no content, and an error. One that is gone before it is looked at
-    counts as never there; :func:`with_missing` reports it to those who asked for it.
+    Not recursive. Files are listed without being opened and read in groups; one that cannot be read does not stop the
+    others: it has no content, and an error. One that is gone before it is listed counts as never there, but names
+    in ``asked`` have a row in any case.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").option("ignoreMissingFiles", "true")
-    listed = reader.load(folder).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
-    held = reader.option("ignoreCorruptFiles", "true").load(folder).select(F.col("path").alias("_path"), "content")
-    both = listed.join(held, F.col("file_path") == F.col("_path"), "left")
-    return both.select("file_path", "file_size", "content", F.when(F.col("content").isNull(), F.lit(UNREADABLE)).alias("error"))
+    return read_files(spark, folder, pattern, asked)
 
 
-def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, pattern: str = "*", asked: Sequence[str] = ()) -> DataFrame:
     """``(file_path, value, error)``, one row per file; the value of an unreadable file is null."""
-    return read_folder(spark, folder, pattern).select("file_path", decode_dropping(F.col("content")).alias("value"), "error")
+    return read_folder(spark, folder, pattern, asked).select("file_path", decode_dropping(F.col("content")).alias("value"), "error")
 
 
 def with_missing(requested: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriform.sources.quoted import read_quoted
+
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | T.StructType | None = None,
-                   *, multi_line: bool) -> DataFrame:
+                   *, multi_line: bool | None = None) -> DataFrame:
     """Quoted text with doubled quotes. Columns are strings unless a schema is given.
 
-    Say whether records have line breaks inside quotes: with ``multi_line`` each file is read by one task, without it
-    large files are split, and a record with a line break would be cut.
+    Large files are split, and records with line breaks inside quotes are put together (:mod:`veriform.sources.quoted`). Where
+    it is known whether records have line breaks, say so: without them the quotes need not be counted first, and with
+    ``multi_line`` each file is read by one task, which also reads stray quotes inside bare fields.
     """
+    if multi_line is None:
+        return read_quoted(spark, path, sep, header, schema)
     reader = spark.read.option("sep", sep).option("header", str(header).lower()).option("escape", '"')
     reader = reader.option("multiLine", str(multi_line).lower())
     if schema is not None:
