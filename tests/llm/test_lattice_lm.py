@@ -137,6 +137,21 @@ def test_texts_are_likelier_than_by_pieces_alone(spark):
     assert s[0] > s[1] and s[0] > 1.2 * s[2]
 
 
+def test_many_words_at_once_are_like_one_by_one():
+    rng, vocabulary = random.Random(9), lm.Vocabulary(SCORES)
+    p = np.random.default_rng(2).random(vocabulary.size)
+    p /= p.sum()
+    words = [bytes(rng.choice([97, 97, 98, 99, 195, 169, 255, 0, 46]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    words += ["ab😀é".encode() * 3, b"ab" * 40, b"x" * 200, b"z" * 63, b"z" * 64] + [b"ababcab"] * 20
+    one, many = lm.Lattice(vocabulary, p), lm.Lattices(vocabulary, p)
+    assert np.allclose(many.log_probabilities(words), [one.log_probability(w) for w in words])
+    a, b = np.zeros(vocabulary.size), np.zeros(vocabulary.size)
+    many.expect(words, a)
+    for w in words:
+        one.expect(w, 1.0, b)
+    assert np.allclose(a, b)
+
+
 def test_random_words_have_a_probability():
     rng, vocabulary = random.Random(3), lm.Vocabulary(SCORES)
     lattice = lm.Lattice(vocabulary, vocabulary.guess)

@@ -21,7 +21,7 @@ import math
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,6 +143,126 @@ class Lattice:
                     into[at + b] += uses
 
 
+class Lattices:
+    """Many words as lattices at once: words of one length are the columns of arrays, and each step is taken for all of them.
+
+    The pieces are a trie, walked from every place of every word at the same time. Longer words than ``longest`` go one by one.
+    """
+
+    longest = 64
+    # Words of one length that are worked on together.
+    together = 8192
+
+    def __init__(self, vocabulary: Vocabulary, p: np.ndarray):
+        self.vocabulary, self.p = vocabulary, p
+        self.one: Lattice | None = None
+        nodes, edges = {"": 0}, []
+        inner = {c: i for i, c in enumerate(sorted({c for x in vocabulary.place for c in x[1:]}), start=1)}
+        for piece in vocabulary.place:
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in nodes:
+                    nodes[piece[:i]] = len(nodes)
+                    if i > 1:
+                        edges.append((nodes[piece[: i - 1]], inner[piece[i - 1]], nodes[piece[:i]]))
+        # Node 0 is no place in the trie, and no character leads on from it.
+        self.next = np.zeros((len(nodes), len(inner) + 1), np.int32)
+        for node, code, to in edges:
+            self.next[node, code] = to
+        self.first, self.inner = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int16)
+        self.place = np.full(len(nodes), -1)
+        for text, node in nodes.items():
+            if len(text) == 1:
+                self.first[ord(text)] = node
+            self.place[node] = vocabulary.place.get(text, -1)
+        for c, code in inner.items():
+            self.inner[ord(c)] = code
+        self.log = np.where(self.place >= 0, np.log(p[self.place]), -np.inf)
+        self.bytes_log = np.log(p[vocabulary.bytes_at : vocabulary.bytes_at + 256])
+
+    def groups(self, words: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length, and their characters, one column for each word."""
+        texts = [MARK + w.decode("utf-8", "surrogateescape") for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        for size in np.unique(sizes[sizes <= self.longest]).tolist():
+            every = np.flatnonzero(sizes == size)
+            for i in range(0, len(every), self.together):
+                some = every[i : i + self.together]
+                joined = "".join([texts[j] for j in some.tolist()]).encode("utf-32-le", "surrogatepass")
+                yield some, np.ascontiguousarray(np.frombuffer(joined, np.uint32).reshape(-1, size).T)
+
+    def long(self, words: Sequence[bytes]) -> Iterator[int]:
+        for i, w in enumerate(words):
+            if len(w) >= self.longest and len(w.decode("utf-8", "surrogateescape")) >= self.longest:
+                self.one = self.one or Lattice(self.vocabulary, self.p)
+                yield i
+
+    def arcs(self, chars: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For pieces of 1, 2 ... characters, their node and log probability from each place; and which characters are bytes."""
+        node = self.first[chars]
+        nodes, logs = [node], [self.log[node]]
+        unknown = np.isneginf(logs[0])
+        if unknown.any():
+            each, at = np.unique(chars[unknown], return_inverse=True)
+            logs[0][unknown] = np.array([self.bytes_log[list(self.bytes_of(c))].sum() for c in each.tolist()])[at]
+        codes = self.inner[chars]
+        for k in range(2, len(chars) + 1):
+            node = self.next[node[:-1], codes[k - 1 :]]
+            if not node.any():
+                break
+            nodes.append(node)
+            logs.append(self.log[node])
+        return nodes, logs, unknown
+
+    @staticmethod
+    def bytes_of(char: int) -> bytes:
+        return chr(char).encode("utf-8", "surrogateescape")
+
+    @staticmethod
+    def _add(ways: list[np.ndarray]) -> np.ndarray:
+        x = np.stack(ways)
+        top = x.max(0)
+        return top + np.log(np.exp(x - top).sum(0))
+
+    def forward(self, logs: list[np.ndarray], size: int) -> list[np.ndarray]:
+        """Log probability of the first 0, 1 ... characters of each word over all segmentations."""
+        alpha = [np.zeros(logs[0].shape[1])]
+        for end in range(1, size + 1):
+            alpha.append(self._add([alpha[end - k] + logs[k - 1][end - k] for k in range(1, min(len(logs), end) + 1)]))
+        return alpha
+
+    def log_probabilities(self, words: Sequence[bytes]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for some, chars in self.groups(words):
+            out[some] = self.forward(self.arcs(chars)[1], len(chars))[-1]
+        for i in self.long(words):
+            out[i] = self.one.log_probability(words[i])
+        return out
+
+    def expect(self, words: Sequence[bytes], into: np.ndarray) -> None:
+        """Adds the expected uses of each symbol in one occurrence of each word."""
+        at = self.vocabulary.bytes_at
+        for _, chars in self.groups(words):
+            size = len(chars)
+            nodes, logs, unknown = self.arcs(chars)
+            alpha = self.forward(logs, size)
+            beta = [np.zeros(chars.shape[1])]  # from the end on, last character first
+            for start in range(size - 1, -1, -1):
+                beta.append(self._add([beta[size - start - k] + logs[k - 1][start] for k in range(1, min(len(logs), size - start) + 1)]))
+            for k, (node, log) in enumerate(zip(nodes, logs, strict=True), start=1):
+                uses = np.exp(np.stack([alpha[s] + log[s] + beta[size - s - k] for s in range(size - k + 1)]) - alpha[-1])
+                if k == 1 and unknown.any():
+                    each, which = np.unique(chars[unknown], return_inverse=True)
+                    for c, n in zip(each.tolist(), np.bincount(which, uses[unknown]).tolist(), strict=True):
+                        for b in self.bytes_of(c):
+                            into[at + b] += n
+                    uses = np.where(unknown, 0.0, uses)
+                found = np.bincount(node.ravel(), uses.ravel(), len(self.place))
+                real = (self.place >= 0) & (found > 0)
+                into[self.place[real]] += found[real]
+        for i in self.long(words):
+            self.one.expect(words[i], 1.0, into)
+
+
 def _log_sum(x: list[float]) -> float:
     if len(x) == 1:
         return x[0]
@@ -177,14 +297,27 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text", "held").mapInArrow(run, "key binary, word binary, learned long, seen long")
 
 
+def _many(parts: Iterator, rows: int = 1 << 16) -> Iterator:
+    """Arrays or batches put together to so many rows, so that words of one length come in numbers."""
+    held, n = [], 0
+    join = lambda: pa.concat_arrays(held) if isinstance(held[0], pa.Array) else pa.concat_batches(held)
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= rows:
+            yield join()
+            held, n = [], 0
+    if n:
+        yield join()
+
+
 def expected_uses(words: DataFrame, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected uses of each symbol over all different learned words; one number for each symbol reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, uses = Lattice(vocabulary, p), np.zeros(vocabulary.size)
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                lattice.expect(word, 1.0, uses)
+        lattices, uses = Lattices(vocabulary, p), np.zeros(vocabulary.size)
+        for words in _many(batch.column("word") for batch in batches):
+            lattices.expect(words.to_pylist(), uses)
         some = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(uses[some])], names=["symbol", "uses"])
 
@@ -286,9 +419,10 @@ def lattice_scores(docs: DataFrame, scores: Mapping[str, float], id_col: str = "
     end_log, size = math.log(p[-1]), n + v + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary, p)
-        for batch in batches:
-            pieces = np.array([end_log if w == END else lattice.log_probability(w) for w in batch.column("word").to_pylist()], float)
+        lattices = Lattices(vocabulary, p)
+        for batch in _many(batches):
+            every = batch.column("word").to_pylist()
+            pieces = np.where([w == END for w in every], end_log, lattices.log_probabilities(every))
             learned = batch.column("learned").to_numpy()
             cols = [pa.array(learned > 0), pa.array(np.log10((learned + 1.0) / size)), pa.array(words.log_probability(learned, pieces)), pa.array(pieces / math.log(10))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seen"), *cols], names=["key", "seen", "known", "base", "log_p", "pieces"])
