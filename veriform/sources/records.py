@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,22 +59,16 @@ def read_fixed_width(df: DataFrame, line: str, spec: Sequence[tuple[str, int, in
     return df.select(*[F.trim(F.substring(F.col(line), start, length)).try_cast(kind).alias(name) for name, start, length, kind in spec])
 
 
-# Named entities replaced in extracted text; the ampersand goes last. Numbered ones are decoded besides.
-ENTITIES = (
-    ("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", chr(0xA9)), ("&reg;", chr(0xAE)), ("&trade;", chr(0x2122)),
-    ("&middot;", chr(0xB7)), ("&bull;", chr(0x2022)), ("&hellip;", chr(0x2026)), ("&ndash;", chr(0x2013)), ("&mdash;", chr(0x2014)), ("&lsquo;", chr(0x2018)),
-    ("&rsquo;", chr(0x2019)), ("&ldquo;", chr(0x201C)), ("&rdquo;", chr(0x201D)), ("&laquo;", chr(0xAB)), ("&raquo;", chr(0xBB)), ("&larr;", chr(0x2190)),
-    ("&rarr;", chr(0x2192)), ("&euro;", chr(0x20AC)), ("&pound;", chr(0xA3)), ("&cent;", chr(0xA2)), ("&sect;", chr(0xA7)), ("&deg;", chr(0xB0)),
-    ("&plusmn;", chr(0xB1)), ("&times;", chr(0xD7)), ("&frac12;", chr(0xBD)), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&agrave;", "à"),
-    ("&acirc;", "â"), ("&ccedil;", "ç"), ("&ocirc;", "ô"), ("&iuml;", "ï"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&aacute;", "á"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&amp;", "&"),
-)
 NUMBERED = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
+NAMED = r"&[A-Za-z][A-Za-z0-9]*;"
+# Names and what they stand for, as one text that Spark makes a map of once.
+_NAMES = "\x02".join(f"&{name}\x01{text}" for name, text in sorted(html5.items()) if name.endswith(";") and name != "amp;")
 
 
 def unescape(c: Column) -> Column:
-    """Character references as characters: numbered ones, and the named ones of ``ENTITIES``."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERED), F.lit(0)))
+    """Character references as characters: numbered ones, and all names of the markup language that end with a semicolon."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"{NUMBERED}|{NAMED}"), F.lit(0)))
+    names = F.str_to_map(F.lit(_NAMES), F.lit("\x02"), F.lit("\x01"))
 
     def char(ref: Column) -> Column:
         code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10)).otherwise(F.substring(ref, F.lit(3), F.length(ref) - 3))
@@ -83,11 +78,11 @@ def unescape(c: Column) -> Column:
         four = F.unhex(F.lpad(F.hex(number), 8, "0"))
         return F.when(number == 38, F.lit("&amp;")).when(valid, F.decode(four, "UTF-32")).otherwise(ref)
 
-    numbered = F.aggregate(found, c, lambda text, ref: F.replace(text, ref, char(ref)))
-    out = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(c)
-    for entity, to in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(to))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    def text(ref: Column) -> Column:
+        return F.when(ref.startswith("&#"), char(ref)).otherwise(F.coalesce(F.try_element_at(names, ref), ref))
+
+    out = F.aggregate(found, c, lambda done, ref: F.replace(done, ref, text(ref)))
+    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
 def visible(c: Column) -> Column:
