@@ -104,9 +104,16 @@ def two_decimals(c: Column) -> Column:
 
 
 def clean_number(c: Column, kind: T.DataType | str = "decimal(18,2)") -> Column:
-    """First number in the text without currency sign or thousands separators; null if none."""
-    found = F.regexp_substr(c, F.lit(r"-?\d[\d,]*(\.\d+)?"))
-    return F.replace(found, F.lit(","), F.lit("")).try_cast(kind)
+    """First number in the text without currency sign or thousands separators; null if none.
+
+    It is below zero if a minus touches its first digit or the currency sign or code before it, if the text ends with a
+    minus after it, or if round brackets hold the whole text.
+    """
+    number = r"\d[\d,]*(?:\.\d+)?"
+    currency = r"(?:\p{Sc}|\b[A-Z]{3}\b)"
+    digits = F.replace(F.regexp_substr(c, F.lit(number)), F.lit(","), F.lit(""))
+    minus = rf"^\D*[-\u2212](?:{currency}\s*)?{number}|^[^\d-]*{number}\s*{currency}?-\s*$|^\s*\([^\d()]*{number}[^\d()]*\)\s*$"
+    return F.when(c.rlike(minus), F.concat(F.lit("-"), digits)).otherwise(digits).try_cast(kind)
 
 
 def trailing_unit(c: Column) -> Column:
@@ -141,10 +148,15 @@ def csv_field(c: Column, sep: str = ",") -> Column:
     return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+def escapes(sep: str) -> tuple[tuple[str, str], ...]:
+    """What is escaped in a field, in order, and how."""
+    # \x01 is escaped too, because split_escaped uses it as a stand-in.
+    return ("\\", "\\\\"), (sep, "\\" + sep), ("\n", "\\n"), ("\r", "\\r"), ("\x01", "\\1")
+
+
 def escape_field(c: Column, sep: str = "|") -> Column:
     """Backslash-escape separators, backslashes and line breaks, so that a record stays one line."""
-    # \x01 is escaped too, because split_escaped uses it as a stand-in.
-    for plain, escaped in (("\\", "\\\\"), (sep, "\\" + sep), ("\n", "\\n"), ("\r", "\\r"), ("\x01", "\\1")):
+    for plain, escaped in escapes(sep):
         c = F.replace(c, F.lit(plain), F.lit(escaped))
     return c
 

@@ -57,24 +57,48 @@ def long_form(one_row: DataFrame, records: Sequence[Sequence[tuple[str, Column]]
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def typed_kind(kind: T.DataType) -> str:
+    """Kind of all values of a column that is no text."""
+    if isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0):
+        return "integer"
+    if isinstance(kind, T.NumericType):
+        return "float"
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    if isinstance(kind, T.DateType):
+        return "date"
+    return "datetime" if isinstance(kind, T.TimestampType | T.TimestampNTZType) else "string"
+
+
 def profile_columns(df: DataFrame, samples: bool = False) -> DataFrame:
     """``(name, position, data_type, nullable, row_count[, samples])``, one row per column.
 
-    ``df`` holds text columns (see :func:`as_text`). Values are turned to rows of (column number,
+    Text columns are judged by their values, as a delimited file would be read. They are turned to rows of (column number,
     value) and aggregated per column: the test of a value is compiled once, however many columns
-    there are, and each task sends one row per column.
+    there are, and each task sends one row per column. Other columns have their kind already; only their nulls are
+    counted. A column without values is ``string``.
     """
-    cols = df.columns
-    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("position"), named(c).alias("value")) for i, c in enumerate(cols)]))
-    stripped = df.select(cells).select("position", strip(F.col("value")).alias("v"))
-    kinds = stripped.select("position", value_kind(F.col("v")).alias("kind"))
-    found = kinds.groupBy("position").agg(F.bit_or("kind").alias("mask"), F.count("kind").alias("present"), F.count(F.lit(1)).alias("row_count"))
-    names = F.array(*[F.lit(c) for c in cols])
-    out = found.select(
-        F.get(names, F.col("position")).alias("name"), "position", kind_name(F.col("mask")).alias("data_type"),
-        (F.col("present") < F.col("row_count")).alias("nullable"), "row_count",
-    )
-    return out.join(sample_values(df), "name", "left") if samples else out
+    text = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    typed = [i for i in range(len(df.columns)) if i not in text]
+    names = F.array(*[F.lit(c) for c in df.columns])
+    parts = []
+    if typed:
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(named(df.columns[i])).alias(f"n{i}") for i in typed])
+        kinds = [F.when(F.col(f"n{i}") > 0, F.lit(typed_kind(df.schema.fields[i].dataType))).otherwise(F.lit("string")) for i in typed]
+        parts.append(long_form(counts, [
+            [("name", F.lit(df.columns[i])), ("position", F.lit(i)), ("data_type", k), ("nullable", F.col(f"n{i}") < F.col("rows")), ("row_count", F.col("rows"))] for i, k in zip(typed, kinds, strict=True)
+        ]).where("row_count > 0"))
+    if text:
+        cells = F.inline(F.array(*[F.struct(F.lit(i).alias("position"), named(df.columns[i]).alias("value")) for i in text]))
+        stripped = df.select(cells).select("position", strip(F.col("value")).alias("v"))
+        kinds = stripped.select("position", value_kind(F.col("v")).alias("kind"))
+        found = kinds.groupBy("position").agg(F.bit_or("kind").alias("mask"), F.count("kind").alias("present"), F.count(F.lit(1)).alias("row_count"))
+        parts.append(found.select(
+            F.get(names, F.col("position")).alias("name"), "position", kind_name(F.col("mask")).alias("data_type"),
+            (F.col("present") < F.col("row_count")).alias("nullable"), "row_count",
+        ))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.join(sample_values(as_text(df)), "name", "left") if samples else out
 
 
 MAX_DOUBLE = 1.7976931348623157e308
@@ -143,6 +167,48 @@ def date_formats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return long_form(shaped.agg(*aggs), records).filter("n > 0")
 
 
+# Layouts that only a whole column decides: name, shape of a value, and where year, month and day are in it (place, length).
+COLUMN_LAYOUTS = (
+    ("YYYY-MM-DD", r"^\d{4}-\d{2}-\d{2}$", ((1, 4), (6, 2), (9, 2))), ("YYYY-DD-MM", r"^\d{4}-\d{2}-\d{2}$", ((1, 4), (9, 2), (6, 2))),
+    ("MM/DD/YYYY", r"^\d{2}/\d{2}/\d{4}$", ((7, 4), (1, 2), (4, 2))), ("DD/MM/YYYY", r"^\d{2}/\d{2}/\d{4}$", ((7, 4), (4, 2), (1, 2))),
+    ("YYYY/MM/DD", r"^\d{4}/\d{2}/\d{2}$", ((1, 4), (6, 2), (9, 2))), ("DD.MM.YYYY", r"^\d{2}\.\d{2}\.\d{4}$", ((7, 4), (4, 2), (1, 2))),
+    ("MM.DD.YYYY", r"^\d{2}\.\d{2}\.\d{4}$", ((7, 4), (1, 2), (4, 2))), ("YYYYMMDD", r"^\d{8}$", ((1, 4), (5, 2), (7, 2))),
+    ("DDMMYYYY", r"^\d{8}$", ((5, 4), (3, 2), (1, 2))), ("MM/DD/YY", r"^\d{2}/\d{2}/\d{2}$", ((7, 2), (1, 2), (4, 2))), ("DD/MM/YY", r"^\d{2}/\d{2}/\d{2}$", ((7, 2), (4, 2), (1, 2))),
+    ("YY/MM/DD", r"^\d{2}/\d{2}/\d{2}$", ((1, 2), (4, 2), (7, 2))),
+)
+
+
+def possible_layouts(v: Column) -> Column:
+    """Set of the layouts under which a stripped text is a day that exists, one bit each; years of two digits are 2000 and later."""
+    digits = F.ascii(v).between(48, 57) & F.length(v).between(8, 10)
+    out = F.lit(0)
+    for i, (_, shape, parts) in enumerate(COLUMN_LAYOUTS):
+        year, month, day = (F.substring(v, at, n) for at, n in parts)
+        whole = year if parts[0][1] == 4 else F.concat(F.lit("20"), year)
+        # A cast that fails is dear, so months and days that never exist are told by their digits.
+        fits = v.rlike(shape) & month.between("01", "12") & day.between("01", "31")
+        fits = F.when(fits, F.concat_ws("-", whole, month, day).try_cast("date").isNotNull())
+        out = out.bitwiseOR(F.when(fits, F.lit(1 << i)).otherwise(F.lit(0)))
+    return F.when(digits, out).otherwise(F.lit(0))
+
+
+def column_layouts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Date layouts that all values of a text column have: ``(name, layouts, n, undated)``.
+
+    Each value allows a set of layouts, and the sets of a column are intersected, task by task and then over all: one
+    day above twelve tells day and month apart for the whole column. ``layouts`` holds all that are left, more than one where the
+    column does not decide, none where no layout fits all values; ``undated`` counts the values that are no date at all. Missing
+    values say nothing; a column without values has no layouts.
+    """
+    cols = list(cols or df.columns)
+    # Values become rows of (column number, value), so that the test of a value is compiled once.
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.when(~is_marker(named(c)), named(c)).alias("value")) for i, c in enumerate(cols)]))
+    masks = df.select(cells).select("position", F.when(F.col("value").isNotNull(), possible_layouts(strip(F.col("value")))).alias("mask"))
+    found = masks.groupBy("position").agg(F.bit_and("mask").alias("all"), F.count("mask").alias("n"), F.count_if(F.col("mask") == 0).alias("undated"))
+    left = F.array_compact(F.array(*[F.when(F.col("all").bitwiseAND(F.lit(1 << j)) != 0, F.lit(name)) for j, (name, _, _) in enumerate(COLUMN_LAYOUTS)]))
+    return found.select(F.get(F.array(*[F.lit(c) for c in cols]), F.col("position")).alias("name"), left.alias("layouts"), "n", "undated")
+
+
 # Separators a file may use, by format name, tested in this order.
 SEPARATORS = (("pipe-delimited", "|"), ("tab-delimited", "\t"), ("csv", ","), ("semicolon-delimited", ";"))
 

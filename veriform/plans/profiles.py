@@ -10,6 +10,7 @@ from veriform.plans.registry import query, table
 from veriform.plans.scalars import FORMATS, MARKED, PADDED, date_text, duck_format, spark_format
 from veriform.plans.sinks import duck_kind
 from veriform.plans.sources import NO_SCRIPT, duck_tag
+from veriform.sources import mixed_json as mj
 from veriform.sources.documents import detect_encoding
 
 CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "segment")
@@ -108,6 +109,46 @@ def date_formats(spark, sf):
     return pf.date_formats(rows)
 
 
+# Dates of the orders as columns would hold them: days that decide, days that do not, and values that spoil a layout.
+LAYOUT_COLUMNS = {
+    "us": ("strftime(o_orderdate, '%m/%d/%Y')", "date_format(o_orderdate, 'MM/dd/yyyy')"),
+    "european": ("strftime(o_orderdate, ' %d/%m/%Y')", "date_format(o_orderdate, ' dd/MM/yyyy')"),
+    "early_days": ("case when day(o_orderdate) <= 12 then strftime(o_orderdate, '%d/%m/%Y') when o_orderkey % 2 = 0 then 'n/a' end",
+                   "case when day(o_orderdate) <= 12 then date_format(o_orderdate, 'dd/MM/yyyy') when o_orderkey % 2 = 0 then 'n/a' end"),
+    "one_late_day": ("case when o_orderkey = (select max(o_orderkey) from orders) then '31.01.1995' else strftime(o_orderdate, '%m.') || '01.1995' end", "late"),
+    "mixed": ("case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%d.%m.%Y') else strftime(o_orderdate, '%Y-%m-%d') end",
+              "case when o_orderkey % 2 = 0 then date_format(o_orderdate, 'dd.MM.yyyy') else date_format(o_orderdate, 'yyyy-MM-dd') end"),
+    "spoilt": ("case when o_orderkey % 5 = 0 then '19950230' else strftime(o_orderdate, '%Y%m%d') end", "case when o_orderkey % 5 = 0 then '19950230' else date_format(o_orderdate, 'yyyyMMdd') end"),
+    "short": ("strftime(o_orderdate, '%y/%m/%d')", "date_format(o_orderdate, 'yy/MM/dd')"), "status": ("o_orderstatus", "o_orderstatus"),
+}
+
+
+def possible_sql(t: str) -> str:
+    """The layouts under which a text is a date, by the parser of the other side; a list in the order of the layouts."""
+    def pattern(name: str) -> str:
+        for part, sign in (("YYYY", "%Y"), ("YY", "%y"), ("MM", "%m"), ("DD", "%d")):
+            name = name.replace(part, sign)
+        return name
+
+    return "[" + ", ".join(f"case when regexp_matches({t}, '{shape}') and try_strptime({t}, '{pattern(name)}') is not null then '{name}' end" for name, shape, _ in pf.COLUMN_LAYOUTS) + "]"
+
+
+@query(
+    "column_layouts",
+    " union all ".join(
+        f"""select '{c}' as name, array_to_string(list_filter([{', '.join(f"case when bool_and(list_contains(f, '{name}')) then '{name}' end" for name, _, _ in pf.COLUMN_LAYOUTS)}], lambda x: x is not null), ';') as layouts,
+  count(f) as n, count(*) filter (where len(list_filter(f, lambda x: x is not null)) = 0) as undated
+from (select {possible_sql('t')} as f from (select trim(t) as t from (select {duck} as t from orders)) where t is not null and upper(t) not in ('', 'NULL', 'N/A'))""" for c, (duck, _) in LAYOUT_COLUMNS.items()
+    ),
+)
+def column_layouts(spark, sf):
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    late = F.when(F.col("o_orderkey") == F.col("last"), "31.01.1995").otherwise(F.concat(F.date_format("o_orderdate", "MM."), F.lit("01.1995")))
+    rows = orders.join(F.broadcast(last)).select(*[(late if own == "late" else F.expr(own)).alias(c) for c, (_, own) in LAYOUT_COLUMNS.items()])
+    return pf.column_layouts(rows).withColumn("layouts", F.array_join("layouts", ";"))
+
+
 # Files of every kind, each around the whole text of a document, in which marks of the formats are blanks.
 FLAT = """translate(text, concat(chr(10), chr(13), chr(9), '|,;"<>{}[]'), '            ')"""
 FILE = f"""case doc_id % 12 when 0 then concat('id|source|size', chr(10), doc_id, '|', {FLAT}, '|', n_chars) when 1 then concat('id', chr(9), 'lang', chr(10), doc_id, chr(9), {FLAT})
@@ -203,3 +244,38 @@ def spec_from_profile(spark, sf):
     profile = pf.profile_columns(customers(spark, sf))
     target = ["CustomerID", "C Name", "Balance", "Segment", "Phone"]
     return pf.spec_from_profile(profile, target, {"c_custkey": "CustomerID", "c_acctbal": "Balance"}, {"string": "upper case"})
+
+
+# Properties of the events with other shapes planted between them: other types, nested fields, lists, nulls, and no JSON at all.
+MIXED = """case event_id % 6 when 0 then props when 1 then concat('{"k": "', event_type, '", "n": {"a": ', event_id, '}}') when 2 then concat('{"k": 1.5, "n": {"b": [', event_id, ', null]}}')
+  when 3 then '{"n": {"b": ["x", 2]}, "t": true}' when 4 then concat('{"only": {"c": ', event_id, '}, "z": null}') else 'no json' end"""
+MIXED_PATHS = {"k": "$.k", "n.a": "$.n.a", "n.b[]": "$.n.b[*]", "only.c": "$.only.c", "t": "$.t", "z": "$.z"}
+
+
+def kind_of_path(path: str, where: str) -> str:
+    found = f"unnest(json_extract(j, '{where}'))" if "[*]" in where else f"json_extract(j, '{where}')"
+    return f"""select '{path}' as path, case when count(distinct kind) = 1 then max(kind) else 'string' end as type from (select case json_type(x) when 'UBIGINT' then 'bigint' when 'BIGINT' then 'bigint'
+  when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'DOUBLE' then 'decimal(2,1)' end as kind from (select {found} as x from mixed) where json_type(x) <> 'NULL')"""
+
+
+@query(
+    "infer_json",
+    f"with mixed as (select cast(m as json) as j from (select {MIXED} as m from events) where json_valid(m)) " + " union all ".join(kind_of_path(p, w) for p, w in MIXED_PATHS.items()),
+)
+def infer_json(spark, sf):
+    kind = mj.infer_json(table(spark, sf, "events").select(F.expr(MIXED).alias("m")), "m")
+    return spark.createDataFrame(list(mj.type_paths(kind)), "path string, type string")
+
+
+@query(
+    "mixed_json",
+    f"""select event_id, case when json_type(j, '$.k') = 'VARCHAR' then j ->> '$.k' else cast(json_extract(j, '$.k') as varchar) end as k, cast(json_extract(j, '$.n.a') as bigint) as a,
+  case when json_extract(j, '$.n.b') is not null then array_to_string(list_transform(j ->> '$.n.b[*]', lambda x: coalesce(x, '-')), ';') end as b,
+  cast(json_extract(j, '$.t') as boolean) as t, cast(json_extract(j, '$.only.c') as bigint) as c
+from (select event_id, case when json_valid(m) then cast(m as json) end as j from (select event_id, {MIXED} as m from events))""",
+)
+def mixed_json(spark, sf):
+    """The columns that the merged type gives, mixed places as text."""
+    parsed = mj.with_parsed(table(spark, sf, "events").select("event_id", F.expr(MIXED).alias("m")), "m")
+    b = F.array_join(F.transform("parsed.n.b", lambda x: F.coalesce(x, F.lit("-"))), ";")
+    return parsed.select("event_id", F.col("parsed.k").alias("k"), F.col("parsed.n.a").alias("a"), b.alias("b"), F.col("parsed.t").alias("t"), F.col("parsed.only.c").alias("c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriform.operators import agents as ag
+from veriform.operators import pairing
 from veriform.operators import profile as pf
 from veriform.operators import reconcile as rec
 from veriform.operators.checks import json_parses
@@ -233,3 +234,31 @@ def missing_sections(spark, sf):
     sections = F.map_from_arrays(F.array(*[F.lit(s) for s in rec.SPEC_SECTIONS]), F.array(*[F.expr(h) for h in HAS]))
     present = F.map_filter(sections, lambda _, v: v.isNotNull())
     return table(spark, sf, "documents").select("doc_id", F.array_join(rec.missing_sections(present), ",").alias("missing"))
+
+
+FIELDS = ("o_orderstatus", "total", "day")
+
+
+def pairs_sql() -> str:
+    """Rounds of numbering the rows that are left in their blocks, said with windows."""
+    steps = [
+        f"src as ({SOURCE_SQL})", f"dam as ({DAMAGED_SQL})",
+        "lost0 as (select *, row_number() over (order by o_orderkey, o_orderstatus, total, day) as id from src where o_orderkey not in (select o_orderkey from dam))",
+        "added0 as (select *, row_number() over (order by o_orderkey, o_orderstatus, total, day) as id from dam where o_orderkey not in (select o_orderkey from src))",
+    ]
+    rounds = [None, *FIELDS]
+    for r, changed in enumerate(rounds):
+        block = [f for f in FIELDS if f != changed]
+        for side in ("lost", "added"):
+            steps.append(f"{side}_placed{r} as (select *, row_number() over (partition by {', '.join(block)} order by o_orderkey, o_orderstatus, total, day, id) as place from {side}{r})")
+        same = " and ".join(f"l.{f} is not distinct from a.{f}" for f in block)
+        said = f"'{changed}'" if changed else "cast(null as varchar)"
+        steps.append(f"pairs{r} as (select l.o_orderkey as lost_o_orderkey, a.o_orderkey as added_o_orderkey, {said} as changed, l.id as l, a.id as a from lost_placed{r} l join added_placed{r} a on {same} and l.place = a.place)")
+        for side in ("lost", "added"):
+            steps.append(f"{side}{r + 1} as (select * from {side}{r} where id not in (select {side[0]} from pairs{r}))")
+    return f"with {', '.join(steps)} " + " union all ".join(f"select lost_o_orderkey, added_o_orderkey, changed from pairs{r}" for r in range(len(rounds)))
+
+
+@query("paired_rows", pairs_sql())
+def paired_rows(spark, sf):
+    return pairing.paired_rows(source(spark, sf), damaged(spark, sf), ["o_orderkey"], FIELDS)

@@ -183,6 +183,28 @@ def clean_numbers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", vl.clean_number(F.expr(MONEY.format(s="string"))).alias("amount"))
 
 
+# Amounts below zero as accounts write them, and minuses that are none.
+SIGNED = """case p_partkey % 9
+  when 0 then concat('-$1,', cast(cast(p_retailprice as decimal(18,2)) as {s}))
+  when 1 then concat('(', cast(cast(p_retailprice as decimal(18,2)) as {s}), ')')
+  when 2 then concat(' ($', cast(p_size as {s}), '.25) ')
+  when 3 then concat(cast(p_size as {s}), '.75-')
+  when 4 then concat('EUR -', cast(p_size as {s}))
+  when 5 then concat('-EUR ', cast(p_size as {s}), '.5')
+  when 6 then concat('price (net) - ', cast(p_size as {s}))
+  when 7 then concat('$', cast(p_size as {s}), '-$90')
+  else concat('(', cast(p_size as {s}), ') pieces') end"""
+
+
+@query(
+    "signed_numbers",
+    """select p_partkey, cast(case p_partkey % 9 when 0 then -cast('1' || cast(cast(p_retailprice as decimal(18,2)) as varchar) as decimal(18,2)) when 1 then -cast(p_retailprice as decimal(18,2)) when 2 then -(p_size + 0.25)
+  when 3 then -(p_size + 0.75) when 4 then -p_size when 5 then -(p_size + 0.5) else p_size end as decimal(18,2)) as amount from part""",
+)
+def signed_numbers(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", vl.clean_number(F.expr(SIGNED.format(s="string"))).alias("amount"))
+
+
 YES_NO = "case when toxic is null then '?' when doc_id % 3 = 0 then case when quality = 1 then ' Yes' else 'NO' end when doc_id % 3 = 1 then case when quality = 1 then 'True' else 'false' end else cast(quality as {s}) end"
 
 

@@ -98,9 +98,9 @@ def arrays(spark, sf, page_rows):
     return js.to_json_array(rows, ["c_nationkey"], ["c_custkey", "c_name", "segment"], ["c_custkey"], page_rows)
 
 
-@query("json_array", array_sql(None))
+@query("json_array", array_sql(js.PAGE_ROWS))
 def json_array(spark, sf):
-    return arrays(spark, sf, None)
+    return arrays(spark, sf, js.PAGE_ROWS)
 
 
 @query("json_array_pages", array_sql(4))
@@ -191,7 +191,7 @@ SQL_OF = "case k when 'integer' then 'INTEGER' when 'float' then 'FLOAT' when 'd
     + ") || chr(10) || 'FROM lineitem_text' as ddl",
 )
 def view_ddl(spark, sf):
-    return vw.view_ddl(pf.profile_columns(pf.as_text(table(spark, sf, "lineitem"))), "invoice_lines", "lineitem_text")
+    return vw.view_ddl(pf.profile_columns(table(spark, sf, "lineitem")), "invoice_lines", "lineitem_text")
 
 
 @query("output_names", """select page_id, regexp_replace(b, '^(.*[^.].*)[.][^.]*$', '\\1') || '-20250201-101500-' || left(md5(u), 8) || '.txt' as output_name

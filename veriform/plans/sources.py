@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from html.entities import html5
 
 import pandas as pd
 from pyarrow import fs
@@ -14,6 +15,7 @@ from veriform.session import scratch
 from veriform.sinks import lines as ln
 from veriform.sources import documents as dc
 from veriform.sources import folder as fl
+from veriform.sources import labels as lb
 from veriform.sources import records as rc
 from veriform.sources import workbook as wb
 
@@ -99,10 +101,9 @@ NO_SCRIPT = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b
 
 
 def duck_unescape(c: str) -> str:
-    """The named entities that the tables hold."""
-    for entity, char in rc.ENTITIES:
-        if entity in ("&copy;", "&middot;", "&lt;", "&gt;", "&quot;", "&nbsp;", "&larr;", "&amp;"):
-            c = f"""replace({c}, '{entity}', '{char.replace("'", "''")}')"""
+    """The named entities that the tables hold; the ampersand goes last."""
+    for name in ("copy", "middot", "lt", "gt", "quot", "nbsp", "larr", "amp"):
+        c = f"""replace({c}, '&{name};', '{html5[name + ";"]}')"""
     return c
 
 
@@ -141,6 +142,23 @@ def html_planted(spark, sf):
     return found.select("doc_id", "lang", F.array_join("links", " ").alias("links"), "heading", "price", F.length(F.element_at("bodies", -1)).cast("bigint").alias("body"))
 
 
+# The same four facts of a document in tables, lists, nested elements and lines; half of them are left open by their end tags.
+FACTS_HTML = """case doc_id % 6
+  when 0 then concat('<table><tr><th>Source</th><td>', source, '</td></tr><tr><th>Language:</th><td><span>', lang, '</span></td></tr><tr><th>Net size</th><td>', n_chars, '</td></tr><tr><th>Ref</th><td>', doc_id, '</td></tr></table>')
+  when 1 then concat('<table><thead><tr><th>Ref<th>Source<th>Net size<th>Language</thead><tr><td>', doc_id, '<td>', source, '<td>', n_chars, '<td><b>', lang, '</b></table>')
+  when 2 then concat('<dl><dt>Source<dd>', source, '<dt>Language<dd>', lang, '<dt>Net size<dd><p>', n_chars, '</p><dt>Ref<dd>', doc_id, '</dl>')
+  when 3 then concat('<div><div><span><i>Source</i></span><div><span>', source, '</span></div></div><div><span>Language</span>: <span><em>', lang, '</em></span></div><div><label>Net size</label><div><div>', n_chars, '</div></div></div><p>Ref: ', doc_id, '</p></div>')
+  when 4 then concat('<ul><li>Source: ', source, '<li><b>Language</b>: ', lang, '<li>NET SIZE : <u>', n_chars, '</u><li>Ref:<br>', doc_id, '</ul>')
+  else concat('<table><tr><td>Source</td><td>Language</td></tr><tr><td>', source, '</td><td>', lang, '</td></tr></table><section><h3>Net size</h3><p>', n_chars, '</p></section><p title="Ref: no">Ref</p><!-- Ref: 0 --><script>Ref: 1</script><p>', doc_id) end"""
+FACTS_PAGE = f"""concat('<html><body><p>', replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), '</p>', {FACTS_HTML}, '<p>', replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), '</p></body></html>')"""
+
+
+@query("html_labels", "select doc_id, source, lang, cast(n_chars as varchar) as size, cast(doc_id as varchar) as ref from documents")
+def html_labels(spark, sf):
+    pages = table(spark, sf, "documents").withColumn("page", F.expr(FACTS_PAGE)).select("doc_id", "page")
+    return lb.labelled_values(pages, "page", {"source": "Source", "lang": "Language", "size": "Net size", "ref": "Ref"}, ["doc_id"])
+
+
 @query(
     "html_links",
     f"""select page_id, cast(len(l) as bigint) as n, array_to_string(list_transform(l, lambda x: {duck_unescape('x')}), ' ') as links

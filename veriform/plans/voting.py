@@ -145,7 +145,7 @@ from ({READ_SQL})""".replace("|| coalesce(v0", "|| (coalesce(v0").replace("false
 )
 def vote_feedback(spark, sf):
     docs, votes = answered(spark, sf)
-    return vt.ask(docs, votes).select("doc_id", vt.feedback().alias("feedback"), vt.retry_note(1).alias("retry_note"))
+    return vt.ask(docs, votes, settled=True).select("doc_id", vt.feedback().alias("feedback"), vt.retry_note(1).alias("retry_note"))
 
 
 @query(

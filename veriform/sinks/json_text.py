@@ -14,17 +14,21 @@ MOMENT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 KEEP_NULLS = {"ignoreNullFields": "false", "timestampFormat": MOMENT, "timestampNTZFormat": MOMENT}
 
 
+# Records of one array, unless the caller says otherwise; None is for groups that are known to fit one value.
+PAGE_ROWS = 100_000
+
+
 def to_json_records(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One JSON object per row, native types, nulls kept."""
     cols = list(cols or df.columns)
     return df.select(F.to_json(F.struct(*[named(c) for c in cols]), KEEP_NULLS).alias("record"))
 
 
-def to_json_array(df: DataFrame, by: Sequence[str], cols: Sequence[str], order: Sequence[str], page_rows: int | None = None) -> DataFrame:
+def to_json_array(df: DataFrame, by: Sequence[str], cols: Sequence[str], order: Sequence[str], page_rows: int | None = PAGE_ROWS) -> DataFrame:
     """JSON arrays ``(by..., page, n, records)``, records in order.
 
-    One array per group. Groups that may be too large for one value are cut into pages of ``page_rows`` records by
-    their order: the arrays of pages 0, 1, ... put together are the array of the group.
+    Groups are cut into pages of ``page_rows`` records by their order: the arrays of pages 0, 1, ... put together are the
+    array of the group. None puts each group into one array, whatever its size.
     """
     picked = df.select(*[named(c) for c in dict.fromkeys([*by, *order, *cols])])
     paged = with_pages(picked, by, list(dict.fromkeys([*order, *cols])), page_rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriform.functions.text import strip
-from veriform.functions.values import csv_field, escape_field
+from veriform.functions.values import csv_field, escape_field, escapes
 from veriform.operators.mapping import named
 
 
@@ -67,10 +67,20 @@ def _quoted_header(cols: Sequence[str], sep: str) -> str:
     return sep.join('"' + c.replace('"', '""') + '"' if any(x in c for x in (sep, '"', "\n", "\r")) else c for c in cols)
 
 
+def _escaped_header(cols: Sequence[str], sep: str) -> str:
+    """Names as :func:`veriform.functions.values.escape_field` writes values."""
+    out = []
+    for name in cols:
+        for plain, escaped in escapes(sep):
+            name = name.replace(plain, escaped)
+        out.append(name)
+    return sep.join(out)
+
+
 def to_delimited_lines(df: DataFrame, cols: Sequence[str] | None = None, sep: str = "|") -> DataFrame:
     """Header line and one line per row; an empty input gives the header alone."""
     cols = list(cols or df.columns)
-    return header_frame(df, sep.join(cols)).unionByName(df.select(delimited_line(df, cols, sep).alias("line")))
+    return header_frame(df, _escaped_header(cols, sep)).unionByName(df.select(delimited_line(df, cols, sep).alias("line")))
 
 
 def to_pipe_lines(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -98,7 +108,7 @@ def _write(df: DataFrame, header: str, line: Column, path: str, line_sep: str, m
 def write_delimited(df: DataFrame, path: str, cols: Sequence[str] | None = None, sep: str = "|", mode: str = "errorifexists") -> None:
     """Part files that each start with the header; one of them holds the header alone."""
     cols = list(cols or df.columns)
-    _write(df, sep.join(cols), delimited_line(df, cols, sep), path, "\n", mode)
+    _write(df, _escaped_header(cols, sep), delimited_line(df, cols, sep), path, "\n", mode)
 
 
 def write_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None, sep: str = ",", mode: str = "errorifexists") -> None:
