@@ -186,3 +186,10 @@ def test_markers_left_stop_a_conversion(spark, calls):
     converter = rs.Agent("c", "converter", "as converter", "{<!--Data-->} {<!--Output-->}")
     row = rs.run_with_calls(df, "id", "t", agents("verifier", "{<!--Data-->}"), converter, agents("validator", "{<!--Output-->}"), calls, "now").first()
     assert (row["status"], row["notes"]) == ("conversion_error", rs.MARKERS_LEFT)
+
+
+def test_feedback_searches_each_tag_of_a_vote_a_few_times_only(spark):
+    from veriform.plans import voting as pv
+
+    plan = pv.vote_feedback(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 6 <= plan.count("regexp_extract(") <= 12

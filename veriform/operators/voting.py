@@ -44,25 +44,16 @@ def _three(votes: Sequence[Column]) -> None:
         raise ValueError(f"expected {VOTERS} voters, got {len(votes)}")
 
 
-def ask(df: DataFrame, votes: Sequence[Column], name: str = "vote", settled: bool = False) -> DataFrame:
+def ask(df: DataFrame, votes: Sequence[Column], name: str = "vote") -> DataFrame:
     """Adds ``{name}_ok_i``, ``{name}_msg_i`` and ``{name}_asked``.
 
-    The third vote is evaluated only where the first two were read and differ. With ``settled`` the votes are computed
-    here and nowhere else, which pays where they are read from long texts and used in several columns; without
-    it Catalyst may copy their expressions to every use.
+    The third vote is evaluated only where the first two were read and differ. The votes are plain
+    columns rather than structs, because Catalyst copies the expressions inside a struct to every
+    place that reads a field; what it copies of a plain column is shared again within a stage.
     """
     _three(votes)
     two = df.withColumns(_pair(votes[0], name, 0) | _pair(votes[1], name, 1))
-    if settled:
-        two = _settle(two, name, (0, 1))
-    three = _add_third(two, votes[2], name, F.col(f"{name}_ok_0") != F.col(f"{name}_ok_1"))
-    return _settle(three, name, (2,)) if settled else three
-
-
-def _settle(df: DataFrame, name: str, voters: Sequence[int]) -> DataFrame:
-    """The same votes behind a column that Catalyst neither copies nor merges with what reads it."""
-    here = F.monotonically_increasing_id() >= 0
-    return df.withColumns({c: F.when(here, F.col(c)) for i in voters for c in (f"{name}_ok_{i}", f"{name}_msg_{i}")})
+    return _add_third(two, votes[2], name, F.col(f"{name}_ok_0") != F.col(f"{name}_ok_1"))
 
 
 def ask_all(df: DataFrame, votes: Sequence[Column], name: str = "vote") -> DataFrame:
