@@ -83,7 +83,7 @@ def test_scores_beyond_64_bits(spark):
 
 def test_index_extends_to_both_sides():
     rng = np.random.default_rng(4)
-    seq = rng.integers(0, 4, 400).astype(np.int32)
+    seq = np.append(rng.integers(0, 4, 400), 0).astype(np.int32)
     index = co.Index(seq, 4)
     windows = {k: Counter(tuple(int(x) for x in seq[i : i + k]) for i in range(len(seq) - k + 1) if (seq[i : i + k] > 0).all()) for k in range(1, 5)}
 

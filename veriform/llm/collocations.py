@@ -4,7 +4,8 @@ A shard is a few million words with their own ids and a break after each piece o
 the Burrows-Wheeler transforms of the shard and of its reverse, sorted as deep as phrases of a round are long. An interval of rows
 stands for a phrase; extending it to the right or left by each word that follows or precedes gives the intervals, and the counts, of longer ones.
 
-Counts are summed across shards round by round. After a round each shard hears which of its own phrases are frequent
+Counts are summed across shards round by round: a shard deals its phrases into buckets by a hash, each bucket a compressed
+block, and a task adds up the blocks that all shards have for a bucket. After a round each shard hears which of its own phrases are frequent
 everywhere, and keeps no words but those of overlapping frequent phrases; so the next round only lists phrases both of whose shorter parts
 are frequent, and no list of phrases goes to all tasks.
 """
@@ -13,28 +14,32 @@ from __future__ import annotations
 
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import scratch
+from .lexer import mix
 
 # Words of a shard; the piece that crosses the mark is the last one in it.
 SHARD = 1 << 21
-# Phrases handed on at once.
-ROWS = 1 << 16
+# Words of all shards for each bucket; a phrase has one entry of a bucket in each shard that holds it.
+BUCKET = 1 << 19
 _BREAKS = bytes(b"\n"[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
-# A shard: its words and their languages by id less one, and ids of its text, 0 for a break.
-STATE = "shard long, words array<binary>, langs array<string>, lang_of binary, seq binary"
-# Phrases of a shard: the place among all its phrases of as many words (-1: single words, null phrase: all words), and the count.
-FOUND = "lang string, phrase binary, shard long, slot int, n int"
+# A shard: its words and their languages by id less one, ids of its text, 0 for a break, and how many words that are.
+STATE = "shard long, words array<binary>, langs array<string>, lang_of binary, seq binary, tokens long"
+# Phrases of a shard that fall into a bucket.
+FOUND = "bucket int, shard long, block binary"
+# Frequent phrases, and for each shard the places of its own ones among all its phrases of as many words.
+KEPT = "lang string, phrase binary, f long, shard long, slots binary"
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -68,9 +73,9 @@ def cut_shards(rows: DataFrame, size: int = SHARD) -> DataFrame:
         def flush() -> pa.RecordBatch:
             langs = sorted(ids)
             known = sorted((i, w, k) for k, lang in enumerate(langs) for w, i in ids[lang].items())
-            cols = [[at], [[w for _, w, _ in known]], [langs], [_pack(np.array([k for *_, k in known], np.int32))], [_pack(np.array(seq, np.int32))]]
-            kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "words", "langs", "lang_of", "seq"])
+            numbers = np.array(seq, np.int32)
+            cols = [[at], [[w for _, w, _ in known]], [langs], [_pack(np.array([k for *_, k in known], np.int32))], [_pack(numbers)], [int((numbers > 0).sum())]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STATE, strict=True)], schema=_STATE)
 
         fresh()
         for batch in batches:
@@ -124,7 +129,7 @@ class Phrases:
 
 
 class Index:
-    """Both transforms of a shard. Phrases of up to ``depth`` words can be extended to either side."""
+    """Both transforms of a shard, whose text ends with a break. Phrases of up to ``depth`` words can be extended to either side."""
 
     def __init__(self, seq: np.ndarray, depth: int):
         self.forward, self.reverse = Transform(seq, depth), Transform(seq[::-1], depth)
@@ -195,6 +200,12 @@ def keep_runs(seq: np.ndarray, kept: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _spans(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(x) else []
+
+
 class Shard:
     """A row of :data:`STATE` in use."""
 
@@ -202,76 +213,123 @@ class Shard:
         self.number, self.seq = row["shard"], _unpack(row["seq"])
         self.words, self.langs = pa.array(row["words"], pa.binary()), pa.array(row["langs"], pa.string())
         self.lang_of = _unpack(row["lang_of"])
-
-    def table(self, p: Phrases, numbered: bool) -> Iterator[pa.RecordBatch]:
-        """Rows of :data:`FOUND`."""
-        for i in range(0, len(p), ROWS):
-            part = slice(i, i + ROWS)
-            words = [self.words.take(pa.array(w[part] - 1)) for w in p.words]
-            phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())) if len(words) > 1 else words[0]
-            n = len(phrase)
-            slot = np.arange(i, i + n) if numbered else np.full(n, -1)
-            yield self.batch(self.langs.take(pa.array(self.lang_of[p.words[0][part] - 1])), phrase, slot, p.size[part])
-
-    def totals(self) -> pa.RecordBatch:
+        langs = [x.encode() + b"\0" for x in row["langs"]]
+        self.hashes = np.array([xxh3_64_intdigest(langs[k] + w) for k, w in zip(self.lang_of.tolist(), row["words"], strict=True)], np.uint64)
+
+    def entries(self, p: Phrases, numbered: bool) -> tuple[pa.Table, np.ndarray]:
+        """Phrases with their slot and count, and a hash of each that is the same in all shards."""
+        words = [self.words.take(pa.array(w - 1)) for w in p.words]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())) if len(words) > 1 else words[0]
+        h = np.zeros(len(p), np.uint64)
+        for w in p.words:
+            h = mix(h + self.hashes[w - 1])
+        slot = np.arange(len(p)) if numbered else np.full(len(p), -1)
+        return self.table(self.langs.take(pa.array(self.lang_of[p.words[0] - 1])), phrase, slot, p.size), h
+
+    def totals(self) -> tuple[pa.Table, np.ndarray]:
+        """All words of each language, as the phrase of none."""
         n = np.bincount(self.lang_of[self.seq[self.seq > 0] - 1], minlength=len(self.langs))
-        return self.batch(self.langs, pa.nulls(len(n), pa.binary()), np.full(len(n), -1), n)
+        h = np.array([xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
+        return self.table(self.langs, pa.array([b""] * len(n), pa.binary()), np.full(len(n), -1), n), h
+
+    @staticmethod
+    def table(lang: pa.Array, phrase: pa.Array, slot: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table([lang, phrase, pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_ENTRY)
+
+    def blocks(self, parts: Sequence[tuple[pa.Table, np.ndarray]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        """Entries of each bucket that has any, as one compressed block."""
+        bucket = (np.concatenate([h for _, h in parts]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        dealt = pa.concat_tables([t for t, _ in parts]).combine_chunks().take(pa.array(order))
+        for a, b in _spans(bucket[order]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(dealt.slice(a, b - a).combine_chunks())
+            yield int(bucket[order[a]]), self.number, sink.getvalue().to_pybytes()
+
 
-    def batch(self, lang: pa.Array, phrase: pa.Array, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        cols = [lang, phrase, pa.array(np.full(len(n), self.number, np.int64)), pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "shard", "slot", "n"])
+def _buckets(shards: DataFrame) -> int:
+    return max(8, (shards.agg(F.sum("tokens").alias("n")).first()["n"] or 0) // BUCKET)
 
 
 def first_round(shards: DataFrame) -> DataFrame:
     """All words, single words and pairs of each shard."""
+    buckets = _buckets(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
+            for i in range(len(batch)):
+                shard = Shard(batch.slice(i, 1).to_pylist()[0])
                 index = Index(shard.seq, 2)
                 single = index.right(index.whole)
-                yield shard.totals()
-                yield from shard.table(single, False)
-                yield from shard.table(index.right(single), True)
+                rows = list(shard.blocks([shard.totals(), shard.entries(single, False), shard.entries(index.right(single), True)], buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
 
     return shards.mapInArrow(run, FOUND)
 
 
 def next_round(shards: DataFrame, kept: DataFrame, words: int) -> DataFrame:
     """Phrases of ``words`` words of each shard, and the shard as it is left, given the shorter ones that are frequent."""
-    schema = f"{FOUND}, words array<binary>, langs array<string>, lang_of binary, seq binary"
+    buckets = _buckets(shards)
 
     def run(states: pa.Table, slots: pa.Table) -> pa.Table:
-        out = [pa.table({f.name: pa.array([], f.type) for f in _ARROW}, _ARROW)]
+        rows, left = [], []
         for row in states.to_pylist():
             shard = Shard(row)
             here = slots_of(shard.seq, words - 1)
             wanted = np.zeros(int(here.max(initial=-1)) + 2, bool)
-            wanted[slots.column("slot").to_numpy()] = True
+            for some in slots.column("slots").to_pylist():
+                wanted[_unpack(some)] = True
             shard.seq = keep_runs(shard.seq, wanted[here], words - 1)
             if len(shard.seq):
-                found = pa.Table.from_batches(shard.table(Index(shard.seq, words).phrases(words), True))
-                for f in list(_ARROW)[5:]:
-                    found = found.append_column(f, pa.nulls(found.num_rows, f.type))
-                state = {"shard": shard.number, "words": row["words"], "langs": row["langs"], "lang_of": row["lang_of"], "seq": _pack(shard.seq)}
-                out += [found.cast(_ARROW), pa.Table.from_pylist([state], _ARROW)]
-        return pa.concat_tables(out)
+                rows += shard.blocks([shard.entries(Index(shard.seq, words).phrases(words), True)], buckets)
+                left.append(row | {"seq": _pack(shard.seq), "tokens": int((shard.seq > 0).sum())})
+        found = pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
+        both = pa.schema([*_FOUND, *list(_STATE)[1:]])
+        for f in list(both)[len(_FOUND) :]:
+            found = found.append_column(f, pa.nulls(len(rows), f.type))
+        return pa.concat_tables([found.cast(both), pa.Table.from_pylist(left, both)])
 
-    return shards.groupBy("shard").cogroup(kept.select("shard", "slot").groupBy("shard")).applyInArrow(run, schema)
+    return shards.groupBy("shard").cogroup(kept.where("slots is not null").select("shard", "slots").groupBy("shard")).applyInArrow(run, f"{FOUND}, {STATE.partition(', ')[2]}")
 
 
-_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("shard", pa.int64()), ("slot", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.binary())),
-                    ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("seq", pa.binary())])
+_STATE = pa.schema([("shard", pa.int64()), ("words", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("seq", pa.binary()), ("tokens", pa.int64())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("block", pa.binary())])
+_KEPT = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64()), ("shard", pa.int64()), ("slots", pa.binary())])
+_ENTRY = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("slot", pa.int32()), ("n", pa.int32())])
 
 
-def frequent(found: DataFrame, least: int) -> DataFrame:
-    """Rows of the phrases whose counts over all shards reach ``least``, with that sum as ``f``.
+def frequent(found: DataFrame, least: int, tasks: int) -> DataFrame:
+    """The phrases whose counts over all shards reach ``least``: a row for each with its count ``f``, and rows with the slots of each shard.
 
-    A phrase has at most one row for each shard, so no key gathers more rows than there are shards.
+    The empty phrase stands for all words of a language and stays whatever its count.
     """
-    f = F.sum(F.col("n").cast("long")).over(Window.partitionBy("lang", "phrase"))
-    return found.withColumn("f", f).where((F.col("f") >= least) | F.col("phrase").isNull())
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(block).read_all() for block in group.column("block").to_pylist()]
+        shard = np.repeat(group.column("shard").to_numpy(), [len(p) for p in parts])
+        entries = pa.concat_tables(parts).combine_chunks()
+        lang, phrase, slot = (entries.column(c) for c in ("lang", "phrase", "slot"))
+        key = pc.binary_join_element_wise(lang.cast(pa.binary()), phrase, pa.scalar(b"\t", pa.binary())).combine_chunks().dictionary_encode()
+        at = key.indices.to_numpy()
+        # Sums of whole numbers are exact as floats as long as they are below 2 ** 53.
+        f = np.bincount(at, entries.column("n").to_numpy(), len(key.dictionary)).astype(np.int64)
+        first = np.zeros(len(f), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        empty = pc.equal(phrase, b"").combine_chunks().to_numpy(zero_copy_only=False)
+        stays = (f >= least) | empty[first]
+        some = pa.array(first[stays])
+        out = [pa.table([lang.take(some).combine_chunks(), phrase.take(some).combine_chunks(), pa.array(f[stays]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary())], schema=_KEPT)]
+        slots = slot.to_numpy()
+        held = stays[at] & (slots >= 0)
+        shard, slots = shard[held], slots[held]
+        order = np.argsort(shard, kind="stable")
+        lists = [(int(shard[order[a]]), _pack(slots[order[a:b]])) for a, b in _spans(shard[order])]
+        n = len(lists)
+        out.append(pa.table([pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([x for x, _ in lists], pa.int64()), pa.array([x for _, x in lists], pa.binary())], schema=_KEPT))
+        return pa.concat_tables(out)
+
+    return found.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, KEPT)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -301,18 +359,22 @@ def scored_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     spark, root = docs.sparkSession, scratch(docs.sparkSession, "phrases")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     state = _stored(cut_shards(rows, size), os.path.join(root, "shards"))
-    kept = _stored(frequent(first_round(state), least), os.path.join(root, "kept-2"))
-    total = kept.where("phrase is null").groupBy("lang").agg(F.max("f").alias("n"))
-    single = kept.where("slot < 0 and phrase is not null")
-    level = _different(single).select("lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
-    kept, levels = kept.where("slot >= 0"), []
+    # Blocks are small and adding them up is work, so tasks are counted, not measured in bytes.
+    tasks = min(4096, _buckets(state))
+    kept = _stored(frequent(first_round(state), least, tasks), os.path.join(root, "kept-2"))
+    total = kept.where("phrase = X''").select("lang", F.col("f").alias("n"))
+    phrases = kept.where("phrase <> X''").select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("f").alias("a"))
+    single = phrases.where(~F.contains("phrase", F.lit(" ")))
+    level = single.select("lang", "phrase", "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
+    found, levels = phrases.where(F.contains("phrase", F.lit(" "))), []
     for words in range(2, longest + 1):
-        level = _stored(_with_parts(_different(kept), level, words), os.path.join(root, f"level-{words}"))
+        level = _stored(_with_parts(found, level, words), os.path.join(root, f"level-{words}"))
         levels.append(level)
         if words < longest:
             left = _stored(next_round(state, kept, words + 1), os.path.join(root, f"round-{words + 1}"))
-            state = left.where("seq is not null").select("shard", "words", "langs", "lang_of", "seq")
-            kept = _stored(frequent(left.where("seq is null").select("lang", "phrase", "shard", "slot", "n"), least), os.path.join(root, f"kept-{words + 1}"))
+            state = left.where("seq is not null").select("shard", "words", "langs", "lang_of", "seq", "tokens")
+            kept = _stored(frequent(left.where("block is not null").select("bucket", "shard", "block"), least, tasks), os.path.join(root, f"kept-{words + 1}"))
+            found = kept.where("phrase is not null").select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("f").alias("a"))
     out = None
     for words, level in enumerate(levels, start=2):
         if words < longest:
@@ -327,10 +389,6 @@ def scored_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return out
 
 
-def _different(kept: DataFrame) -> DataFrame:
-    return kept.groupBy("lang", "phrase").agg(F.max("f").alias("a")).select("lang", F.col("phrase").cast("string").alias("phrase"), "a")
-
-
 def _with_parts(phrases: DataFrame, shorter: DataFrame, words: int) -> DataFrame:
     """Adds counts of the first 1, 2 ... words (``heads``) and of the last ones (``tails``), which those of the two shorter phrases give."""
     p = phrases.select("*", F.substring_index("phrase", " ", words - 1).alias("head"), F.substring_index("phrase", " ", 1 - words).alias("tail"))

@@ -112,9 +112,9 @@ ORACLES = {
             GROUP BY ALL HAVING count(*) >= 100),
         c AS (SELECT lang, k, phrase, f AS a FROM g WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM g q
             WHERE q.lang = g.lang AND q.k > g.k AND contains(' ' || q.phrase || ' ', ' ' || g.phrase || ' ') AND 100 * q.f >= 100 * g.f)),
-        cut AS (SELECT c.*, j, n, x.f AS l, y.f AS r, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-            FROM (SELECT *, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
-            JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(s[1 : j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(s[j + 1 : k], ' ')),
+        cut AS (SELECT c.lang, c.phrase, c.a, c.j, n.n, x.f AS l, y.f AS r, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS j FROM c) c JOIN n ON n.lang = c.lang
+            JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.s[1 : c.j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.s[c.j + 1 : c.k], ' ')),
         best AS (SELECT lang, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cut) WHERE nth = 1)
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best) WHERE rank <= 2000
     """,
