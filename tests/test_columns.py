@@ -114,3 +114,23 @@ def test_header_names_are_escaped(spark):
     df = spark.createDataFrame([("x|y",)], "`a|b\\c` string")
     got = [r["line"] for r in ln.to_pipe_lines(df).collect()]
     assert got == ["a\\|b\\\\c", "x\\|y"]
+
+
+def test_fields_of_fixed_width_lines(spark):
+    from veriform.sources import fixed_width as fw
+
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 99999), rng.choice(["bolt", "washer", "nut m8"]), "AB" + rng.choice("xyz"), rng.choice(["9.50", "-120.25", "n/a"])) for _ in range(200)] + [(7, "a", "ABx", "1.00")]
+    lines = [f"{n:>6}{code}{name:<10}{amount:>75}  {'E':<3}" for n, name, code, amount in rows] + ["", None, "   "]
+    df = spark.createDataFrame([(x.rstrip() if x else x,) for x in lines], "`the line` string").repartition(3)
+    spec = fw.infer_fields(df, "the line", ["n", "code_name", "amount", "flag"])
+    assert [(name, start) for name, start, *_ in spec] == [("n", 1), ("code_name", 7), ("amount", 16), ("flag", 97)]
+    facts = fw.column_facts(df, "the line")
+    shown = [x for x in lines if x and x.strip()]
+    for p in range(len(facts["ever"])):
+        column = [(x + " " * 200)[p] for x in shown]
+        assert facts["ever"][p] == str(int(any(c != " " for c in column)))
+        assert facts["always"][p] == str(int(all(c != " " for c in column)))
+        assert facts["begins"][p] == str(int(any(c != " " and (p == 0 or x[p - 1] == " ") for x, c in zip(shown, column, strict=True))))
+        assert facts["ends"][p] == str(int(any(c != " " and (x + " " * 200)[p + 1] == " " for x, c in zip(shown, column, strict=True))))
+    assert fw.infer_fields(df.limit(0), "the line") == []

@@ -14,6 +14,7 @@ from veriform.plans.workbooks import build_workbook
 from veriform.session import scratch
 from veriform.sinks import lines as ln
 from veriform.sources import documents as dc
+from veriform.sources import fixed_width as fw
 from veriform.sources import folder as fl
 from veriform.sources import labels as lb
 from veriform.sources import records as rc
@@ -208,6 +209,21 @@ def scan_fixed_width(spark, sf):
     return rc.read_fixed_width(lines, "line", [("s_suppkey", 1, 12, "bigint"), ("s_name", 13, 25, "string"), ("s_nationkey", 38, 4, "int"), ("s_acctbal", 42, 14, "decimal(18,2)")])
 
 
+WIDE = FIXED.replace("cast(s_suppkey as {s})", "cast(s_suppkey * 997 as {s})")
+
+
+@query(
+    "fixed_width_inferred",
+    "select s_suppkey * 997 as id, s_name, s_nationkey, case when s_suppkey % 9 <> 0 then cast(s_acctbal as decimal(18,2)) end as s_acctbal from supplier",
+)
+def fixed_width_inferred(spark, sf):
+    """Records of the suppliers, the places of their fields found from the lines."""
+    lines = table(spark, sf, "supplier").select(F.expr(WIDE.format(s="string")).alias("line"))
+    types = {"id": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "decimal(18,2)"}
+    spec = fw.infer_fields(lines, "line", list(types))
+    return rc.read_fixed_width(lines, "line", [(name, start, length, types[name]) for name, start, length, _ in spec])
+
+
 LATIN = "regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?'{g})"
 
 
