@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -29,7 +30,7 @@ from ..session import scratch
 from .lexer import mix
 
 # Words of a shard; the piece that crosses the mark is the last one in it.
-SHARD = 1 << 21
+SHARD = 1 << 20
 # Words of all shards for each bucket; a phrase has one entry of a bucket in each shard that holds it.
 BUCKET = 1 << 19
 _BREAKS = bytes(b"\n"[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -129,12 +130,24 @@ class Phrases:
 
 
 class Index:
-    """Both transforms of a shard, whose text ends with a break. Phrases of up to ``depth`` words can be extended to either side."""
+    """Both transforms of a shard, whose text ends with a break. Phrases of up to ``depth`` words can be extended to either side.
+
+    An interval is known in both transforms at once; to the right it is extended by the reverse one, to the left by the
+    forward one. Each is made when it is first asked for.
+    """
 
     def __init__(self, seq: np.ndarray, depth: int):
-        self.forward, self.reverse = Transform(seq, depth), Transform(seq[::-1], depth)
+        self.seq, self.depth = seq, depth
         self.whole = Phrases(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(seq)]), [])
 
+    @cached_property
+    def forward(self) -> Transform:
+        return Transform(self.seq, self.depth)
+
+    @cached_property
+    def reverse(self) -> Transform:
+        return Transform(self.seq[::-1], self.depth)
+
     @staticmethod
     def _extend(t: Transform, at: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each interval of a transform and each symbol in it: interval, symbol, row in front, row of the other transform, rows."""
