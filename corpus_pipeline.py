@@ -2,7 +2,7 @@
 
 ``STAGES`` lists them; each takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of
 ``documents``. The last returns, besides, how often the mix takes each document. SQL cannot express the stages
-(learned scores, fingerprints, min-hashes), so ``ORACLE_SQL`` is None and tests compare them with brute force.
+(learned scores, fingerprints, min-hashes), so ``ORACLE_SQL`` is None; tests hold each stage against its operator and planted cases.
 """
 
 from __future__ import annotations
