@@ -12,7 +12,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,20 @@ ANSWERED = T.StructType([*STORED.fields, T.StructField("error", T.StringType()),
 _FILE = pa.schema([("key", pa.string()), ("content", pa.string()), ("elapsed", pa.float64()), ("retries", pa.int32())])
 
 
+# Bytes of requests that are taken out of a batch at once; a longer single one is taken alone.
+PART_BYTES = 1 << 20
+
+
+def parts(batch: pa.RecordBatch, column: str, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most ``limit`` bytes in a text column, so that Python objects are made for few rows at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0)
+    ends, at = np.cumsum(sizes.to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Shelf:
     """The part of a store that one task of one run writes, whatever its attempt."""
 
@@ -90,7 +106,7 @@ def ask_once(df: DataFrame, asked: str, ask: Asker, store: str, tasks: int, save
         shelf = Shelf(f"{run}/{TaskContext.get().partitionId()}")
         held, fresh = shelf.held(), []
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in parts(whole, "text")):
                 rows = []
                 for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if key in held:
