@@ -193,3 +193,18 @@ def test_feedback_searches_each_tag_of_a_vote_a_few_times_only(spark):
 
     plan = pv.vote_feedback(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert 6 <= plan.count("regexp_extract(") <= 12
+
+
+def test_rows_dealt_once_are_not_dealt_again(spark, calls):
+    df = spark.range(10).repartition(5)
+    assert calls.dealt(df, again=True) is df and calls.dealt(df).rdd.getNumPartitions() == 6
+
+
+def test_requests_are_taken_out_of_a_batch_in_small_parts():
+    import pyarrow as pa
+
+    from veriform.operators import answers
+
+    batch = pa.RecordBatch.from_pydict({"key": list("abcdef"), "text": ["x" * 40, None, "y" * 40, "z" * 500, "", "é" * 30]})
+    got = list(answers.parts(batch.slice(1), "text", 100))
+    assert [p.column("key").to_pylist() for p in got] == [["b", "c"], ["d"], ["e", "f"]]

@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,15 @@ def call(responder: Responder, request: str, instructions: str, tries: int, back
     return None, error, round(time.monotonic() - start, 2), tries, True
 
 
+def _with_columns(part: pa.RecordBatch, rows: list, meta: list, names: list[str]) -> pa.RecordBatch:
+    """The rows of a batch, which are left as they are, with the answer, the error and the settings of each call beside them."""
+    kinds = {"elapsed_time": pa.float64(), "retry_count": pa.int32(), "failed": pa.bool_()}
+    told = [f.name for f in AGENT_META if f.name in (meta[0] if meta else META.names)]
+    kind = pa.struct([(n, kinds.get(n, pa.float64() if n == "temperature" else pa.string())) for n in told])
+    new = [pa.array([r and r[0] for r in rows], pa.string()), pa.array([r and r[1] for r in rows], pa.string()), pa.array(meta, kind)]
+    return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+
+
 def respond(
     df: DataFrame, request: str, instructions: str, responder: Responder, tries: int = 3, backoff: float = 2, concurrency: int | None = None,
     sleep: Callable[[float], None] = time.sleep, keep: bool = True, store: str | None = None, save_every: int = 20,
@@ -67,14 +77,12 @@ def respond(
     schema = T.StructType([*work.schema.fields, T.StructField("content", T.StringType()), T.StructField("error", T.StringType()), T.StructField("meta", META)])
 
     def run(batches):
-        for batch in batches:
-            rows = [call(responder, r, i, tries, backoff, sleep) for r, i in zip(batch[request], batch[instructions], strict=True)]
-            batch["content"] = [r[0] for r in rows]
-            batch["error"] = [r[1] for r in rows]
-            batch["meta"] = [{"elapsed_time": r[2], "retry_count": r[3], "failed": r[4]} for r in rows]
-            yield batch
-
-    out = work.mapInPandas(run, schema)
+        for part in (part for batch in batches for part in answers.parts(batch, request)):
+            asked = zip(part.column(request).to_pylist(), part.column(instructions).to_pylist(), strict=True)
+            rows = [call(responder, r, i, tries, backoff, sleep) for r, i in asked]
+            yield _with_columns(part, rows, [{"elapsed_time": r[2], "retry_count": r[3], "failed": r[4]} for r in rows], ["content", "error", "meta"])
+
+    out = work.mapInArrow(run, schema)
     return materialise(out) if keep else out
 
 
@@ -131,10 +139,11 @@ class Calls:
     store: str | None = None
     save_every: int = 20
 
-    def dealt(self, df: DataFrame) -> DataFrame:
+    def dealt(self, df: DataFrame, again: bool = False) -> DataFrame:
+        """The rows in partitions that are asked for together. What was dealt before and only lost rows since is within ``rows_per_task``."""
         if self.concurrency is not None:
             return df.repartition(self.concurrency)
-        return df if self.rows_per_task is None else df.repartition(df.count() // self.rows_per_task + 1)
+        return df if self.rows_per_task is None or again else df.repartition(df.count() // self.rows_per_task + 1)
 
 
 def ask_agent(df: DataFrame, agent: Agent, request: Column, calls: Calls, name: str, wanted: Column | None = None) -> DataFrame:
@@ -169,14 +178,12 @@ def ask_agent(df: DataFrame, agent: Agent, request: Column, calls: Calls, name:
         schema = T.StructType([*work.schema.fields, T.StructField("_answer", T.StringType()), T.StructField("_error", T.StringType()), T.StructField("_meta", AGENT_META)])
 
         def run(batches):
-            for batch in batches:
-                rows = [call(transport, p, told, tries, backoff, sleep) if p is not None else None for p in batch["_payload"]]
-                batch["_answer"] = [r and r[0] for r in rows]
-                batch["_error"] = [r and r[1] for r in rows]
-                batch["_meta"] = [told | {"elapsed_time": r[2] if r else 0.0, "retry_count": r[3] if r else 0, "failed": r[4] if r else True} for r in rows]
-                yield batch
+            for part in (part for batch in batches for part in answers.parts(batch, "_payload")):
+                rows = [call(transport, p, told, tries, backoff, sleep) if p is not None else None for p in part.column("_payload").to_pylist()]
+                meta = [told | {"elapsed_time": r[2] if r else 0.0, "retry_count": r[3] if r else 0, "failed": r[4] if r else True} for r in rows]
+                yield _with_columns(part, rows, meta, ["_answer", "_error", "_meta"])
 
-        answered = work.mapInPandas(run, schema)
+        answered = work.mapInArrow(run, schema)
 
     content = ag.from_response(F.col("_answer"), F.lit(layout))
     return answered.withColumns({
@@ -184,11 +191,12 @@ def ask_agent(df: DataFrame, agent: Agent, request: Column, calls: Calls, name:
     }).drop("_wanted", "_early", "_payload", "_answer", "_error", "_meta")
 
 
-def respond_votes(df: DataFrame, agents: Sequence[Agent], requests: Sequence[Column], calls: Calls, name: str = "vote") -> DataFrame:
+def respond_votes(df: DataFrame, agents: Sequence[Agent], requests: Sequence[Column], calls: Calls, name: str = "vote", again: bool = False) -> DataFrame:
     """Votes of three called voters with early exit, in the columns of :func:`veriform.operators.voting.ask`, and their ``{name}_meta_i``.
 
     Two rounds: voters one and two for all rows, voter three only for the rows where they differ. A failed call, and a
-    request that cannot be sent, is a vote against.
+    request that cannot be sent, is a vote against. Without a store a partition goes through both rounds in one task. ``again``:
+    the rows are dealt already.
     """
     if len(agents) != voting.VOTERS or len(requests) != voting.VOTERS:
         raise ValueError(f"expected {voting.VOTERS} voters")
@@ -201,7 +209,9 @@ def respond_votes(df: DataFrame, agents: Sequence[Agent], requests: Sequence[Col
             f"{name}_ok_{i}": F.when(here, vote["isvalid"]), f"{name}_msg_{i}": F.when(here, vote["invalid_msg"]), f"{name}_meta_{i}": F.col("_a_meta"),
         }).drop("_a_content", "_a_error", "_a_meta")
 
-    two = materialise(one(one(calls.dealt(df), 0), 1))
+    two = one(one(calls.dealt(df, again), 0), 1)
+    if calls.store is not None:  # its third voter reads the rows more than once
+        two = materialise(two)
     differ = F.coalesce(F.col(f"{name}_ok_0") != F.col(f"{name}_ok_1"), F.lit(False))
     three = one(two.withColumn("_differ", differ), 2, F.col("_differ"))
     return materialise(three.withColumn(f"{name}_asked", F.when(F.col("_differ"), F.lit(3)).otherwise(F.lit(2))).drop("_differ"))
@@ -235,12 +245,12 @@ def run_with_calls(
     pending = checked.filter(stopped.isNull()).select(named(key), data, blank.alias("_notes"))
     for i in range(max_retries):
         request = tx.render_template(converter.request, {tx.DATA: data, tx.RUN_INDEX: F.lit(i), tx.DATE_TIME: F.lit(now), tx.PREVIOUS_NOTES: F.col("_notes")})
-        sent = materialise(ask_agent(calls.dealt(pending), converter, request, calls, "_c"))
+        sent = materialise(ask_agent(calls.dealt(pending, True), converter, request, calls, "_c"))
         sent = sent.withColumn("_out", F.when(F.col("_c_error").isNull(), parse_output(F.col("_c_content"))))
         broken = sent.filter("_out is null")
         finished = finished.unionByName(ended(broken, "conversion_error", F.lit(i), none, F.coalesce("_c_error", F.lit("No output section"))))
         judged = sent.filter("_out is not null").select(named(key), data, "_out")
-        voted = respond_votes(judged, validators, requests(validators, {tx.OUTPUT: F.col("_out")}), calls, "_v")
+        voted = respond_votes(judged, validators, requests(validators, {tx.OUTPUT: F.col("_out")}), calls, "_v", True)
         outcome = F.when(voting.unreadable("_v"), "vote_error").when(voting.passed("_v"), "success").when(F.lit(i == max_retries - 1), "failed")
         done = voted.filter(outcome.isNotNull())
         tried = F.when(outcome == "failed", F.lit(i + 1)).otherwise(F.lit(i))
