@@ -38,3 +38,24 @@ def test_equal_letters_are_merged_from_the_left(scores):
 def test_joints_need_parts_before_the_whole():
     with pytest.raises(ValueError):
         tc.joints({"a": -9.0, "b": -9.0, "c": -9.0, "ab": -5.0, "abc": -1.0})
+
+
+def test_units_end_where_no_piece_reaches_across(scores):
+    words, ends = ["stone", "water", "Élan", "мир", "x7"], ["", ",", ".", "!", ".\n", "\n", ":\n\n"]
+    text = tc.MARK + tc.MARK.join(w + e + v for w in words for e in ends for v in words) + tc.MARK * 3
+    machine = tc.Transducer(scores)
+    assert machine.count(text) == len(tc.merged(text, scores)[0])
+    # Words and marks are counted apart: 10 words, with and without a word mark, and what is between them; not 245 pairs.
+    assert len(machine.units) < 70
+
+
+def test_transitions_outlast_the_units(scores, monkeypatch):
+    monkeypatch.setattr(tc, "KEEP", 40)
+    machine, calls = tc.Transducer(scores), []
+    known = machine.compile
+    monkeypatch.setattr(machine, "compile", lambda *step: calls.append(step) or known(*step))
+    texts = [tc.MARK + tc.MARK.join(a + b for b in "abcdefg") for a in "uvwxyz"]
+    for _ in range(20):
+        for t in texts:
+            assert machine.count(t) == len(tc.merged(t, scores)[0])
+    assert len(calls) < 60  # 6 first letters, 7 second ones behind each; made again for every round before

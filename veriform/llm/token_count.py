@@ -1,7 +1,7 @@
 """Token counts by a deterministic transducer compiled from a byte-pair vocabulary.
 
-The state after some characters is the longest end of the text that starts a piece, with the last token of the
-encoding of the text up to each place in it. One more character has exactly one piece that ends with it and agrees
+The state after some characters is the places at which a piece that goes on may have begun, with the last token of the
+encoding of the text up to each of them. One more character has exactly one piece that ends with it and agrees
 with the token before, so transitions are deterministic; each is annotated with the tokens it emits, which is below
 one where pieces grow together. States and transitions are compiled as texts need them and kept.
 
@@ -14,8 +14,9 @@ tasks, and their maps composed by a tree.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,47 @@ def joints(scores: Mapping[str, float]) -> dict[str, int]:
     return out
 
 
+def unit_pattern(scores: Iterable[str]) -> re.Pattern[str]:
+    """Cuts a text where no piece can reach across: before word marks, and between characters that no piece has side by side.
+
+    Characters that stand side by side in some piece are of one kind, also by way of others. A unit is word marks and a run of one kind.
+    """
+    kind: dict[str, str] = {}
+
+    def of(char: str) -> str:
+        while kind.setdefault(char, char) != char:
+            kind[char] = char = kind[kind[char]]
+        return char
+
+    for piece in scores:
+        bare = piece.lstrip(MARK)
+        for a, b in pairwise(bare):
+            kind[of(a)] = of(b)
+    runs: dict[str, list[str]] = {}
+    for char in kind:
+        runs.setdefault(of(char), []).append(char)
+    kinds = sorted((r for r in runs.values()), key=len, reverse=True)
+    either = "".join(f"[{''.join(map(re.escape, sorted(r)))}]+|" for r in kinds)
+    return re.compile(f"{MARK}*(?:{either}[^{MARK}])|{MARK}+")
+
+
+class State(dict):
+    """Transitions by character, compiled when first asked for: next state, tokens emitted.
+
+    ``open``: places at which a piece may begin that does not end yet, the first one first. Each has the text since, the
+    token that ends there (None: a reset), and the tokens up to it less those up to the end.
+    """
+
+    __slots__ = ("machine", "open")
+
+    def __init__(self, machine: Transducer, open_: tuple):
+        self.machine, self.open = machine, open_
+
+    def __missing__(self, char: str) -> tuple[State, int]:
+        step = self[char] = self.machine.compile(self.open, char)
+        return step
+
+
 class Transducer:
     """Counts the tokens of pieces of text that start and end at a reset."""
 
@@ -71,16 +113,22 @@ class Transducer:
         self.scores = scores
         self.joined = joints(scores) if joined is None else joined
         self.starts = {p[:i] for p in scores for i in range(1, len(p) + 1)}
+        self.cut = unit_pattern(scores).findall
         self.fits: dict[tuple[str, str], bool] = {}
         self.edges: tuple[dict[str, list], dict[str, list]] = ({}, {})
+        self.units = Units(self)
         self.forget()
 
     def forget(self) -> None:
-        # State 0: nothing before. Each boundary of a state: token that ends there (None: a reset), tokens up to it less those up to the end.
-        self.states: list[tuple[str, tuple]] = [("", ((None, 0),))]
-        self.ids = {self.states[0]: 0}
-        self.next: dict[tuple[int, str], tuple[int, int]] = {}
-        self.units = Units(self)
+        self.compiled = 0
+        self.states: dict[tuple, State] = {}
+        self.reset = self.state((("", None, 0),))
+
+    def state(self, open_: tuple) -> State:
+        known = self.states.get(open_)
+        if known is None:
+            known = self.states[open_] = State(self, open_)
+        return known
 
     def edge(self, piece: str, last: int) -> list[tuple[str, float]]:
         """Parts that hold the last (1) or first (0) character while a piece is merged, and the score at which each is used up."""
@@ -123,38 +171,27 @@ class Transducer:
             else:
                 j += 1
 
-    def compile(self, state: int, char: str) -> tuple[int, int]:
+    def compile(self, open_: tuple, char: str) -> tuple[State, int]:
         """The transition of a state on a character: next state, tokens emitted."""
-        text, ends = self.states[state]
+        self.compiled += 1
         if char not in self.scores:  # its bytes are tokens, and nothing joins them
-            to, emitted = ("", ((None, 0),)), len(char.encode("utf-8", "surrogatepass"))
-        else:
-            longer, joined, starts, fits = text + char, self.joined, self.starts, self.fits
-            n = open_ = len(longer)
-            for at in range(n):
-                piece = longer[at:]
-                if piece in starts:  # its beginning is the first that a longer piece may have
-                    open_ = min(open_, at)
-                    if piece in joined:
-                        token, had = ends[at]
-                        fit = token is None or fits.get((token, piece))
-                        if fit or (fit is None and self.agree(token, piece)):
-                            break
-            emitted = had + 1
-            to = (longer[open_:], (*[(t, c - emitted) for t, c in ends[open_:]], (piece, 0)))
-        to_id = self.ids.get(to)
-        if to_id is None:
-            to_id = self.ids[to] = len(self.states)
-            self.states.append(to)
-        self.next[state, char] = step = (to_id, emitted)
-        return step
+            return self.reset, len(char.encode("utf-8", "surrogatepass"))
+        joined, starts, fits, after, last = self.joined, self.starts, self.fits, [], None
+        for since, token, had in open_:
+            piece = since + char
+            if piece in starts:
+                after.append((piece, token, had))
+                if last is None and piece in joined:
+                    fit = token is None or fits.get((token, piece))
+                    if fit or (fit is None and self.agree(token, piece)):
+                        last, emitted = piece, had + 1
+        return self.state((*[(p, t, c - emitted) for p, t, c in after], ("", last, 0))), emitted
 
     def run(self, text: str) -> int:
-        state, total, known = 0, 0, self.next
+        state, total = self.reset, 0
         for char in text:
-            step = known.get((state, char)) or self.compile(state, char)
-            state = step[0]
-            total += step[1]
+            state, emitted = state[char]
+            total += emitted
         return total
 
     def count(self, text: str) -> int:
@@ -162,9 +199,11 @@ class Transducer:
 
         Each different unit is run once and then looked up, so a text costs a look-up for each of its units.
         """
-        if len(self.units) > KEEP or len(self.next) > 4 * KEEP:
+        if len(self.units) > KEEP:
+            self.units.clear()
+        if self.compiled > 2 * KEEP:
             self.forget()
-        return sum(map(self.units.__getitem__, _UNIT.findall(text)))
+        return sum(map(self.units.__getitem__, self.cut(text)))
 
 
 class Units(dict):
@@ -180,7 +219,6 @@ class Units(dict):
         return n
 
 
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
