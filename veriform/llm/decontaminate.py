@@ -15,27 +15,26 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-# Letters and digits of ASCII, and every character beyond it.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# All of ASCII that is neither letter nor digit stands between words; every character beyond it is part of one.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 WINDOW = 10
 # Bytes of benchmark text whose words are broadcast at once.
 BLOCK_BYTES = 8 << 20
 
 
-def _lower(word: Column) -> Column:
-    """A-Z in lower case, other letters as they are; null as the empty text, so that joins need not look for it."""
-    return F.coalesce(F.when(F.lower(word) != word, F.translate(word, UPPER, LOWER)).otherwise(word), F.lit(""))
-
-
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """Words of a text with A-Z in lower case, other letters as they are; none for null.
+
+    Characters are mapped and split at blanks, which takes a tenth of the time of extracting words by a pattern.
+    """
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "), "")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """``window``, ``item``, ``words``: the different runs of ``size`` words of each item, the whole of a shorter one."""
     b = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"),
-                         F.transform(_words(F.col(f"`{text_col}`").cast("string")), _lower).alias("w")).where("size(w) > 0")
+                         _words(F.col(f"`{text_col}`").cast("string")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     w = b.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).distinct()
     return w.withColumn("window", F.xxhash64("item", "words"))
@@ -45,16 +44,16 @@ def postings(rows: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     """``uid``, ``text`` -> ``uid``, ``pos``, ``term``, ``before`` (how many of the words stand before it), ``near``."""
     split = rows.select("uid", _words(F.col("text")).alias("w"))
     # The outer form, or else texts are split once more to look for empty ones.
-    each = split.select("uid", "w", F.posexplode_outer("w").alias("pos", "word")).select("uid", "w", "pos", _lower(F.col("word")).alias("term"))
+    each = split.select("uid", "w", F.posexplode_outer("w").alias("pos", "term"))
     before = F.least(F.col("pos"), F.lit(around))
-    near = F.transform(F.slice("w", F.col("pos") - before + 1, before + around + 1), _lower)
+    near = F.slice("w", F.col("pos") - before + 1, before + around + 1)
     return each.join(F.broadcast(terms), "term").select("uid", "pos", "term", before.alias("before"), near.alias("near"))
 
 
 def _block_matches(rows: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
     windows = materialise(windows)
     terms = windows.select("window", F.posexplode("words").alias("off", "term"))
-    each = rows.select(F.explode_outer(_words(F.col("text"))).alias("word")).select(_lower(F.col("word")).alias("term"))
+    each = rows.select(F.explode_outer(_words(F.col("text"))).alias("term"))
     df = materialise(each.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     ranked = terms.join(df, "term", "left").groupBy("window").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off")).alias("rarest"))
@@ -124,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                                             F.greatest(a["to"], s["end"]).alias("to")))
     per = per.select("uid", total["hit"].alias("n_hit"), "items")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("uid"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("uid"), F.size(_words(text)).cast("long").alias("n_words"))
     return rows.join(per, "uid", "left").select("id", "uid", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                                                F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
