@@ -90,20 +90,20 @@ def unit_pattern(scores: Iterable[str]) -> re.Pattern[str]:
 
 
 class State(dict):
-    """Transitions by character, compiled when first asked for: next state, tokens emitted.
+    """Next states by character, compiled when first asked for.
 
-    ``open``: places at which a piece may begin that does not end yet, the first one first. Each has the text since, the
+    ``emitted``: tokens that the transition to this state emits. ``open``: places at which a piece may begin that does not end yet, the first one first. Each has the text since, the
     token that ends there (None: a reset), and the tokens up to it less those up to the end.
     """
 
-    __slots__ = ("machine", "open")
+    __slots__ = ("emitted", "machine", "open")
 
-    def __init__(self, machine: Transducer, open_: tuple):
-        self.machine, self.open = machine, open_
+    def __init__(self, machine: Transducer, open_: tuple, emitted: int):
+        self.machine, self.open, self.emitted = machine, open_, emitted
 
-    def __missing__(self, char: str) -> tuple[State, int]:
-        step = self[char] = self.machine.compile(self.open, char)
-        return step
+    def __missing__(self, char: str) -> State:
+        to = self[char] = self.machine.compile(self.open, char)
+        return to
 
 
 class Transducer:
@@ -122,12 +122,12 @@ class Transducer:
     def forget(self) -> None:
         self.compiled = 0
         self.states: dict[tuple, State] = {}
-        self.reset = self.state((("", None, 0),))
+        self.reset = self.state((("", None, 0),), 0)
 
-    def state(self, open_: tuple) -> State:
-        known = self.states.get(open_)
+    def state(self, open_: tuple, emitted: int) -> State:
+        known = self.states.get((open_, emitted))
         if known is None:
-            known = self.states[open_] = State(self, open_)
+            known = self.states[open_, emitted] = State(self, open_, emitted)
         return known
 
     def edge(self, piece: str, last: int) -> list[tuple[str, float]]:
@@ -171,27 +171,34 @@ class Transducer:
             else:
                 j += 1
 
-    def compile(self, open_: tuple, char: str) -> tuple[State, int]:
-        """The transition of a state on a character: next state, tokens emitted."""
-        self.compiled += 1
-        if char not in self.scores:  # its bytes are tokens, and nothing joins them
-            return self.reset, len(char.encode("utf-8", "surrogatepass"))
-        joined, starts, fits, after, last = self.joined, self.starts, self.fits, [], None
+    def ending(self, open_: tuple, char: str) -> tuple[str, int]:
+        """The piece that ends with a character after a state, and the tokens emitted."""
+        joined, fits = self.joined, self.fits
         for since, token, had in open_:
             piece = since + char
-            if piece in starts:
-                after.append((piece, token, had))
-                if last is None and piece in joined:
-                    fit = token is None or fits.get((token, piece))
-                    if fit or (fit is None and self.agree(token, piece)):
-                        last, emitted = piece, had + 1
-        return self.state((*[(p, t, c - emitted) for p, t, c in after], ("", last, 0))), emitted
+            if piece in joined:
+                fit = token is None or fits.get((token, piece))
+                if fit or (fit is None and self.agree(token, piece)):
+                    return piece, had + 1
+        return "", len(char.encode("utf-8", "surrogatepass"))  # no piece: its bytes are tokens, and nothing joins them
+
+    def compile(self, open_: tuple, char: str) -> State:
+        """The state after a state and a character."""
+        self.compiled += 1
+        last, emitted = self.ending(open_, char)
+        if not last:
+            return self.state(self.reset.open, emitted)
+        starts = self.starts
+        return self.state((*[(p, t, c - emitted) for s, t, c in open_ if (p := s + char) in starts], ("", last, 0)), emitted)
 
     def run(self, text: str) -> int:
+        """Tokens of a unit. No state is made behind its last character, as most ends are new where units are."""
         state, total = self.reset, 0
-        for char in text:
-            state, emitted = state[char]
-            total += emitted
+        for char in text[:-1]:
+            state = state[char]
+            total += state.emitted
+        for char in text[-1:]:
+            total += state[char].emitted if char in state else self.ending(state.open, char)[1]
         return total
 
     def count(self, text: str) -> int:
